@@ -133,7 +133,7 @@ def _report(converted: DataFrame, decisions: Decisions) -> DataFrame:
         ],
     )
     missing = [
-        F.struct(F.lit(c), F.col(f"missing{i}")) for i, c in enumerate(converted.columns)
+        F.struct(F.lit(c).alias("name"), F.col(f"missing{i}").alias("n")) for i, c in enumerate(converted.columns)
     ]
     per_column = F.map_from_entries(F.array(*missing)) if missing else F.create_map()
 
