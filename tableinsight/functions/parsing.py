@@ -11,9 +11,12 @@ LEADING_ZERO = r"^0\d"
 DATE_KEYWORDS = ["date", "time", "jour", "mois", "annee", "année", "year"]
 
 _INTEGER = r"^[+-]?\d+$"
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+_NUMBER = r"^[+-]?(\d+[.,]?\d*|[.,]\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
 # Unicode white space plus the four separator controls.
-_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _VISIBLE = r"(?U)[^\s\x1c-\x1f]"
 
 _YEAR_FIRST = r"^\d{4}[-/. ]\d{1,2}[-/. ]\d{1,2}(\D|$)"
@@ -27,7 +30,7 @@ _TIME = "[ H:mm[:ss]]"
 
 def stripped(value: Column) -> Column:
     """Trimmed of all white space; blank becomes NULL."""
-    return F.nullif(F.regexp_replace(value, _SPACE, ""), F.lit(""))
+    return F.nullif(F.trim(value, F.lit(_SPACES)), F.lit(""))
 
 
 def has_text(value: Column) -> Column:
@@ -39,15 +42,30 @@ def comma_to_point(value: Column) -> Column:
     return F.replace(value, F.lit(","), F.lit("."))
 
 
-def is_number(value: Column) -> Column:
+def has_comma(value: Column) -> Column:
+    return F.contains(value, F.lit(","))
+
+
+def is_number_or_comma(value: Column) -> Column:
+    """A number once its comma, if any, is read as the decimal point."""
     return value.rlike(_NUMBER)
 
 
+def is_decimal_comma(value: Column) -> Column:
+    return has_comma(value) & value.rlike(DECIMAL_COMMA)
+
+
+def is_zero_led(value: Column) -> Column:
+    return F.startswith(value, F.lit("0")) & value.rlike(LEADING_ZERO)
+
+
 def to_number(value: Column) -> Column:
-    return F.when(is_number(value), value.try_cast("double"))
+    """The cast alone would also take ``1d`` or ``NaN`` for numbers."""
+    return F.when(is_number_or_comma(value) & ~has_comma(value), value.try_cast("double"))
 
 
 def to_integer(value: Column) -> Column:
+    # A failing cast costs an exception, so only text that can be a whole number gets there.
     return F.when(value.rlike(_INTEGER), value.try_cast("bigint"))
 
 

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_VALUES = 100_000
-_GRID = 256
-_SKETCH_SIZE = 2000
-_MIN = float("-inf")
+DIRECT_VALUES = 1_000_000
+_GRID = 128
+_SKETCH_SIZE = 1000
+_UNDER = float("-inf")
 
 
 @dataclass(frozen=True)
@@ -100,10 +100,12 @@ def _rank(values: DataFrame, brackets: list[Bracket], found: dict) -> list[Brack
     keys = []
     for i, (c, lo, hi) in enumerate(spans):
         v = F.col(f"c{c}")
-        keys.append(F.when(v < lo, F.lit(_MIN)).when(v <= hi, v).alias(str(i)))
+        # All values under a bracket share one key, so their number comes from the same scan.
+        key = F.when(v < lo, F.lit(_UNDER)).when(v <= hi, v)
+        keys.append(F.struct(F.lit(i).alias("span"), key.alias("v")))
     counted = (
-        values.select(*keys)
-        .unpivot([], [str(i) for i in range(len(spans))], "span", "v")
+        values.select(F.explode(F.array(*keys)).alias("key"))
+        .select("key.span", "key.v")
         .where(F.col("v").isNotNull())
         .groupBy("span", "v")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -114,12 +116,12 @@ def _rank(values: DataFrame, brackets: list[Bracket], found: dict) -> list[Brack
     for b in brackets:
         i = spans.index((b.column, b.lo, b.hi))
         wanted = wanted | (
-            (F.col("span") == str(i)) & (F.col("first") <= b.rank) & (F.col("next") > b.rank)
+            (F.col("span") == i) & (F.col("first") <= b.rank) & (F.col("next") > b.rank)
         )
     hits = ranked.where(wanted).collect()  # at most one row per wanted rank
     missed = []
     for b in brackets:
-        i = str(spans.index((b.column, b.lo, b.hi)))
+        i = spans.index((b.column, b.lo, b.hi))
         value = next((h.v for h in hits if h.span == i and h.first <= b.rank < h.next), None)
         if value is None or not b.lo <= value <= b.hi:
             missed.append(b)
@@ -131,15 +133,18 @@ def _rank(values: DataFrame, brackets: list[Bracket], found: dict) -> list[Brack
 def order_statistics(
     values: DataFrame,
     ranks: dict[int, set[int]],
-    base: dict[int, tuple[int, float, float, list[float]]],
+    bounds: dict[int, tuple[int, float, float]],
     direct_values: int = DIRECT_VALUES,
 ) -> dict[tuple[int, int], float]:
-    """Value at each 0-based rank of columns ``c0`` …; ``base`` is (n, min, max, grid) per column."""
+    """Value at each 0-based rank of columns ``c0`` …; ``bounds`` is (n, min, max) per column."""
     found: dict[tuple[int, int], float] = {}
     todo = []
-    for c, wanted in ranks.items():
-        n, lo, hi, grid = base[c]
-        todo += [_bracket(c, r, 0, n, grid, lo, hi) for r in sorted(wanted)]
+    if ranks:
+        sketches = [grid_of(F.col(f"c{c}")).alias(f"grid{c}") for c in ranks]
+        grids = values.agg(*sketches).first()
+        for c, wanted in ranks.items():
+            n, lo, hi = bounds[c]
+            todo += [_bracket(c, r, 0, n, grids[f"grid{c}"], lo, hi) for r in sorted(wanted)]
     while todo:
         wide = [b for b in todo if b.rows > direct_values and b.lo < b.hi]
         if wide:

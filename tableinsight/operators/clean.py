@@ -15,10 +15,11 @@ from tableinsight.functions.columns import text_columns
 from tableinsight.functions.keys import distinct_rows
 from tableinsight.functions.parsing import (
     DATE_KEYWORDS,
-    DECIMAL_COMMA,
-    LEADING_ZERO,
     comma_to_point,
-    is_number,
+    has_comma,
+    is_decimal_comma,
+    is_number_or_comma,
+    is_zero_led,
     stripped,
     to_date_time,
     to_integer,
@@ -60,34 +61,39 @@ def _measure(df: DataFrame) -> tuple[DataFrame, Decisions]:
     """Pass 1. Rows that are NULL throughout do not count towards any share."""
     text = set(text_columns(df))
     any_value = F.lit(False)
-    aggregates = []
+    values, aggregates = [], []
     for i, name in enumerate(df.columns):
         any_value = any_value | col(name).isNotNull()
-        aggregates.append(F.count(col(name)).alias(f"present{i}"))
+        values.append(col(name).isNotNull().alias(f"p{i}"))
+        aggregates.append(F.count_if(f"p{i}").alias(f"present{i}"))
         if name not in text:
             continue
-        value = stripped(col(name))
-        pointed = comma_to_point(value)
+        value = F.col(f"v{i}")
+        number = is_number_or_comma(value)
+        values.append(stripped(col(name)).alias(f"v{i}"))
         aggregates += [
             F.count(value).alias(f"values{i}"),
-            F.count_if(value.rlike(DECIMAL_COMMA)).alias(f"decimal{i}"),
-            F.count_if(value.rlike(LEADING_ZERO)).alias(f"zero{i}"),
-            F.count_if(is_number(value)).alias(f"number{i}"),
-            F.count_if(is_number(pointed)).alias(f"pointed{i}"),
+            F.count_if(is_decimal_comma(value)).alias(f"decimal{i}"),
+            F.count_if(is_zero_led(value)).alias(f"zero{i}"),
+            F.count_if(number).alias(f"pointed{i}"),
+            F.count_if(has_comma(value) & number).alias(f"comma{i}"),
             F.count(to_integer(value)).alias(f"integer{i}"),
         ]
         if _named_like_date(name):
             aggregates.append(F.count(to_date_time(value)).alias(f"date{i}"))
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(any_value).alias("kept"), *aggregates
-    ).first()
+    values.append(any_value.alias("any_value"))
+    row = (
+        df.select(*values)
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if("any_value").alias("kept"), *aggregates)
+        .first()
+    )
     kept = [c for i, c in enumerate(df.columns) if row[f"present{i}"]]
     decisions = Decisions(row["rows"], len(df.columns), row["kept"], kept)
     for i, name in enumerate(df.columns):
         if name not in text or not row[f"present{i}"] or not row[f"values{i}"]:
             continue
         _decide(decisions, name, {k: row[f"{k}{i}"] for k in
-                                  ("values", "decimal", "zero", "number", "pointed", "integer")},
+                                  ("values", "decimal", "zero", "pointed", "comma", "integer")},
                 row[f"date{i}"] if _named_like_date(name) else None)
     return df.where(any_value), decisions
 
@@ -98,7 +104,7 @@ def _decide(decisions: Decisions, name: str, counts: dict[str, int], dates: int
     if decimal:
         decisions.decimal.append(name)
     if counts["zero"] / values <= LEADING_ZERO_SHARE:
-        numbers = counts["pointed" if decimal else "number"]
+        numbers = counts["pointed"] - (0 if decimal else counts["comma"])
         if numbers / values > NUMERIC_SHARE:
             decisions.numeric.append(name)
             # Whole numbers without a gap stay integers; a gap or a fraction makes them doubles.

@@ -109,37 +109,41 @@ def _missing_weight(name: str, children: dict[str, list[JoinStep]]) -> int:
     return min(below, default=1)
 
 
-def _weights(
-    name: str, up: str | None, tables: dict[str, DataFrame], children: dict[str, list[JoinStep]]
-) -> DataFrame:
-    """``(key, w)``: joined rows the subtree of ``name`` yields per value of its ``up`` column."""
-    steps = children[name]
-    keys = [col(s.on_column).alias(f"c{i}") for i, s in enumerate(steps)]
-    upward = [col(up).alias("key")] if up else []
-    # Equal key combinations collapse before any join, so a hot key is one row, not a third of all.
-    rows = tables[name].groupBy(*upward, *keys).agg(F.count(F.lit(1)).alias("w"))
-    for i, step in enumerate(steps):
-        side = _weights(step.file, step.file_column, tables, children).select(
+def _key_counts(tables: dict[str, DataFrame], root: str, steps: list[JoinStep]) -> dict:
+    """Per table one row for each combination of its join keys, with its number of rows ``w``.
+
+    Equal combinations collapse before any join, so a hot key is one row, not a third of all.
+    """
+    upward = {s.file: [col(s.file_column).alias("key")] for s in steps} | {root: []}
+    counts = {}
+    for name, df in tables.items():
+        below = [s for s in steps if s.on_file == name]
+        keys = [col(s.on_column).alias(f"c{i}") for i, s in enumerate(below)]
+        counts[name] = df.groupBy(*upward[name], *keys).agg(F.count(F.lit(1)).alias("w"))
+    return counts
+
+
+def _weights(name: str, counts: dict[str, DataFrame], children: dict) -> DataFrame:
+    """``(key, w)``: joined rows the subtree of ``name`` yields per value of its own join column."""
+    rows = counts[name]
+    for i, step in enumerate(children[name]):
+        side = _weights(step.file, counts, children).select(
             F.col("key").alias(f"k{i}"), F.col("w").alias(f"w{i}")
         )
-        if step.how == "left":
-            rows = rows.join(side, F.col(f"c{i}") == F.col(f"k{i}"), "left")
-            factor: Column = F.coalesce(
-                F.col(f"w{i}"), F.lit(_missing_weight(step.file, children))
-            )
-        else:
-            rows = rows.join(side, F.col(f"c{i}") == F.col(f"k{i}"))
-            factor = F.col(f"w{i}")
+        rows = rows.join(side, F.col(f"c{i}") == F.col(f"k{i}"), step.how)
+        missing = _missing_weight(step.file, children) if step.how == "left" else 0
+        factor = F.coalesce(F.col(f"w{i}"), F.lit(missing))
         rows = rows.withColumn("w", F.col("w") * factor).drop(f"k{i}", f"w{i}")
     total = F.coalesce(F.sum("w"), F.lit(0)).cast("bigint").alias("w")
-    return rows.groupBy(*(["key"] if up else [])).agg(total)
+    return rows.groupBy(*[c for c in rows.columns if c == "key"]).agg(total)
 
 
 def joined_row_count(tables: dict[str, DataFrame], spec: dict) -> DataFrame:
     """Number of rows of the join tree, from key counts alone; no joined row is ever built."""
     root, steps = parse_spec(tables, spec)
     children = {name: [s for s in steps if s.on_file == name] for name in tables}
-    return _weights(root, None, tables, children).select(F.col("w").alias("row_count"))
+    counts = _key_counts(tables, root, steps)
+    return _weights(root, counts, children).select(F.col("w").alias("row_count"))
 
 
 def source_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -165,8 +169,8 @@ def diagnose_join(tables: dict[str, DataFrame], spec: dict) -> DataFrame:
     joined = joined_row_count(tables, spec).select(
         F.lit(None).cast("string").alias("source"), F.col("row_count").alias("n")
     )
-    counts = source_row_counts(tables).unionByName(joined)
-    sizes = counts.agg(
+    # Counting a source reads no column, only the row counts of its Parquet footers.
+    sizes = source_row_counts(tables).unionByName(joined).agg(
         F.max(F.when(F.col("source").isNull(), F.col("n"))).alias("row_count"),
         F.max(F.when(F.col("source").isNotNull(), F.col("n"))).alias("largest_source"),
     )

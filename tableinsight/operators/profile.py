@@ -14,7 +14,6 @@ from tableinsight.functions.columns import (
 from tableinsight.functions.quantiles import (
     DIRECT_VALUES,
     as_doubles,
-    grid_of,
     interpolate,
     order_statistics,
     wanted_ranks,
@@ -33,8 +32,9 @@ def _column_stats(
 ) -> tuple[list[dict], list[int]]:
     """Statistics and exact quantiles per number, and how often each flag holds.
 
-    First-order statistics, sketches and flags come from one scan. The quantiles need at least
-    one more scan, which reads only the number columns.
+    First-order statistics and flags come from one fully code-generated scan. The quantiles need
+    at least two more, a sketching and a ranking one, which read only the number columns. (Sketches
+    in the first scan would move all its aggregates to the slower object-based aggregation.)
     """
     values = df.select(*as_doubles(numbers), *[f.alias(f"f{j}") for j, f in enumerate(flags)])
     aggregates = [F.count_if(F.col(f"f{j}")).alias(f"f{j}") for j in range(len(flags))]
@@ -46,16 +46,18 @@ def _column_stats(
             F.max(v).alias(f"hi{i}"),
             F.avg(v).alias(f"mean{i}"),
             F.stddev_samp(v).alias(f"std{i}"),
-            grid_of(v).alias(f"grid{i}"),
         ]
     row = values.agg(*aggregates).first()
-    base, ranks = {}, {}
-    for i in range(len(numbers)):
-        n = row[f"n{i}"]
-        if n:
-            base[i] = (n, row[f"lo{i}"], row[f"hi{i}"], row[f"grid{i}"])
-            ranks[i] = {r for p in probabilities for r in wanted_ranks(n, p)[:2]}
-    found = order_statistics(values, ranks, base, direct_values) if ranks else {}
+    bounds = {
+        i: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"])
+        for i in range(len(numbers))
+        if row[f"n{i}"]
+    }
+    ranks = {
+        i: {r for p in probabilities for r in wanted_ranks(n, p)[:2]}
+        for i, (n, _, _) in bounds.items()
+    }
+    found = order_statistics(values, ranks, bounds, direct_values)
     stats = []
     for i in range(len(numbers)):
         first_order = {s: row[f"{s}{i}"] for s in ("n", "lo", "hi", "mean", "std")}
