@@ -68,7 +68,12 @@ def extract_json(df: DataFrame, text: str, schema: str) -> DataFrame:
     body = stripped(col(text))
 
     def valid(candidate: Column) -> Column:
-        return F.try_parse_json(candidate).isNotNull()
+        """The parser overlooks text after a value; inside both brackets and braces it cannot."""
+        in_array = F.concat(F.lit("["), candidate, F.lit("]"))
+        in_object = F.concat(F.lit('{"v":'), candidate, F.lit("}"))
+        return (
+            F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
+        )
 
     fenced = F.nullif(F.regexp_extract(body, FENCED_JSON, 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(body, _BRACES, 0), F.lit(""))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +35,11 @@ _KINDS = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[jJ][sS][oO][nN]}"
 COUNTED, UNREADABLE = "counted", "unreadable"
 
 
+def _is_bad_file(error: Exception) -> bool:
+    """The content is at fault, not the cluster: a lost executor must fail the batch, not the file."""
+    return isinstance(error, AnalysisException) or "FAILED_READ_FILE" in str(error)
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     kind = extension(path)
     if kind == ".parquet":
@@ -87,7 +93,9 @@ class ArrivalGate:
         """Rows per readable file. A file that cannot be read, or is empty, is missing."""
         try:
             counts = file_row_counts(self.spark, paths).collect()  # one row per file
-        except PySparkException:
+        except (PySparkException, Py4JJavaError) as error:
+            if not _is_bad_file(error):
+                raise
             if len(paths) == 1:
                 return {}
             # One bad file fails the shared job: count the files of this batch one by one.
