@@ -90,7 +90,7 @@ class ArrivalGate:
         return files.where(direct).select("path", F.col("modificationTime").alias("modified"))
 
     def _count(self, paths: list[str]) -> dict[str, int]:
-        """Rows per readable file. A file that cannot be read, or is empty, is missing."""
+        """Rows per readable file; a file that cannot be read is missing."""
         try:
             counts = file_row_counts(self.spark, paths).collect()  # one row per file
         except (PySparkException, Py4JJavaError) as error:
