@@ -17,6 +17,8 @@ def compact_key(value: Column, data_type: T.DataType) -> Column:
     Values shorter than the digest stay as they are, so a short value can never be taken for a
     digest. NULL stays NULL.
     """
+    if isinstance(data_type, T.VariantType):
+        return compact_key(F.to_json(value), T.StringType())
     if isinstance(data_type, T.StringType):
         return F.when(F.length(value) < _DIGEST_LENGTH, value).otherwise(
             F.sha2(value.cast("binary"), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,7 @@ NO_FINDING_TEXT = "Aucune observation disponible."
 # Up to the limit the sketch counts linearly and is off by a fraction of one.
 _SCREEN_FACTOR = 10
 
+_COUNT_SCHEMA = "dimension string, category string, n bigint"
 _TEST_SCHEMA = (
     "dimension string, status string, n_categories bigint, chi2 double, p_value double, "
     "significant boolean, error string"
@@ -35,7 +37,11 @@ class DriverAnalysis:
 
 
 def _wide_dimensions(df: DataFrame, dimensions: list[str], max_categories: int) -> set[str]:
-    """Dimensions far over the limit, from one mergeable sketch per column: no shuffle of values."""
+    """Dimensions far over the limit, from one mergeable sketch per column: no shuffle of values.
+
+    Their categories, let alone their (category, entity) pairs, would be a shuffle of the whole
+    table for dimensions that are skipped anyway.
+    """
     if not dimensions:
         return set()
     sketches = [
@@ -142,20 +148,20 @@ def driver_analysis(
     failing = chosen if entity_missing else [d for d in chosen if d not in known]
     usable = [] if entity_missing else known
 
-    # Pairs (category, entity) of a near-unique column would be a full-table shuffle for a
-    # dimension that is skipped anyway; without an entity there is nothing to save.
-    wide = _wide_dimensions(df, usable, max_categories) if entity else set()
+    wide = _wide_dimensions(df, usable, max_categories)
     narrow = [d for d in usable if d not in wide]
 
     tests = []
-    breakdown = spark.createDataFrame([], "dimension string, category string, n bigint")
+    breakdown = spark.createDataFrame([], _COUNT_SCHEMA)
     if narrow:
-        counts = _category_counts(df, narrow, entity)
-        narrow_tests = _tests(counts, max_categories)
-        tests.append(narrow_tests)
-        # One row per dimension, at most max_dimensions of them.
-        kept = narrow_tests.where("status <> 'skipped'").select("dimension")
-        breakdown = counts.join(F.broadcast(kept), "dimension", "left_semi").orderBy(
+        # The screen bounds this to max_dimensions times a few hundred rows. Counted once, they
+        # feed the breakdown and the tests.
+        rows = _category_counts(df, narrow, entity).collect()
+        counts = spark.createDataFrame(rows, _COUNT_SCHEMA)
+        tests.append(_tests(counts, max_categories))
+        sizes = Counter(r.dimension for r in rows)
+        kept = [d for d in narrow if sizes[d] <= max_categories]
+        breakdown = counts.where(F.col("dimension").isin(kept)).orderBy(
             "dimension", F.desc("n"), F.asc_nulls_last("category")
         )
     if wide:

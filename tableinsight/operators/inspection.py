@@ -39,8 +39,9 @@ def _total(n: Column) -> Column:
     return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
 
 
-def _group_totals(df: DataFrame) -> DataFrame:
-    """One row: counts plus ``null_i`` per column and ``min_i``/``max_i`` per date column."""
+def table_totals(df: DataFrame, entity: str | None = None) -> DataFrame:
+    """One row: row and duplicate counts, distinct entities, ``null_i`` per column and
+    ``min_i``/``max_i`` per date column. Inspection and validation both read from it."""
     groups, key = distinct_rows(df)
     n = F.col("n")
     dates = set(date_columns(df))
@@ -49,6 +50,8 @@ def _group_totals(df: DataFrame) -> DataFrame:
         F.count_if(n > 1).alias("duplicate_groups"),
         _total(n - 1).alias("excess_rows"),
     ]
+    if entity in key:
+        aggregates.append(F.count_distinct(F.col(key[entity])).alias("entities"))
     for i, name in enumerate(df.columns):
         k = F.col(key[name])
         aggregates.append(_total(F.when(k.isNull(), n)).alias(f"null_{i}"))
@@ -58,7 +61,7 @@ def _group_totals(df: DataFrame) -> DataFrame:
 
 
 def inspect_table(df: DataFrame, id_col: str | None = "auto") -> TableProfile:
-    row = _group_totals(df).first()
+    row = table_totals(df).first()
     dates = set(date_columns(df))
     as_text = {True: str, False: lambda _: None}
     return TableProfile(
@@ -78,12 +81,14 @@ def inspect_table(df: DataFrame, id_col: str | None = "auto") -> TableProfile:
     )
 
 
-def inspection_summary(df: DataFrame, id_col: str | None = "auto") -> DataFrame:
-    """The inspection as one row."""
+def inspection_summary(
+    df: DataFrame, id_col: str | None = "auto", totals: DataFrame | None = None
+) -> DataFrame:
+    """The inspection as one row; ``totals`` are the table's, if already computed."""
     with_nulls = sum(
         (F.col(f"null_{i}") > 0).cast("int") for i in range(len(df.columns))
     )
-    return _group_totals(df).select(
+    return (totals or table_totals(df)).select(
         "row_count",
         F.lit(len(df.columns)).alias("n_columns"),
         "duplicate_groups",
@@ -151,21 +156,15 @@ def schema_frame(df: DataFrame) -> DataFrame:
 
 
 def validation_checks(
-    df: DataFrame, id_col: str | None = "auto", date_col: str | None = "auto"
+    df: DataFrame,
+    id_col: str | None = "auto",
+    date_col: str | None = "auto",
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """``(check, result, passed)``; a check that names a missing column fails, the others still run."""
     entity, date = id_column(df, id_col), first_date_column(df, date_col)
-    groups, key = distinct_rows(df)
     missing = {c for c in (entity, date) if c and c not in df.columns}
-    aggregates = [
-        _total(F.col("n")).alias("row_count"),
-        F.count_if(F.col("n") > 1).alias("duplicate_groups"),
-    ]
-    if entity and entity not in missing:
-        aggregates.append(F.count_distinct(F.col(key[entity])).alias("entities"))
-    if date and date not in missing:
-        k = F.col(key[date])
-        aggregates += [F.min(k).alias("first_date"), F.max(k).alias("last_date")]
+    totals = totals or table_totals(df, entity)
 
     def check(name: str, column: str | None, result: Column, passed: Column = F.lit(True)) -> Column:
         if column in missing:
@@ -182,10 +181,11 @@ def validation_checks(
     else:
         checks.append(check(CHECK_ROWS, None, F.col("row_count")))
     if date:
-        span = F.concat_ws(
-            " .. ", F.col("first_date").cast("string"), F.col("last_date").cast("string")
-        )
-        checks.append(check(CHECK_DATES, date, span))
+        bounds = []
+        if date not in missing:
+            i = df.columns.index(date)
+            bounds = [F.col(f"min_{i}").cast("string"), F.col(f"max_{i}").cast("string")]
+        checks.append(check(CHECK_DATES, date, F.concat_ws(" .. ", *bounds)))
     duplicates = F.col("duplicate_groups")
     checks.append(check(CHECK_DUPLICATES, None, duplicates, duplicates == 0))
-    return _one_row_per_column(groups.agg(*aggregates), checks)
+    return _one_row_per_column(totals, checks)

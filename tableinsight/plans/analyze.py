@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from tableinsight.functions.columns import first_date_column, id_column
 from tableinsight.operators.drivers import NO_FINDING_TEXT, DriverAnalysis, driver_analysis
 from tableinsight.operators.drivers import findings as driver_findings
-from tableinsight.operators.inspection import inspection_summary, validation_checks
+from tableinsight.operators.inspection import (
+    inspection_summary,
+    table_totals,
+    validation_checks,
+)
 from tableinsight.operators.joins import diagnose_join, join_tables
 from tableinsight.operators.metric import Metric, entity_metric
 from tableinsight.sources.export import markdown_report, write_markdown, write_tables
@@ -44,13 +48,19 @@ def analyze(
     dimensions: list[str] | None = None,
     join_diagnosis: DataFrame | None = None,
 ) -> Analysis:
-    """Inspect, build the metric, test the drivers, validate. Each part scans only its columns."""
+    """Inspect, build the metric, test the drivers, validate. Each part scans only its columns.
+
+    Finding duplicates groups by the whole row, the one expensive shuffle here; it is run once and
+    its single row of totals serves inspection and validation.
+    """
     entity, date = id_column(df, id_col), first_date_column(df, date_col)
+    totals = table_totals(df, entity)
+    totals = df.sparkSession.createDataFrame(totals.collect(), totals.schema)
     return Analysis(
-        inspection_summary(df, entity),
+        inspection_summary(df, entity, totals),
         entity_metric(df, entity, date),
         driver_analysis(df, entity, dimensions),
-        validation_checks(df, entity, date),
+        validation_checks(df, entity, date, totals),
         join_diagnosis,
     )
 

@@ -61,9 +61,9 @@ def file_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     frames = []
     if csv := by_kind.get(".csv"):
         frames.append(csv_row_counts(spark, csv))
-    for path in by_kind.get(".parquet", []):
-        # Each file has its own schema; an empty projection reads only the footer's row counts.
-        frames.append(_per_file(spark.read.parquet(path)))
+    if parquet := by_kind.get(".parquet"):
+        # No column is read, only the row counts in the footers, so the schemas may differ.
+        frames.append(_per_file(spark.read.schema("unread int").parquet(*parquet)))
     if json := by_kind.get(".json"):
         filled = spark.read.text(json).where(F.length(F.trim("value")) > 0)
         frames.append(_per_file(filled))

@@ -316,3 +316,11 @@ def test_analyze(retention):
     result = analyze(retention)
     assert result.inspection.first().row_count == 40
     assert {r.dimension for r in result.drivers.tests.collect()} == {"platform", "region"}
+
+
+def test_nested_and_variant_columns_can_be_inspected(spark):
+    df = spark.sql(
+        "SELECT id % 2 AS k, array(1) AS a, map('x', 1) AS m, struct(1 AS s) AS t, "
+        "parse_json('{\"v\": 1}') AS v, binary('b') AS b FROM range(4)"
+    )
+    assert inspect_table(df).duplicate_count == 2
