@@ -8,36 +8,45 @@ from pyspark.sql import functions as F
 from tableinsight.names import col
 from tableinsight.session import fresh_path
 
+# A monotonically increasing id holds the row's number in its partition in the lower 33 bits.
+_ROW_BITS = 33
+
 
 def with_positions(df: DataFrame, series: list[str], order: list[str], name: str) -> DataFrame:
     """Add the 0-based position of each row in its series.
 
-    Rows are range-partitioned on (series, order), so a long series spans many tasks; a task
-    numbers only its own rows and adds the sizes of the earlier parts of the series. The ranges
-    are written to the shared folder first: they come from a sample, so they must not be drawn
-    again after a lost executor.
+    Rows are range-partitioned and sorted on (series, order), so a long series spans many tasks.
+    Each row gets its number within its partition; adding the sizes of the earlier parts of the
+    series gives the position, with no further shuffle of the rows. The numbered rows are written
+    to the shared folder first: the ranges come from a sample, so they must not be drawn again
+    after a lost executor.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "ranges")
     columns = [col(c) for c in (*series, *order)]
-    df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id()).write.parquet(path)
-    parts = spark.read.parquet(path)
+    numbered = (
+        df.repartitionByRange(*columns)
+        .sortWithinPartitions(*columns)
+        .withColumn("__id", F.monotonically_increasing_id())
+    )
+    numbered.write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", _ROW_BITS))
     by_series = [col(c) for c in series]
     # One row per (series, part): at most parts + series rows, whatever the series lengths.
-    sizes = parts.groupBy(*by_series, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    parts = rows.groupBy(*by_series, "__part").agg(
+        F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__size")
+    )
     earlier = Window.partitionBy(*by_series).orderBy("__part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    starts = sizes.select(
+    starts = parts.select(
         *[col(c).alias(f"__s{i}") for i, c in enumerate(series)],
         F.col("__part").alias("__p"),
-        F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__start"),
+        (F.coalesce(F.sum("__size").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"),
     )
     same = F.col("__part") == F.col("__p")
     for i, c in enumerate(series):
         same = same & col(c).eqNullSafe(F.col(f"__s{i}"))
-    inside = Window.partitionBy(*by_series, "__part").orderBy(*[col(c) for c in order])
-    numbered = parts.withColumn("__row", F.row_number().over(inside))
-    return numbered.join(starts, same).select(
-        *[col(c) for c in df.columns], (F.col("__start") + F.col("__row") - 1).alias(name)
+    return rows.join(starts, same).select(
+        *[col(c) for c in df.columns], (F.col("__id") + F.col("__shift")).alias(name)
     )

@@ -59,7 +59,9 @@ def _category_counts(df: DataFrame, dimensions: list[str], entity: str | None) -
     The distinct count first groups by (dimension, category, entity), so a category or an entity
     that holds a third of the rows is spread and pre-aggregated like any other.
     """
-    ids = [col(entity).alias("entity")] if entity else []
+    ids = []
+    if entity:
+        ids.append(compact_key(col(entity), df.schema[entity].dataType).alias("entity"))
     # Positional names: a header may contain anything, the dimension column carries the real name.
     slots = [f"d{i}" for i in range(len(dimensions))]
     categories = [col(d).cast("string").alias(s) for d, s in zip(dimensions, slots)]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableinsight.functions.columns import first_date_column, id_column
+from tableinsight.functions.keys import compact_key
 from tableinsight.names import col
 
 # Metric labels.
@@ -23,8 +24,12 @@ class Metric:
     label: str
 
 
-def entity_count(id_col: str | None) -> Column:
-    return F.count_distinct(col(id_col)) if id_col else F.count(F.lit(1))
+def entity_count(df: DataFrame, id_col: str | None, approximate: bool = False) -> Column:
+    """Distinct entities, or rows without an entity; long text ids are compared by digest."""
+    if not id_col:
+        return F.count(F.lit(1))
+    key = compact_key(col(id_col), df.schema[id_col].dataType)
+    return F.approx_count_distinct(key) if approximate else F.count_distinct(key)
 
 
 def week_of(name: str) -> Column:
@@ -33,22 +38,26 @@ def week_of(name: str) -> Column:
 
 
 def entity_metric(
-    df: DataFrame, id_col: str | None = "auto", date_col: str | None = "auto"
+    df: DataFrame,
+    id_col: str | None = "auto",
+    date_col: str | None = "auto",
+    approximate: bool = False,
 ) -> Metric:
     """Weekly ``(week, value)`` when a date column exists, else a single ``(value)`` row.
 
     A distinct count aggregates on (week, id) first and on week second, so neither a busy week
-    nor a busy entity ends up whole in one task.
+    nor a busy entity ends up whole in one task. ``approximate`` replaces it by a mergeable sketch.
     """
     entity = id_column(df, id_col)
     date = first_date_column(df, date_col)
     count = ENTITY_LABEL if entity else ROW_LABEL
+    value = entity_count(df, entity, approximate).alias("value")
     if date is None:
-        total = df.agg(entity_count(entity).alias("value"))
+        total = df.agg(value)
         return Metric(total, TOTAL_LABEL.format(count=count))
     weekly = (
         df.groupBy(week_of(date).alias("week"))
-        .agg(entity_count(entity).alias("value"))
+        .agg(value)
         .orderBy(F.asc_nulls_last("week"))
     )
     return Metric(weekly, WEEKLY_LABEL.format(count=count, date=date))

@@ -19,6 +19,21 @@ from tableinsight.functions.quantiles import (
     wanted_ranks,
 )
 from tableinsight.names import col
+from tableinsight.operators.inspection import duplicate_stats
+
+# Keys of the JSON profile and the profile columns behind them.
+REPORT_COLUMN = {
+    "colonne": "column_name",
+    "type": "column_type",
+    "valeurs_manquantes": "n_nulls",
+}
+REPORT_NUMBERS = {
+    "min": "min",
+    "max": "max",
+    "moyenne": "mean",
+    "mediane": "median",
+    "ecart_type": "stddev",
+}
 
 _QUARTILES = (0.25, 0.5, 0.75)
 
@@ -92,6 +107,22 @@ def profile_table(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFram
     )
 
 
+def profile_report(df: DataFrame, direct_values: int = DIRECT_VALUES) -> dict:
+    """The profile with row and duplicate-group totals, in the form of a JSON document."""
+    totals = duplicate_stats(df).first()
+    columns = []
+    for row in profile_table(df, direct_values).collect():  # one row per column
+        entry = {name: row[source] for name, source in REPORT_COLUMN.items()}
+        if row["min"] is not None:
+            entry |= {name: row[source] for name, source in REPORT_NUMBERS.items()}
+        columns.append(entry)
+    return {
+        "total_lignes": totals.row_count,
+        "doublons": totals.duplicate_groups,
+        "profiling": columns,
+    }
+
+
 def describe_numbers(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column."""
     names = numeric_columns(df)

@@ -62,8 +62,9 @@ def ensure_read_only(sql: str) -> str:
     return statement
 
 
-def run_read_only(spark: SparkSession, sql: str, limit: int = RESULT_ROWS) -> DataFrame:
-    """The guarded query with the row cap inside the plan, so no more rows than that are fetched.
+def run_read_only(spark: SparkSession, sql: str, limit: int | None = RESULT_ROWS) -> DataFrame:
+    """The guarded query with the row cap inside the plan, so no more rows than that are fetched;
+    ``limit=None`` leaves the result whole.
 
     Files named directly in FROM would bypass the catalog, so that is off while the statement is
     being resolved.
@@ -72,12 +73,13 @@ def run_read_only(spark: SparkSession, sql: str, limit: int = RESULT_ROWS) -> Da
     before = spark.conf.get("spark.sql.runSQLOnFiles")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(statement).limit(limit)
+        result = spark.sql(statement)
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", before)
+    return result if limit is None else result.limit(limit)
 
 
-def try_query(spark: SparkSession, sql: str, limit: int = RESULT_ROWS) -> QueryResult:
+def try_query(spark: SparkSession, sql: str, limit: int | None = RESULT_ROWS) -> QueryResult:
     """As ``run_read_only``, but refusals and errors come back as text."""
     try:
         return QueryResult(True, run_read_only(spark, sql, limit), None)

@@ -10,6 +10,11 @@ from tableinsight.names import quote
 from tableinsight.operators.inspection import schema_frame
 
 
+# Rows of a preview and of a sample.
+PREVIEW_ROWS = 10
+SAMPLE_ROWS = 5
+
+
 @dataclass(frozen=True)
 class Health:
     status: str
@@ -25,3 +30,8 @@ def health_check(spark: SparkSession) -> Health:
 def table_schema(spark: SparkSession, table: str) -> DataFrame:
     """``(column_name, column_type)`` of a registered table."""
     return schema_frame(spark.table(quote(table)))
+
+
+def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows; the limit is part of the plan, so only as much as needed is read."""
+    return df.limit(rows)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tableinsight.names import unique
 from tableinsight.operators.neutralize import neutralize_formulas
+from tableinsight.operators.profile import describe
 
 # Suffix of cleaned files.
 CLEANED_SUFFIX = "_nettoye"
@@ -32,6 +33,15 @@ def write_cleaned(files: dict[str, DataFrame], folder: str) -> list[str]:
     return paths
 
 
+def write_described(files: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
+    """Per source file its data and its descriptive statistics, as datasets side by side."""
+    paths = []
+    for name, frame in zip(export_names(files), files.values()):
+        tables = {"data": frame} | {f"stats_{k}": t for k, t in describe(frame).items()}
+        paths += write_tables(tables, f"{folder}/{name}", fmt).values()
+    return paths
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:
     """Each report table as a dataset; tables with a dimension are partitioned by it."""
     paths = {}

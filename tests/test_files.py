@@ -1,7 +1,5 @@
 from datetime import date
 
-import pytest
-
 from tableinsight.plans.analyze import analyze, write_report
 from tableinsight.session import fresh_path, shuffle_partitions
 from tableinsight.sources.csv import (
@@ -11,7 +9,13 @@ from tableinsight.sources.csv import (
     read_csv_robust,
     read_many_robust,
 )
-from tableinsight.sources.export import export_names, markdown_report, write_cleaned
+from tableinsight.sources.catalog import preview
+from tableinsight.sources.export import (
+    export_names,
+    markdown_report,
+    write_cleaned,
+    write_described,
+)
 from tableinsight.sources.files import file_row_counts
 
 
@@ -113,6 +117,9 @@ def test_session_settings(spark):
     assert fresh_path(spark, "x").startswith(shared) and fresh_path(spark, "x") != fresh_path(spark, "x")
 
 
-@pytest.mark.parametrize("missing", ["spark.checkpoint.dir.other"])
-def test_unknown_setting_is_none(spark, missing):
-    assert spark.conf.get(missing, None) is None
+def test_described_data(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(5)], "n int, kind string")
+    paths = write_described({"in.csv": df}, str(tmp_path / "d"))
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["data", "stats_numbers"]
+    assert spark.read.parquet(paths[1]).first().p50 == 2.0
+    assert preview(df, 3).count() == 3

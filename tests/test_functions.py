@@ -9,7 +9,12 @@ from tableinsight.functions import columns
 from tableinsight.functions.chisq import uniform_statistic, upper_tail
 from tableinsight.functions.keys import distinct_rows
 from tableinsight.functions.ordering import with_positions
-from tableinsight.operators.profile import describe, describe_numbers, profile_table
+from tableinsight.operators.profile import (
+    describe,
+    describe_numbers,
+    profile_report,
+    profile_table,
+)
 
 # Chi-squared critical values at 0.05 for 1 to 29 degrees of freedom.
 from tableinsight.plans.oracle import CRITICAL_VALUES
@@ -145,3 +150,14 @@ def test_positions_across_partitions(spark):
     placed = with_positions(df, ["s"], ["o"], "pos").toPandas()
     expected = placed.sort_values("o").groupby("s").cumcount()
     assert (placed.pos == expected.reindex(placed.index)).all() and len(placed) == 5000
+
+
+def test_profile_report(spark):
+    """Golden numbers of a column with the values 1 to 60."""
+    df = spark.range(1, 61).select(F.col("id").alias("customer_id"), F.lit("web").alias("platform"))
+    report = profile_report(df)
+    assert (report["total_lignes"], report["doublons"]) == (60, 0)
+    number, text = report["profiling"]
+    assert (number["min"], number["max"], number["mediane"]) == (1, 60, 30.5)
+    assert number["ecart_type"] == pytest.approx(17.464249, abs=1e-6)
+    assert text == {"colonne": "platform", "type": "VARCHAR", "valeurs_manquantes": 0}

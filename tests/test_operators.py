@@ -324,3 +324,24 @@ def test_nested_and_variant_columns_can_be_inspected(spark):
         "parse_json('{\"v\": 1}') AS v, binary('b') AS b FROM range(4)"
     )
     assert inspect_table(df).duplicate_count == 2
+
+
+def test_long_text_ids_and_approximate_counts(spark):
+    df = spark.range(300).select(
+        F.concat(F.lit("u" * 100), F.col("id") % 30).alias("user_id"), F.lit("a").alias("kind")
+    )
+    assert entity_metric(df).frame.first().value == 30
+    assert driver_analysis(df).breakdown.first().n == 30
+    assert entity_metric(df, approximate=True).frame.first().value == pytest.approx(30, abs=2)
+
+
+def test_hot_entity_and_category(spark):
+    """One user, one category and one repeated row hold a third of all rows."""
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 5)).alias("kind"),
+    )
+    counts = {r.category: r.n for r in driver_analysis(df).breakdown.collect()}
+    assert counts == {"hot": 1, **{f"c{i}": 1200 for i in range(5)}}
+    stats = duplicate_stats(df).first()
+    assert (stats.duplicate_groups, stats.excess_rows) == (1, 2999)
