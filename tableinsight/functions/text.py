@@ -65,7 +65,6 @@ def chunk_text(df: DataFrame, key: str, text: str, max_chars: int = MAX_CHUNK_CH
 
 def extract_json(df: DataFrame, text: str, schema: str) -> DataFrame:
     """Add ``strategy`` (fenced, whole, braces or none), the JSON text ``raw`` and ``parsed``."""
-    body = stripped(col(text))
 
     def valid(candidate: Column) -> Column:
         """The parser overlooks text after a value; inside both brackets and braces it cannot."""
@@ -75,9 +74,12 @@ def extract_json(df: DataFrame, text: str, schema: str) -> DataFrame:
             F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
         )
 
-    fenced = F.nullif(F.regexp_extract(body, FENCED_JSON, 1), F.lit(""))
-    braces = F.nullif(F.regexp_extract(body, _BRACES, 0), F.lit(""))
-    candidates = df.withColumns({"__fenced": fenced, "__braces": braces, "__whole": body})
+    whole = F.col("__whole")
+    fenced = F.nullif(F.regexp_extract(whole, FENCED_JSON, 1), F.lit(""))
+    braces = F.nullif(F.regexp_extract(whole, _BRACES, 0), F.lit(""))
+    candidates = df.withColumn("__whole", stripped(col(text))).withColumns(
+        {"__fenced": fenced, "__braces": braces}
+    )
     strategy = (
         F.when(valid(F.col("__fenced")), "fenced")
         .when(valid(F.col("__whole")), "whole")

@@ -116,8 +116,8 @@ def _decide(decisions: Decisions, name: str, counts: dict[str, int], dates: int
         decisions.date.append(name)
 
 
-def _converted(name: str, is_text: bool, decisions: Decisions) -> Column:
-    value = stripped(col(name)) if is_text else col(name)
+def _converted(name: str, decisions: Decisions) -> Column:
+    value = col(name)
     if name in decisions.decimal:
         value = comma_to_point(value)
     if name in decisions.integral:
@@ -169,8 +169,12 @@ def clean(df: DataFrame, deduplicate: bool = True) -> Cleaned:
     drop duplicate rows, and report what was done."""
     rows, decisions = _measure(strip_headers(df))
     text = set(text_columns(rows))
-    converted = rows.select(
-        *[_converted(c, c in text, decisions) for c in decisions.kept_columns]
+    # Stripped in a projection of its own: the conversions look at a value several times.
+    kept = [
+        (stripped(col(c)) if c in text else col(c)).alias(c) for c in decisions.kept_columns
+    ]
+    converted = rows.select(*kept).select(
+        *[_converted(c, decisions) for c in decisions.kept_columns]
     )
     frame = converted.dropDuplicates() if deduplicate else converted
     return Cleaned(frame, _report(converted, decisions), decisions)
