@@ -29,8 +29,13 @@ _TIME = "[ H:mm[:ss]]"
 
 
 def stripped(value: Column) -> Column:
-    """Trimmed of all white space; blank becomes NULL."""
-    return F.nullif(F.trim(value, F.lit(_SPACES)), F.lit(""))
+    """Trimmed of all white space; blank becomes NULL. Plain spaces go first, which is cheap; the
+    other kinds are rare, so the ends are looked at before trimming those too."""
+    trimmed = F.trim(value)
+    spaced = F.substring(trimmed, 1, 1).isin(*_SPACES) | F.substring(trimmed, -1, 1).isin(*_SPACES)
+    return F.nullif(
+        F.when(spaced, F.trim(trimmed, F.lit(_SPACES))).otherwise(trimmed), F.lit("")
+    )
 
 
 def has_text(value: Column) -> Column:
