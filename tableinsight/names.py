@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ def stem(path: str) -> str:
     return PurePosixPath(str(path).replace("\\", "/")).stem
 
 
+def readable_path(uri: str) -> str:
+    """A path as readers take it, from the percent-encoded one in file metadata."""
+    return unquote(uri)
+
+
 def table_name(path: str) -> str:
     return _UNSAFE.sub("_", stem(path))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tableinsight.names import table_name
+from tableinsight.names import readable_path, table_name
 
 # Delimiters looked for, in order of preference, and encoding names reported.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -112,7 +112,7 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, Dialect]
     )
     chosen = {r.file: DELIMITERS[r.i] for r in common.collect()}
     return {
-        file: Dialect(UTF8 if r.utf8 else LATIN1, chosen.get(file, DEFAULT_DELIMITER))
+        readable_path(file): Dialect(UTF8 if r.utf8 else LATIN1, chosen.get(file, DEFAULT_DELIMITER))
         for file, r in files.items()
     }
 

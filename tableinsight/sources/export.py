@@ -12,8 +12,12 @@ from tableinsight.names import unique
 from tableinsight.operators.neutralize import neutralize_formulas
 from tableinsight.operators.profile import describe
 
-# Suffix of cleaned files.
+# Suffix of cleaned files and texts of the report.
 CLEANED_SUFFIX = "_nettoye"
+REPORT_TITLE = "# Rapport d'analyse : {timestamp}"
+REPORT_QUESTION = "**Question :** {question}"
+REPORT_SOURCE = "- {name} : {rows} lignes"
+REPORT_SECTION = "## Analyse"
 
 
 def export_names(files: Iterable[str]) -> list[str]:
@@ -60,9 +64,17 @@ def markdown_report(
     question: str, sources: dict[str, int], findings: Iterable[str], timestamp: str
 ) -> str:
     """Question, source sizes and findings; all of it already aggregated."""
-    lines = [f"# Rapport d'analyse : {timestamp}", "", f"**Question :** {question}", ""]
-    lines += [f"- {name} : {n} lignes" for name, n in sources.items()]
-    lines += ["", "## Analyse", "", *[f"- {f}" for f in findings]]
+    lines = [
+        REPORT_TITLE.format(timestamp=timestamp),
+        "",
+        REPORT_QUESTION.format(question=question),
+        "",
+        *[REPORT_SOURCE.format(name=name, rows=n) for name, n in sources.items()],
+        "",
+        REPORT_SECTION,
+        "",
+        *[f"- {finding}" for finding in findings],
+    ]
     return "\n".join(lines)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tableinsight.names import stem
+from tableinsight.names import readable_path, stem
 from tableinsight.operators.anomaly import THRESHOLD, WINDOW_SIZE
 from tableinsight.operators.approvals import APPROVED, PENDING, REJECTED, resolve
 from tableinsight.plans.analyze import analyze, write_report
@@ -100,7 +100,7 @@ class ArrivalGate:
                 return {}
             # One bad file fails the shared job: count the files of this batch one by one.
             return {k: v for p in paths for k, v in self._count([p]).items()}
-        return {r.path: r.n for r in counts}
+        return {readable_path(r.path): r.n for r in counts}
 
     def _record_arrivals(self, batch: DataFrame, batch_id: int) -> None:
         files = batch.collect()  # at most max_files rows of name and time

@@ -57,6 +57,10 @@ def test_robust_read(spark, tmp_path):
     both = read_many_robust(spark, [str(tmp_path / n) for n in ("comma.csv", "pipe.csv", "latin.csv")])
     assert both.columns == ["nom", "prix", "ville"] or set(both.columns) == {"nom", "prix", "ville"}
     assert both.count() == 3
+    for name, text in (("my file 1%.csv", "a;b\n1;x\n"), ("my lines 2%.csv", 'a;b\n1;"x\ny"\n')):
+        (tmp_path / name).write_text(text)
+        assert file_row_counts(spark, [str(tmp_path / name)]).first().n == 1
+    assert read_many_robust(spark, [str(tmp_path / "my file 1%.csv")]).columns == ["a", "b"]
 
 
 def test_leading_zeros_survive_the_robust_read(spark, tmp_path):
@@ -123,3 +127,18 @@ def test_described_data(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in paths] == ["data", "stats_numbers"]
     assert spark.read.parquet(paths[1]).first().p50 == 2.0
     assert preview(df, 3).count() == 3
+
+
+def test_quoted_line_breaks_across_blocks(spark, tmp_path):
+    body = "".join(f'{i};"first ""{i}""\n\nlast {i}"\n' for i in range(200))
+    (tmp_path / "q.csv").write_text("a;b\n" + body)
+    settings = {"spark.sql.files.maxPartitionBytes": "301", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert spark.read.text(str(tmp_path / "q.csv")).rdd.getNumPartitions() > 5
+        assert file_row_counts(spark, [str(tmp_path / "q.csv")]).first().n == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

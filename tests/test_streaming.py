@@ -47,6 +47,7 @@ def test_spike_triggers_and_state_survives_restart(spark, watch):
 
 def test_what_counts_as_an_arrival(spark, watch):
     _drop(watch, "HEADER.CSV", 0)
+    _drop(watch, "été 100% (a).csv", 4)
     (watch / "empty.csv").write_text("")
     (watch / "broken.parquet").write_text("not parquet")
     (watch / "notes.txt").write_text("a\nb\n")
@@ -58,9 +59,10 @@ def test_what_counts_as_an_arrival(spark, watch):
     arrivals = {r.path.rsplit("/", 1)[1]: (r.n, r.status) for r in gate.arrivals().collect()}
     assert arrivals == {
         "HEADER.CSV": (0, "counted"), "data.json": (2, "counted"),
+        "été 100% (a).csv": (4, "counted"),
         "broken.parquet": (None, "unreadable"),
     }  # a file without a byte is no arrival
-    assert {r.n for r in gate.decisions().collect()} == {0, 2}
+    assert {r.n for r in gate.decisions().collect()} == {0, 2, 4}
 
 
 def test_approval(spark, watch):
