@@ -4,9 +4,10 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from tableinsight.plans import catalog, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
