@@ -5,24 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tableinsight.llm import source_mix, url_filter
+from tableinsight.llm import (
+    decontaminate,
+    line_runs,
+    secrets,
+    source_mix,
+    token_store,
+    url_filter,
+)
 from tableinsight.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the environment keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_runs.dedup_lines(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept").cast("binary"), 256)
+    return lines.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return token_store.read_tokens(token_store.write_tokens(docs, tokenizer_path()))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated"
+    )
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+QUERIES = (
+    op2_line_dedup, op3_token_store, op4_source_mix, op7_secrets, op9_decontaminate, op10_url_filter,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_source_mix, op10_url_filter)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

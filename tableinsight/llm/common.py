@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableinsight.session import fresh_path
 
+_shipped: set[str] = set()
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -33,3 +41,19 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """The fold of a document: CRC-32 of its id as text (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def in_arrow(
+    frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object
+) -> DataFrame:
+    """``mapInArrow`` after the package's source was sent to the executors, once per application."""
+    context = frame.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return frame.mapInArrow(work, schema)
