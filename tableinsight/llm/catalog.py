@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tableinsight.llm import (
     decontaminate,
     line_runs,
+    near_dup,
     secrets,
     source_mix,
     token_store,
@@ -43,6 +44,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(read(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull())
+    return found.select("doc_id", "class_id", "n_class", "n_links", kept.alias("kept"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
@@ -62,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op2_line_dedup, op3_token_store, op4_source_mix, op7_secrets, op9_decontaminate, op10_url_filter,
+    op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op7_secrets, op9_decontaminate, op10_url_filter,
 )
 
 

@@ -168,6 +168,10 @@ def find_secrets(docs: DataFrame, allowed: Sequence[str] = ALLOWED) -> DataFrame
     return frame.select("doc_id", F.array_sort(F.concat(*kinds)).alias("spans"))
 
 
+def _is(rank: int) -> Callable[[Column], Column]:
+    return lambda r: r == rank
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
@@ -178,9 +182,10 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the query from the spans."""
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
+    ranks = F.transform("spans", lambda s: s["rank"])
     counts = [
-        F.size(F.filter("spans", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{kind}")
-        for r, (kind, *_) in enumerate(BASE_KINDS)
+        F.size(F.filter(ranks, _is(rank))).cast("long").alias(f"n_{kind}")
+        for rank, (kind, *_) in enumerate(BASE_KINDS)
     ]
     return found.select(
         "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
