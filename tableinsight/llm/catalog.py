@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from tableinsight.llm import (
     decontaminate,
+    language,
     line_runs,
     near_dup,
     secrets,
     source_mix,
     token_store,
+    toxicity,
     url_filter,
 )
-from tableinsight.llm.common import read
+from tableinsight.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.learn(docs.filter(~held_out).filter("lang is not null"))
+    return language.identify(docs, model).withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_runs.dedup_lines(read(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("kept").cast("binary"), 256)
@@ -54,6 +63,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = toxicity.learn(docs.filter(~held_out), labels)
+    predicted = (F.col("_score") >= toxicity.THRESHOLD).cast("int")
+    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"),
+        predicted.alias("predicted"), F.col("_sentences").alias("sentences"),
+    )
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
@@ -69,7 +89,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op7_secrets, op9_decontaminate, op10_url_filter,
+    op1_language, op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op7_secrets, op8_toxicity, op9_decontaminate, op10_url_filter,
 )
 
 
