@@ -17,6 +17,7 @@ from tableinsight.llm import (
     token_store,
     toxicity,
     url_filter,
+    vector_index,
 )
 from tableinsight.llm.common import fold, read
 
@@ -59,6 +60,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_class", "n_links", kept.alias("kept"))
 
 
+def op6_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
@@ -89,7 +94,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_language, op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op7_secrets, op8_toxicity, op9_decontaminate, op10_url_filter,
+    op1_language, op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op6_vector_index, op7_secrets, op8_toxicity, op9_decontaminate, op10_url_filter,
 )
 
 
