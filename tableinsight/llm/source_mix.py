@@ -163,3 +163,39 @@ def mix(
             (F.col("passes") * F.col("size") + F.col("part")).alias("taken"),
         )
     )
+
+
+def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix as documents: each row as often as whole passes take it, and once more cut to its
+    leading words where a pass ends in it. ``n_chars``, where there is one, follows a cut text.
+
+    Documents meet their plan by id, source and size; rows that agree in all three are numbered.
+    """
+    keys = ["_id", "_source", "_size"]
+
+    def keyed(frame: DataFrame, size: Column, number: str, *order: str) -> DataFrame:
+        frame = frame.withColumns({
+            "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("none")),
+            "_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("none")),
+            "_size": size,
+        })
+        return frame.withColumn(number, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+    plan = keyed(mix(docs, **options), F.col("size"), "_m", "passes", "part")
+    plan = plan.filter("taken > 0").select(*keys, "_m", F.col("passes").alias("_passes"), F.col("part").alias("_part"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    whole = F.array_repeat(F.col("text"), F.col("_passes").cast("int"))
+    cut = F.when(
+        F.col("_part") > 0,
+        F.array(F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")),
+    ).otherwise(F.array().cast("array<string>"))
+    taken = keyed(docs, size, "_n", "text").join(plan, keys).filter(F.col("_n") - F.col("_m") == 0)
+    taken = taken.withColumn("_copy", F.explode(F.concat(whole, cut)))
+    changed = F.col("_copy") != F.col("text")
+    return taken.select(*[
+        F.col("_copy").alias("text") if c == "text"
+        else F.when(changed, F.length("_copy")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars"
+        else F.col(c)
+        for c, t in docs.dtypes
+    ])
