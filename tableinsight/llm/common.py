@@ -57,3 +57,24 @@ def in_arrow(
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     return frame.mapInArrow(work, schema)
+
+
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The named columns, and all others out of the way in ``_row``, whatever their names."""
+    others = [c for c in docs.columns if c not in own]
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    return docs.select(*own, row.alias("_row"))
+
+
+def unpacked(frame: DataFrame, docs: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """The columns of ``docs`` again, those in ``own`` as given."""
+    return frame.select(*[(own[c] if c in own else F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
+def with_length(docs: DataFrame, changed: Column, text: Column) -> dict[str, Column]:
+    """``n_chars``, where documents have one, after their text has changed."""
+    kinds = dict(docs.dtypes)
+    if "n_chars" not in kinds:
+        return {}
+    old = F.col("_row")["n_chars"]
+    return {"n_chars": F.when(changed, F.length(text)).otherwise(old).cast(kinds["n_chars"])}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableinsight.llm import bytetext
-from tableinsight.llm.common import in_arrow
+from tableinsight.llm.common import in_arrow, packed, unpacked, with_length
 
 PHRASE_WORDS = 10
 SHARD_WORDS = 1 << 20  # words of indexed runs in one index
@@ -337,7 +337,7 @@ def find_passages(
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated."""
-    found = find_passages(docs.select("doc_id", "text"), benchmark, **options).drop("_text", "text")
+    found = find_passages(docs.select("doc_id", "text"), benchmark, **options)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(
         "doc_id", F.col("_words").alias("n_words"), hit.alias("n_hit"),
@@ -365,11 +365,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_passages(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The documents with every hit span removed; ``n_chars``, where there is one, follows the text."""
-    found = find_passages(docs, benchmark, **options)
+    found = find_passages(packed(docs, "text"), benchmark, **options).drop("text")
     cut = in_arrow(found, _cut, found.schema)
-    return cut.select(*[
-        F.col("_text").alias("text") if c == "text"
-        else F.when(F.size("_spans") > 0, F.length("_text")).otherwise(F.col(c)).cast(t).alias(c)
-        if c == "n_chars" else F.col(c)
-        for c, t in docs.dtypes
-    ])
+    changed = F.size("_spans") > 0
+    return unpacked(cut, docs, {"text": F.col("_text")} | with_length(docs, changed, F.col("_text")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tableinsight.llm.common import stored
+from tableinsight.llm.common import packed, stored, unpacked, with_length
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -190,12 +190,9 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
         F.col("_part") > 0,
         F.array(F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")),
     ).otherwise(F.array().cast("array<string>"))
-    taken = keyed(docs, size, "_n", "text").join(plan, keys).filter(F.col("_n") - F.col("_m") == 0)
+    rows = packed(docs, "doc_id", "text", "source")
+    taken = keyed(rows, size, "_n", "text").join(plan, keys).filter(F.col("_n") - F.col("_m") == 0)
     taken = taken.withColumn("_copy", F.explode(F.concat(whole, cut)))
     changed = F.col("_copy") != F.col("text")
-    return taken.select(*[
-        F.col("_copy").alias("text") if c == "text"
-        else F.when(changed, F.length("_copy")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars"
-        else F.col(c)
-        for c, t in docs.dtypes
-    ])
+    own = {"text": F.col("_copy"), "doc_id": F.col("doc_id"), "source": F.col("source")}
+    return unpacked(taken, docs, own | with_length(docs, changed, F.col("_copy")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableinsight.llm import bytetext
-from tableinsight.llm.common import in_arrow, stored
+from tableinsight.llm.common import in_arrow, packed, stored, unpacked
 
 PREFIX_BYTES = (5, 6, 7)
 THRESHOLD = 0.7
@@ -228,4 +228,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    return scored(docs, model).filter(F.col("_score") < threshold).select(*docs.columns)
+    kept = scored(packed(docs, "text"), model).filter(F.col("_score") < threshold)
+    return unpacked(kept, docs, {"text": F.col("text")})
