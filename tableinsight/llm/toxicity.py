@@ -36,6 +36,7 @@ LEAST_Z = 5.0
 TERMS = 2048
 TRAIN_ROWS = 20_000
 STEPS = 400
+LEAST_SURE = 0.5  # the leak stays below: no document is rejected without evidence
 
 _ENDS = np.isin(np.arange(256), list(b".!?\n"))
 
@@ -140,7 +141,8 @@ def fit(bags: list[tuple[int, list[list[int]]]], n_terms: int, steps: int = STEP
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     for step in range(1, steps + 1):
         weights, bias, leak = parameters[:-2], parameters[-2], parameters[-1]
-        p_leak = 1 / (1 + np.exp(-leak))
+        odds = 1 / (1 + np.exp(-leak))
+        p_leak = LEAST_SURE * odds
         z = bias + np.bincount(sentence, weights[term], minlength=len(flat))
         p = 1 / (1 + np.exp(-z))
         clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags)) + np.log1p(-p_leak)
@@ -150,13 +152,13 @@ def fit(bags: list[tuple[int, list[list[int]]]], n_terms: int, steps: int = STEP
         d_z = pull[bag] * p
         gradient = np.concatenate((
             np.bincount(term, d_z[sentence], minlength=n_terms) - 0.5 * weights,
-            [d_z.sum() - 0.5 * bias, (pull * p_leak).sum()],
+            [d_z.sum() - 0.5 * bias, (pull * p_leak * (1 - odds) / (1 - p_leak)).sum()],
         )) / len(bags)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         rate = 0.05 / (1 + step / steps)
         parameters = parameters + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return parameters[:-2], float(parameters[-2]), float(1 / (1 + np.exp(-parameters[-1])))
+    return parameters[:-2], float(parameters[-2]), float(LEAST_SURE / (1 + np.exp(-parameters[-1])))
 
 
 def learn(
