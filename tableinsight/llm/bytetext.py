@@ -40,6 +40,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))[LOWERED]  # upper and lower case alike
+_EXACT = mixed(np.arange(1001, 1257, dtype=np.uint64))
+_OTHER = 0xC2B2AE3D27D4EB4F
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -110,6 +112,26 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mixed(run)
 
 
+def pieces(breaks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts texts, none empty, in front of every break; starts and ends of what is between cuts."""
+    cut = breaks.copy()
+    cut[offsets[:-1]] = True
+    starts = np.flatnonzero(cut)
+    return starts, np.append(starts[1:], len(breaks))
+
+
+def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of byte runs as they are."""
+    n = len(data)
+    out = []
+    for name, base, values in (("powers", _BASE, _EXACT), ("others", _OTHER, _EXACT[::-1])):
+        inverse = "inverse" if name == "powers" else "other inverse"
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values[data] * _table(name, base, n + 1)[:n], out=sums[1:])
+        out.append(mixed((sums[ends] - sums[starts]) * _table(inverse, pow(base, -1, 1 << 64), n + 1)[starts]))
+    return out[0], out[1]
+
+
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k words in a row and their bounds; a text of fewer words, but some, is one shingle."""
     counts = np.diff(bounds)

@@ -10,10 +10,10 @@ number), block, start (ids before the block in its shard), docs and ends (id and
 each document), levels (chunk bytes), bits (continuation bitmaps, little-endian 64-bit words) and
 ranks (ones before each bitmap word, 32-bit). Blocks follow ascending doc_id over shards and blocks.
 
-Encoding. ``encode_batch`` of the tokenizers library sees each distinct piece of text once per
-worker: the vocabulary splits texts before it merges, and never joins a space or line break to what
-stands before it, so a text of no other white space can be cut in front of each run of them. Texts
-with other white space, and pieces that would not fit the bounded memo, are encoded whole.
+Encoding. The vocabulary splits a text into words, with the space before them, and white space
+before it merges, so a distinct word needs encoding once. Texts whose white space is single spaces
+and line ends between words are put together from a bounded memo of encoded words; all others, and
+all texts under a vocabulary that joins words, are encoded whole. Both use the tokenizers library.
 
 Defined results. A null or empty text has only the end id. Repeated doc_ids keep their rows, in text
 order; null ids come first. No rows in, no rows out. Other columns are ignored.
@@ -21,7 +21,7 @@ order; null ids come first. No rows in, no rows out. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tableinsight.llm import bytetext
 from tableinsight.llm.common import in_arrow, stored
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-MEMO_PIECES = 300_000
+MEMO_WORDS = 3_000_000  # per worker, about 40 bytes each; a full memo starts again
+LINES_AT_ONCE = 2000
+SPACE_MARK = "\u0120"  # fixed value: how byte-level vocabularies write a space
+TEXTS_CHARS = 2 << 20
 
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 
 STORED = (
     "shard int, block int, start long, docs array<long>, ends array<long>, "
@@ -87,45 +89,149 @@ class Coded:
         return out
 
 
-_workers: dict[str, tuple[object, dict[str, bytes]]] = {}
+class Encoder:
+    """Texts to little-endian 16-bit ids; it lives, with its memo, as long as the Python worker.
 
+    The memo holds encoded words by two hashes of their bytes, in arrays: sorted keys, second
+    hashes, and where each word's ids stand.
+    """
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Encodes texts to little-endian 16-bit ids; tokenizer and memo live as long as the worker."""
-    if path not in _workers:
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the tasks
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # marks in a text are text
-        if tokenizer.get_vocab_size() > 1 << 16:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # marks in a text are text
+        if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
-        _workers[path] = tokenizer, {}
-    tokenizer, memo = _workers[path]
-
-    def raw(texts: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if _OTHER_SPACE.search(text):
-                out.append(raw([text])[0])
-                continue
-            pieces = _PIECES.findall(text)
-            fresh = [p for p in set(pieces) if p not in memo]
-            if len(memo) + len(fresh) > MEMO_PIECES:
-                memo.clear()
-                fresh = list(set(pieces))
-            if len(fresh) > MEMO_PIECES:
-                out.append(raw([text])[0])
-                continue
-            if fresh:
-                memo.update(zip(fresh, raw(fresh), strict=True))
-            out.append(b"".join(map(memo.__getitem__, pieces)))
+        probe = [self._ids(x).tolist() for x in ("\n", "ab,", " cd", "\u00e9f", " g.")]
+        self.line_end = np.uint16(probe[0][0])
+        # Whether words and line ends are encoded apart, as by a byte-level vocabulary.
+        self.apart = len(probe[0]) == 1 and self._ids("ab, cd\n\u00e9f g.").tolist() == [
+            i for k in (1, 2, 0, 3, 4) for i in probe[k]
+        ]
+        # Whether a word of ASCII letters after a space is one unit of the vocabulary's model.
+        self.direct = self.apart and self._model_ids("Ab") == self._ids(" Ab").tolist()
+        self.marks = {x.encode(): self._ids(x).tolist() for x in ".,;:!?"}
+        self.direct = self.direct and all(
+            self._model_ids("Ab") + ids == self._ids(" Ab" + x.decode()).tolist() for x, ids in self.marks.items()
+        )
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.second = np.zeros(0, dtype=np.uint64)
+        self.at = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u2")
+
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u2")
+
+    def _model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(SPACE_MARK + word)]
+
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words as they stand in a text: each with its space or line end, or neither."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        rest: list[int] = []
+        for n, word in enumerate(words):
+            # A mark after letters is a unit of its own.
+            mark = self.marks.get(word[-1:], [])
+            letters = word[1:-1] if mark else word[1:]
+            if self.direct and word[:1] == b" " and letters.isalpha():
+                out[n] = np.array(self._model_ids(letters.decode()) + mark, dtype="<u2")
+            else:
+                rest.append(n)
+        for at in range(0, len(rest), LINES_AT_ONCE):
+            part = rest[at : at + LINES_AT_ONCE]
+            lines = [words[n].removeprefix(b"\n").decode() for n in part]
+            ids = self._ids("\n".join(lines))
+            ends = np.flatnonzero(ids == self.line_end)
+            starts = np.concatenate(([0], ends + 1))
+            for n, a, b in zip(part, starts, [*ends, len(ids)], strict=True):
+                # A line end is one token, at the start of the word that it came with.
+                out[n] = ids[a - 1 : b] if words[n][:1] == b"\n" and a else (
+                    np.concatenate(([self.line_end], ids[a:b])) if words[n][:1] == b"\n" else ids[a:b]
+                )
+        return out
+
+    def _learn(self, keys: np.ndarray, second: np.ndarray, words: list[bytes]) -> None:
+        ids = self._encode(words)
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, *ids)).astype("<u2")
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.second, self.at, self.size = (
+            np.insert(old, place, new) for old, new in
+            ((self.keys, keys), (self.second, second), (self.at, at), (self.size, size))
+        )
+
+    def _plain(self, texts: bytetext.Texts) -> list[np.ndarray]:
+        """Texts whose white space is single spaces and line ends between words, by the memo."""
+        # A word starts at its space or line end.
+        starts, ends = bytetext.pieces((texts.data == 32) | (texts.data == 10), texts.offsets)
+        first, again = bytetext.exact_hashes(texts.data, starts, ends)
+        keys, sample, number = np.unique(first, return_index=True, return_inverse=True)
+        at = self._find(keys, again[sample])
+        if (fresh := np.flatnonzero(at < 0)).size:
+            if len(self.keys) + len(fresh) > MEMO_WORDS:
+                self._forget()
+                fresh = np.arange(len(keys))
+            raw = texts.data.tobytes()
+            words = [raw[starts[i] : ends[i]] for i in sample[fresh]]
+            self._learn(keys[fresh], again[sample[fresh]], words)
+            at = self._find(keys, again[sample])
+        # Words of equal first hash and other second hash: as good as impossible, and caught.
+        if (again != again[sample][number]).any() or (at < 0).any():
+            raise ValueError("two words share a hash")
+        at = at[number]
+        size = self.size[at]
+        begin = np.cumsum(size) - size
+        ids = self.ids[np.repeat(self.at[at] - begin, size) + np.arange(int(size.sum()))]
+        cuts = np.append(begin, len(ids))[np.searchsorted(starts, texts.offsets)]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _find(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[place] == keys) & (self.second[place] == second), place, -1)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [
+            self.apart and text != "" and len(text.split()) == text.count(" ") + text.count("\n") + 1
+            for text in texts
+        ]
+        out: list[np.ndarray] = [self._ids(t) if not p else t for t, p in zip(texts, plain, strict=True)]
+        which = [i for i, p in enumerate(plain) if p]
+        for group in bytetext.slices(pa.array([texts[i] for i in which], pa.string())):
+            for i, ids in enumerate(self._plain(group)):
+                out[which[group.first + i]] = ids
         return out
 
-    return encode
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _groups(column: pa.Array) -> Iterator[list[str]]:
+    """Texts of about TEXTS_CHARS together; a null is empty."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= TEXTS_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _write(path: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -147,15 +253,16 @@ def _write(path: str, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]],
         docs: list[int | None] = []
         parts: list[np.ndarray] = []
         for batch in batches:
-            for i in range(len(batch)):
-                shard = batch.column("shard")[i].as_py()
-                (ids,) = encode([batch.column("text")[i].as_py() or ""])
-                parts.append(np.append(np.frombuffer(ids, dtype="<u2"), np.uint16(END_ID)))
-                docs.append(batch.column("doc_id")[i].as_py())
-                held += len(parts[-1])
-                if held >= block_tokens:
-                    yield row(shard, block, start, docs, parts)
-                    block, start, held, docs, parts = block + 1, start + held, 0, [], []
+            ids_of = zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+            for texts in _groups(batch.column("text")):
+                for ids in encode(texts):
+                    shard, doc = next(ids_of)
+                    parts.append(np.append(ids, np.uint16(END_ID)))
+                    docs.append(doc)
+                    held += len(parts[-1])
+                    if held >= block_tokens:
+                        yield row(shard, block, start, docs, parts)
+                        block, start, held, docs, parts = block + 1, start + held, 0, [], []
         if docs:
             yield row(shard, block, start, docs, parts)
 

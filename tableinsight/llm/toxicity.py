@@ -7,8 +7,9 @@ of the bag labels. The sentences whose own chance reaches one half are located.
 
 Terms are words and beginnings of words of five to seven bytes. How many labelled documents of
 either kind hold each term is counted by Spark over all training documents; the terms with a
-significant excess, at most ``terms`` by strength, form the vocabulary. Weights are fitted on at
-most ``train_rows`` labelled documents, of which only the sentences with terms come to the driver.
+significant excess, at most ``terms`` by strength, form the vocabulary. Weights are fitted on a
+sample of about ``train_rows`` labelled documents, of which only the sentences with terms come to
+the driver.
 
 Defined results. Sentences end at ``.``, ``!``, ``?`` or a line break. A text without terms, also a
 null or empty one, scores the leak. A doc_id labelled more than once is toxic if any label says so;
@@ -170,7 +171,9 @@ def learn(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     )
     train = stored(
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id"), "toxic-train"
+        # One way to join at every size: both sides are shuffled and merged.
+        docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks.hint("merge"), "doc_id"),
+        "toxic-train",
     )
     totals = train.agg(
         F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") != 1).alias("clean")
@@ -192,10 +195,13 @@ def learn(
         .limit(terms)
     )
     vocabulary = np.array(sorted(np.array([r["term"] for r in strong.collect()], np.int64).view(np.uint64)), np.uint64)
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).select("text", "toxic")
+    # A share of the labelled documents by their hash: train_rows of them, give or take its square root.
+    chance = F.pmod(F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(1 << 30))
+    sample = train.filter(chance < int(min(1.0, train_rows / n) * (1 << 30))).select("text", "toxic")
     shared = spark.sparkContext.broadcast(vocabulary)
     bags = in_arrow(sample, _bags(shared), "toxic int, bag array<array<int>>").toArrow()
-    rows = list(zip(bags.column("toxic").to_pylist(), bags.column("bag").to_pylist(), strict=True))
+    # Sorted: sums do not depend on the order in which tasks end.
+    rows = sorted(zip(bags.column("toxic").to_pylist(), bags.column("bag").to_pylist(), strict=True))
     weights, bias, leak = fit(rows, len(vocabulary))
     return Model(vocabulary, weights, bias, leak)
 
