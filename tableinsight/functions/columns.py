@@ -7,10 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-# Name patterns and limits that decide which columns are used.
+# Name patterns that decide which columns are used.
 ID_PATTERN = re.compile(r"(^id$)|(_id$)|(^id_)", re.IGNORECASE)
 DATE_WORD = "date"
-MAX_DIMENSIONS = 6
 
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -67,15 +66,13 @@ def first_date_column(df: DataFrame, choice: str | None = "auto") -> str | None:
     return next(iter(date_columns(df)), None)
 
 
-def dimension_columns(
-    df: DataFrame, id_col: str | None, max_dimensions: int = MAX_DIMENSIONS
-) -> list[str]:
-    usable = [
+def dimension_columns(df: DataFrame, id_col: str | None) -> list[str]:
+    """All columns but the entity and dates."""
+    return [
         f.name
         for f in df.schema
         if f.name != id_col and not is_date(f.dataType) and DATE_WORD not in f.name.lower()
     ]
-    return usable[:max_dimensions]
 
 
 def type_family(data_type: T.DataType) -> str:

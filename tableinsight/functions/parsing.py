@@ -25,7 +25,9 @@ _YEAR_LAST = r"^\d{1,2}[-/. ]\d{1,2}[-/. ]\d{4}(\s|$)"
 _SHORT_YEAR_LAST = r"^\d{1,2}[-/. ]\d{1,2}[-/. ]\d{2}(\s|$)"
 _DAY_MONTH_NAME = r"^\d{1,2} [A-Za-z]{3,9} \d{4}$"
 _MONTH_NAME_DAY = r"^[A-Za-z]{3,9} \d{1,2},? \d{4}$"
-_TIME = "[ H:mm[:ss]]"
+_TIME = "[ H:mm[:ss[.SSSSSS][.SSS]]]"
+_HALF_DAY = " h:mm[:ss] a"
+_HALF_DAY_SHAPE = r"(?i)[ap]m$"
 
 
 def stripped(value: Column) -> Column:
@@ -90,6 +92,10 @@ def to_date_time(value: Column) -> Column:
         F.when(value.rlike(_YEAR_FIRST), iso.try_cast("timestamp"))
         .when(value.rlike(_COMPACT), parsed(value, "yyyyMMdd"))
         .when(value.rlike(r"^\d{4}-\d{2}$"), value.try_cast("timestamp"))
+        .when(
+            value.rlike(_YEAR_LAST) & value.rlike(_HALF_DAY_SHAPE),
+            parsed(F.upper(slashed), f"d/M/yyyy{_HALF_DAY}", f"M/d/yyyy{_HALF_DAY}"),
+        )
         .when(value.rlike(_YEAR_LAST), parsed(slashed, f"d/M/yyyy{_TIME}", f"M/d/yyyy{_TIME}"))
         .when(value.rlike(_SHORT_YEAR_LAST), parsed(slashed, f"d/M/yy{_TIME}", f"M/d/yy{_TIME}"))
         .when(value.rlike(_DAY_MONTH_NAME), parsed(capital, "d MMM yyyy", "d MMMM yyyy"))

@@ -36,10 +36,6 @@ def table_name(path: str) -> str:
     return _UNSAFE.sub("_", stem(path))
 
 
-def joined_name(tables: Iterable[str]) -> str:
-    return _UNSAFE.sub("_", "joined_" + "_".join(tables))[:JOINED_NAME_LENGTH]
-
-
 def unique(names: Iterable[str]) -> list[str]:
     """Suffix ``_2``, ``_3`` … where a name repeats; Spark resolves names case-insensitively."""
     taken: set[str] = set()

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableinsight.functions.ordering import with_positions
 from tableinsight.names import col
 
 # Window, thresholds and result words.
@@ -20,21 +19,31 @@ UP, DOWN = "hausse", "baisse"
 HIGH, MEDIUM, LOW = "elevee", "moyenne", "faible"
 DECIMALS = 4
 
-# Longer series are cut into pieces of this many rows that overlap by one window.
-PIECE_ROWS = 100_000
+# Values drawn to find the borders of the ranges a series is cut into.
+_DRAWN = 2000
 
 
-def _scored(df: DataFrame, value: Column, window: WindowSpec, threshold: float) -> DataFrame:
-    n, mean, std = (f(value).over(window) for f in (F.count, F.avg, F.stddev_pop))
-    scored = df.withColumns({"__n": n, "__mean": mean, "__std": std})
-    reason = F.when(F.col("__n") < MIN_VALUES, NOT_ENOUGH_DATA).when(
-        F.col("__std") == 0, NO_VARIANCE
+def score(df: DataFrame, window: str, threshold: float = THRESHOLD) -> DataFrame:
+    """Add the score of the last value of ``window``, an array of doubles that ends with it.
+
+    The only place where scores are computed: batch and stream differ in how they get the window.
+    """
+    values = F.filter(col(window), lambda x: x.isNotNull())
+    n = F.size("__values")
+    mean = F.aggregate("__values", F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.aggregate(
+        F.transform("__values", lambda x: F.pow(x - F.col("__mean"), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x
     )
-    z = F.when(F.col("reason").isNull(), (value - F.col("__mean")) / F.col("__std"))
-    defined = F.col("__z").isNotNull()
-    size = F.abs("__z")
+    last = F.element_at(col(window), -1)
+    enough = n >= MIN_VALUES
+    reason = F.when(~enough, NOT_ENOUGH_DATA).when(F.col("__std") == 0, NO_VARIANCE)
+    z = F.when(F.col("reason").isNull(), (last - F.col("__mean")) / F.col("__std"))
+    defined, size = F.col("__z").isNotNull(), F.abs("__z")
     return (
-        scored.withColumn("reason", reason)
+        df.withColumn("__values", values)
+        .withColumn("__mean", F.when(enough, mean))
+        .withColumn("__std", F.when(enough, F.sqrt(spread / n)))
+        .withColumn("reason", reason)
         .withColumn("__z", z)
         .withColumns(
             {
@@ -48,10 +57,19 @@ def _scored(df: DataFrame, value: Column, window: WindowSpec, threshold: float)
                 .when(defined, LOW),
             }
         )
-        .drop("__n", "__mean", "__std", "__z")
+        .drop("__values", "__mean", "__std", "__z")
     )
 
 
+def _borders(df: DataFrame, first: str, ranges: int) -> list:
+    """Values of the first order column between which rows are dealt, from a fixed draw by hash."""
+    drawn = df.select(col(first).alias("v")).where("v IS NOT NULL").distinct()
+    rows = drawn.orderBy(F.xxhash64("v")).limit(_DRAWN).collect()
+    values = sorted(r.v for r in rows)
+    step = max(1, len(values) // ranges)
+    return values[step::step][: ranges - 1]
+
+
 def trailing_zscore(
     df: DataFrame,
     value: str,
@@ -59,51 +77,49 @@ def trailing_zscore(
     series: list[str] | None = None,
     window_size: int = WINDOW_SIZE,
     threshold: float = THRESHOLD,
-    aggregated: bool = False,
-    piece_rows: int = PIECE_ROWS,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Score each value against the window that ends with it; ``order`` must be unique per series.
 
-    Pass ``aggregated=True`` when a series is known to be short, such as one row per day or per
-    arrived file: then a plain window per series does. Otherwise series lengths are measured, and
-    if one exceeds ``piece_rows`` all are cut into overlapping pieces, so that no task has to walk
-    a whole series.
+    Every series is cut into ranges of its first order column, so no task has to walk a whole
+    series; the borders are literals of the plan, so a lost executor cannot move them. The last
+    values of each range lead into those after it: as each range that has rows has at least one, a
+    window looks back over at most as many ranges as it has values.
     """
     series = series or []
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = F.array(*[F.lit(b) for b in _borders(df, order[0], ranges)])
+    part = F.size(F.filter(borders, lambda b: b < F.coalesce(col(order[0]), b)))
     keys = [col(c) for c in series]
-    frame = (-(window_size - 1), 0)
-    if not aggregated:
-        longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if (longest or 0) > piece_rows:
-            return _scored_in_pieces(df, value, order, series, window_size, threshold, piece_rows)
-    window = Window.partitionBy(*keys).orderBy(*[col(c) for c in order]).rowsBetween(*frame)
-    return _scored(df, col(value), window, threshold)
-
-
-def _scored_in_pieces(
-    df: DataFrame,
-    value: str,
-    order: list[str],
-    series: list[str],
-    window_size: int,
-    threshold: float,
-    piece_rows: int,
-) -> DataFrame:
-    if piece_rows < window_size:
-        raise ValueError("a piece must hold at least one window")
-    placed = with_positions(df, series, order, "__pos")
-    own = F.floor(F.col("__pos") / piece_rows)
-    is_tail = F.col("__pos") % piece_rows > piece_rows - window_size
-    # The last rows of a piece also lead into the next one, where they only fill the first windows.
-    pieces = F.when(is_tail, F.array(own, own + 1)).otherwise(F.array(own))
-    copied = placed.select("*", F.explode(pieces).alias("__piece"))
-    window = (
-        Window.partitionBy(*[col(c) for c in series], "__piece")
-        .orderBy("__pos")
-        .rowsBetween(-(window_size - 1), 0)
+    back = window_size - 1
+    names = [f"__s{i}" for i in range(len(series))]
+
+    placed = df.withColumn("__part", part).withColumn("__v", col(value).cast("double"))
+    in_range = Window.partitionBy(*keys, "__part").orderBy(*[col(c) for c in order])
+    boxed = F.struct("__v")  # a list of plain values would lose the missing ones
+    own = placed.withColumn("__own", F.collect_list(boxed).over(in_range.rowsBetween(-back, 0)))
+    tails = placed.withColumn("__place", F.row_number().over(
+        Window.partitionBy(*keys, "__part").orderBy(*[col(c).desc() for c in order])
+    )).where(F.col("__place") <= back)
+    tails = tails.groupBy(*[k.alias(n) for k, n in zip(keys, names)], F.col("__part").alias("__p")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("__place")).alias("i"), "__v"))),
+            lambda x: F.struct(x["__v"].alias("__v")),
+        ).alias("__tail")
+    )
+    before = Window.partitionBy(*names).orderBy("__p").rowsBetween(-back, -1)
+    carried = tails.withColumn("__carried", F.flatten(F.collect_list("__tail").over(before))).drop("__tail")
+
+    same = F.col("__part") == F.col("__p")
+    for key, name in zip(keys, names):
+        same = same & key.eqNullSafe(F.col(name))
+    whole = F.concat("__carried", "__own")
+    length = F.least(F.size(whole), F.lit(window_size))
+    window = F.transform(F.slice(whole, -length, length), lambda x: x["__v"])
+    joined = own.join(carried, same).withColumn("__window", window)
+    return score(joined, "__window", threshold).drop(
+        "__part", "__p", "__v", "__own", "__carried", "__window", *names
     )
-    scored = _scored(copied, col(value), window, threshold)
-    return scored.where(F.col("__piece") == own).drop("__pos", "__piece")
 
 
 def should_run() -> Column:
@@ -113,5 +129,5 @@ def should_run() -> Column:
 
 def arrival_decisions(arrivals: DataFrame, value: str, order: list[str], **options) -> DataFrame:
     """Batch form of the arrival gate: one row per arrival with its score and ``should_run``."""
-    scored = trailing_zscore(arrivals, value, order, aggregated=True, **options)
+    scored = trailing_zscore(arrivals, value, order, **options)
     return scored.withColumn("should_run", should_run())

@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableinsight.functions.chisq import SIGNIFICANCE_LEVEL, uniform_statistic, upper_tail
-from tableinsight.functions.columns import MAX_DIMENSIONS, dimension_columns, id_column
+from tableinsight.functions.columns import dimension_columns, id_column
 from tableinsight.functions.keys import compact_key
 from tableinsight.names import col
 
-# Category limit and finding texts.
-MAX_CATEGORIES = 30
+# Finding texts.
 SIGNIFICANT_TEXT = "significatif"
 NOT_SIGNIFICANT_TEXT = "non significatif"
 NO_FINDING_TEXT = "Aucune observation disponible."
 
-# A sketch may only rule a dimension out when it is this many times over the category limit.
-# Up to the limit the sketch counts linearly and is off by a fraction of one.
-_SCREEN_FACTOR = 10
-
 _COUNT_SCHEMA = "dimension string, category string, n bigint"
 _TEST_SCHEMA = (
     "dimension string, status string, n_categories bigint, chi2 double, p_value double, "
@@ -36,23 +30,6 @@ class DriverAnalysis:
     tests: DataFrame
 
 
-def _wide_dimensions(df: DataFrame, dimensions: list[str], max_categories: int) -> set[str]:
-    """Dimensions far over the limit, from one mergeable sketch per column: no shuffle of values.
-
-    Their categories, let alone their (category, entity) pairs, would be a shuffle of the whole
-    table for dimensions that are skipped anyway.
-    """
-    if not dimensions:
-        return set()
-    sketches = [
-        F.approx_count_distinct(col(d).cast("string")).alias(f"d{i}")
-        for i, d in enumerate(dimensions)
-    ]
-    row = df.agg(*sketches).first()
-    limit = max_categories * _SCREEN_FACTOR
-    return {d for i, d in enumerate(dimensions) if row[f"d{i}"] > limit}
-
-
 def _category_counts(df: DataFrame, dimensions: list[str], entity: str | None) -> DataFrame:
     """``(dimension, category, n)`` for all dimensions from one scan and one distinct count.
 
@@ -79,24 +56,7 @@ def _real_name(dimensions: list[str]):
     return F.get(names, index).alias("dimension")
 
 
-def _wide_counts(df: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Exact number of categories of dimensions known to be over the limit, on narrow keys."""
-    slots = [f"d{i}" for i in range(len(dimensions))]
-    keys = [
-        compact_key(col(d), df.schema[d].dataType).cast("string").alias(s)
-        for d, s in zip(dimensions, slots)
-    ]
-    return (
-        df.select(*keys)
-        .unpivot([], slots, "slot", "category")
-        .distinct()
-        .groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("n_categories"))
-        .select(_real_name(dimensions), "n_categories")
-    )
-
-
-def _tests(counts: DataFrame, max_categories: int) -> DataFrame:
+def _tests(counts: DataFrame, max_categories: int | None) -> DataFrame:
     n = F.col("n").cast("decimal(19,0)")
     per_dimension = counts.groupBy("dimension").agg(
         F.count(F.lit(1)).alias("n_categories"),
@@ -104,7 +64,7 @@ def _tests(counts: DataFrame, max_categories: int) -> DataFrame:
         F.sum((n * n).cast("decimal(38,0)")).alias("squares"),
     )
     status = (
-        F.when(F.col("n_categories") > max_categories, "skipped")
+        F.when(F.lit(max_categories is not None) & (F.col("n_categories") > (max_categories or 0)), "skipped")
         .when((F.col("n_categories") < 2) | (F.col("total") <= 0), "untested")
         .otherwise("tested")
     )
@@ -133,74 +93,56 @@ def driver_analysis(
     df: DataFrame,
     id_col: str | None = "auto",
     dimensions: list[str] | None = None,
-    max_dimensions: int = MAX_DIMENSIONS,
-    max_categories: int = MAX_CATEGORIES,
+    max_dimensions: int | None = None,
+    max_categories: int | None = None,
 ) -> DriverAnalysis:
     """Break the metric down by each dimension and test it.
 
-    ``breakdown`` holds ``(dimension, category, n)`` of the dimensions within the category limit.
-    ``tests`` holds one row per dimension with status tested, untested, skipped or error.
+    All dimensions and categories are counted unless the caller sets a limit. ``breakdown`` holds
+    ``(dimension, category, n)`` of the dimensions within the category limit. ``tests`` holds one
+    row per dimension with status tested, untested, skipped (too many categories), left_out (more
+    dimensions than asked for) or error. Both are lazy; nothing is counted on the driver.
     """
     spark = df.sparkSession
     entity = id_column(df, id_col)
-    chosen = dimensions or dimension_columns(df, entity, max_dimensions)
-    chosen = chosen[:max_dimensions]
-    known = [d for d in chosen if d in df.columns]
+    asked = dimensions or dimension_columns(df, entity)
+    chosen, left_out = asked[:max_dimensions], asked[max_dimensions:] if max_dimensions is not None else []
     entity_missing = entity is not None and entity not in df.columns
-    failing = chosen if entity_missing else [d for d in chosen if d not in known]
-    usable = [] if entity_missing else known
+    failing = chosen if entity_missing else [d for d in chosen if d not in df.columns]
+    usable = [] if entity_missing else [d for d in chosen if d in df.columns]
 
-    wide = _wide_dimensions(df, usable, max_categories)
-    narrow = [d for d in usable if d not in wide]
-
-    tests = []
+    other = [(d, "left_out", None, None, None, None, None) for d in left_out]
+    missing = entity if entity_missing else None
+    other += [
+        (d, "error", None, None, None, None, f"column {missing or d} not found") for d in failing
+    ]
+    tests = spark.createDataFrame(other, _TEST_SCHEMA)
     breakdown = spark.createDataFrame([], _COUNT_SCHEMA)
-    if narrow:
-        # The screen bounds this to max_dimensions times a few hundred rows. Counted once, they
-        # feed the breakdown and the tests.
-        rows = _category_counts(df, narrow, entity).collect()
-        counts = spark.createDataFrame(rows, _COUNT_SCHEMA)
-        tests.append(_tests(counts, max_categories))
-        sizes = Counter(r.dimension for r in rows)
-        kept = [d for d in narrow if sizes[d] <= max_categories]
-        breakdown = counts.where(F.col("dimension").isin(kept)).orderBy(
-            "dimension", F.desc("n"), F.asc_nulls_last("category")
-        )
-    if wide:
-        wide_names = [d for d in usable if d in wide]
-        tests.append(
-            _wide_counts(df, wide_names).selectExpr(
-                "dimension",
-                "'skipped' AS status",
-                "n_categories",
-                "CAST(NULL AS DOUBLE) AS chi2",
-                "CAST(NULL AS DOUBLE) AS p_value",
-                "CAST(NULL AS BOOLEAN) AS significant",
-                "CAST(NULL AS STRING) AS error",
-            )
-        )
-    if failing:
-        missing = entity if entity_missing else None
-        rows = [
-            (d, "error", None, None, None, None, f"column {missing or d} not found")
-            for d in failing
-        ]
-        tests.append(spark.createDataFrame(rows, _TEST_SCHEMA))
-    result = spark.createDataFrame([], _TEST_SCHEMA)
-    for frame in tests:
-        result = result.unionByName(frame)
-    return DriverAnalysis(breakdown, result)
+    if usable:
+        counts = _category_counts(df, usable, entity)
+        tests = _tests(counts, max_categories).unionByName(tests)
+        if max_categories is not None:
+            sizes = counts.groupBy(F.col("dimension").alias("__d")).agg(F.count(F.lit(1)).alias("__k"))
+            within = sizes.where(F.col("__k") <= max_categories)
+            counts = counts.join(within, F.col("dimension") == F.col("__d"), "left_semi")
+        breakdown = counts.orderBy("dimension", F.desc("n"), F.asc_nulls_last("category"))
+    return DriverAnalysis(breakdown, tests)
 
 
 def significant_drivers(tests: DataFrame) -> DataFrame:
     return tests.where("significant")
 
 
+def _plain_decimal(p: Column) -> Column:
+    """Up to four decimals without an exponent, at least one."""
+    return F.regexp_replace(p.cast("decimal(6,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def findings(tests: DataFrame) -> DataFrame:
     """``(dimension, finding)`` sentences for the tested dimensions."""
     marker = F.when(F.col("significant"), SIGNIFICANT_TEXT).otherwise(NOT_SIGNIFICANT_TEXT)
     sentence = F.concat(
-        F.col("dimension"), F.lit(" : p="), F.col("p_value").cast("string"),
+        F.col("dimension"), F.lit(" : p="), _plain_decimal(F.col("p_value")),
         F.lit(" ("), marker, F.lit(")"),
     )
     return tests.where("status = 'tested'").select("dimension", sentence.alias("finding"))

@@ -103,6 +103,11 @@ def join_tables(tables: dict[str, DataFrame], spec: dict) -> DataFrame:
     return joined.select(*[col(c) for side in sides.values() for c in side.columns])
 
 
+# Joined rows are counted in 38 digits.
+_WEIGHT = "decimal(38,0)"
+_MOST = "9" * 38
+
+
 def _missing_weight(name: str, children: dict[str, list[JoinStep]]) -> int:
     """Rows a left-joined, unmatched table stands for: none if an inner join hangs below it."""
     below = [0 if s.how == "inner" else _missing_weight(s.file, children) for s in children[name]]
@@ -119,7 +124,7 @@ def _key_counts(tables: dict[str, DataFrame], root: str, steps: list[JoinStep])
     for name, df in tables.items():
         below = [s for s in steps if s.on_file == name]
         keys = [col(s.on_column).alias(f"c{i}") for i, s in enumerate(below)]
-        counts[name] = df.groupBy(*upward[name], *keys).agg(F.count(F.lit(1)).alias("w"))
+        counts[name] = df.groupBy(*upward[name], *keys).agg(F.count(F.lit(1)).cast(_WEIGHT).alias("w"))
     return counts
 
 
@@ -133,8 +138,11 @@ def _weights(name: str, counts: dict[str, DataFrame], children: dict) -> DataFra
         rows = rows.join(side, F.col(f"c{i}") == F.col(f"k{i}"), step.how)
         missing = _missing_weight(step.file, children) if step.how == "left" else 0
         factor = F.coalesce(F.col(f"w{i}"), F.lit(missing))
-        rows = rows.withColumn("w", F.col("w") * factor).drop(f"k{i}", f"w{i}")
-    total = F.coalesce(F.sum("w"), F.lit(0)).cast("bigint").alias("w")
+        # Hot keys multiply beyond 64 bits; beyond 38 digits the count stays at the largest.
+        product = F.coalesce(F.try_multiply(F.col("w"), factor).cast(_WEIGHT), F.lit(_MOST).cast(_WEIGHT))
+        rows = rows.withColumn("w", product).drop(f"k{i}", f"w{i}")
+    total = F.when(F.count("w") > 0, F.coalesce(F.try_sum("w").cast(_WEIGHT), F.lit(_MOST).cast(_WEIGHT)))
+    total = F.coalesce(total, F.lit(0).cast(_WEIGHT)).alias("w")
     return rows.groupBy(*[c for c in rows.columns if c == "key"]).agg(total)
 
 
@@ -143,7 +151,8 @@ def joined_row_count(tables: dict[str, DataFrame], spec: dict) -> DataFrame:
     root, steps = parse_spec(tables, spec)
     children = {name: [s for s in steps if s.on_file == name] for name in tables}
     counts = _key_counts(tables, root, steps)
-    return _weights(root, counts, children).select(F.col("w").alias("row_count"))
+    rows = F.least("w", F.lit(2**63 - 1).cast(_WEIGHT)).cast("bigint")
+    return _weights(root, counts, children).select(rows.alias("row_count"))
 
 
 def source_row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -11,10 +11,9 @@ from tableinsight.functions.columns import numeric_columns, text_columns
 from tableinsight.functions.parsing import comma_to_point, stripped, to_number
 from tableinsight.names import col
 
-# Compared decimals, size of trivial numbers, reported examples.
+# Compared decimals, size of trivial numbers.
 DECIMALS = 2
 TRIVIAL = 0.01
-MAX_REPORTED = 10
 
 
 @dataclass(frozen=True)
@@ -39,7 +38,7 @@ def numbers_in(df: DataFrame, read_text: bool = False) -> DataFrame:
 
 
 def reconcile_numbers(
-    trusted: DataFrame, checked: DataFrame, limit: int = MAX_REPORTED
+    trusted: DataFrame, checked: DataFrame, limit: int | None = None
 ) -> Reconciliation:
     """Numbers of ``checked`` that ``trusted`` does not contain.
 
@@ -58,4 +57,5 @@ def reconcile_numbers(
         F.count_if("in_checked").alias("checked_count"),
         F.count_if(unknown).alias("inconsistency_count"),
     ).withColumn("passed", F.col("inconsistency_count") == 0)
-    return Reconciliation(summary, seen.where(unknown).select("value").orderBy("value").limit(limit))
+    values = seen.where(unknown).select("value").orderBy("value")
+    return Reconciliation(summary, values if limit is None else values.limit(limit))

@@ -115,7 +115,8 @@ def driver_breakdown(spark, sf_dir):
 
 def driver_auto(spark, sf_dir):
     """Dimensions chosen by position and type, as for a table nobody has described."""
-    return driver_analysis(table(spark, sf_dir, "orders"), "o_orderkey").tests.select(
+    orders = table(spark, sf_dir, "orders")
+    return driver_analysis(orders, "o_orderkey", max_dimensions=6, max_categories=30).tests.select(
         "dimension", "status", "n_categories", "chi2", "p_value", "significant"
     )
 
@@ -132,8 +133,26 @@ def driver_chi2(spark, sf_dir):
     )
 
 
+def driver_all_dimensions(spark, sf_dir):
+    """Every dimension of a table, however many categories it has, tested."""
+    rows = table(spark, sf_dir, "lineitem").drop("l_extendedprice", "l_shipdate")
+    return driver_analysis(rows, "l_orderkey").tests.select(
+        "dimension", "status", "n_categories", "chi2", "p_value", "significant"
+    )
+
+
+def driver_errors(spark, sf_dir):
+    """A missing column fails alone; a limit leaves its mark."""
+    part = driver_analysis(
+        table(spark, sf_dir, "part"), None, ["p_type", "no_such", "p_brand", "p_size"], max_dimensions=3
+    )
+    return part.tests.select("dimension", "status", "n_categories", "chi2", "error")
+
+
 def driver_skipped(spark, sf_dir):
-    part = driver_analysis(table(spark, sf_dir, "part"), None, ["p_size", "p_brand"])
+    part = driver_analysis(
+        table(spark, sf_dir, "part"), None, ["p_size", "p_brand"], max_categories=30
+    )
     return part.tests.select("dimension", "status", "n_categories")
 
 
@@ -418,20 +437,20 @@ def _daily_events(spark, sf_dir, *series: str) -> DataFrame:
 
 def zscore_daily(spark, sf_dir):
     daily = _daily_events(spark, sf_dir)
-    return trailing_zscore(daily, "n", ["day"], aggregated=True).select("day", "n", *_SCORES)
+    return trailing_zscore(daily, "n", ["day"]).select("day", "n", *_SCORES)
 
 
 def zscore_by_type(spark, sf_dir):
     daily = _daily_events(spark, sf_dir, "event_type")
-    scored = trailing_zscore(daily, "n", ["day"], ["event_type"], aggregated=True)
+    scored = trailing_zscore(daily, "n", ["day"], ["event_type"])
     return scored.select("event_type", "day", "n", *_SCORES)
 
 
 def zscore_long_series(spark, sf_dir):
-    """Row-level series, cut into overlapping pieces so that a long one spans many tasks."""
+    """Row-level series, cut into ranges so that a long one spans many tasks."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     scored = trailing_zscore(
-        orders, "o_totalprice", ["o_orderkey"], ["o_orderstatus"], piece_rows=1000
+        orders, "o_totalprice", ["o_orderkey"], ["o_orderstatus"]
     )
     return scored.select("o_orderkey", "o_orderstatus", "reason", "anomaly", "z_score", "direction")
 
@@ -603,7 +622,8 @@ def _guarded(sql: str) -> Query:
 def queries() -> dict[str, Query]:
     own: list[Query] = [
         weekly_metric, weekly_rows, metric_total, joined_weekly_metric, topk_entities,
-        driver_breakdown, driver_auto, driver_chi2, driver_skipped, driver_significant,
+        driver_breakdown, driver_auto, driver_all_dimensions, driver_errors, driver_chi2,
+        driver_skipped, driver_significant,
         driver_findings, inspect_dates, inspect_nulls, inspect_summary, inspect_summary_joined,
         duplicate_groups, dedup_rows, profile_numeric, profile_columns, describe_numeric,
         describe_datetime, describe_categories, validation, join_inner, join_left, joined_prefix,
@@ -615,4 +635,5 @@ def queries() -> dict[str, Query]:
     ]
     named = {query.__name__: query for query in own}
     guarded = {name: _guarded(check.spark) for name, check in SQL_CHECKS.items()}
-    return named | guarded
+    whole = {"guarded_sql_full": _guarded("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")}
+    return named | guarded | whole

@@ -8,14 +8,12 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-# Accepted first words, refused words, row caps and answer prefixes.
+# Accepted first words, refused words and answer prefixes.
 START_WORDS = ["SELECT", "WITH", "DESCRIBE", "SHOW", "EXPLAIN"]
 BLOCKED_WORDS = [
     "INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "ATTACH", "DETACH", "COPY",
     "EXPORT", "IMPORT", "CALL", "PRAGMA", "INSTALL", "LOAD", "SET", "VACUUM", "CHECKPOINT",
 ]
-RESULT_ROWS = 1000
-CHAT_ROWS = 200
 REFUSED = "Requête refusée : "
 SQL_ERROR = "Erreur SQL: "
 
@@ -32,7 +30,11 @@ def _words(words: list[str]) -> str:
 
 _START = re.compile(r"\s*" + _words(START_WORDS), re.IGNORECASE)
 _BLOCKED = re.compile(_words(BLOCKED_WORDS + SPARK_BLOCKED_WORDS), re.IGNORECASE)
-_SCRIPT = re.compile(r"\bUSING\s+['\"]", re.IGNORECASE)
+# USING introduces the columns of a join; before anything else it starts an external program.
+_SCRIPT = re.compile(r"\bUSING\b(?!\s*\()", re.IGNORECASE)
+_COMMENT = re.compile(r"/\*.*?\*/|--[^\n]*", re.DOTALL)
+_LEAD = re.compile(r"^\s*(?:EXPLAIN|DESCRIBE|DESC)\b\s*(?:EXTENDED|FORMATTED|CODEGEN|COST|QUERY)?\s*", re.IGNORECASE)
+_RELATION = re.compile(r"UnresolvedRelation \[([^\]]*)\]")
 # EXPLAIN, WITH and the like may lead into a statement of these kinds.
 _STATEMENT = re.compile(r"(?:^|\bEXPLAIN\b[\w\s]*?|\))\s*" + _words(SPARK_STATEMENTS), re.IGNORECASE)
 
@@ -46,6 +48,7 @@ class QueryResult:
     ok: bool
     frame: DataFrame | None
     error: str | None
+    more: bool = False  # whether a limit asked for left rows out
 
 
 def ensure_read_only(sql: str) -> str:
@@ -57,32 +60,46 @@ def ensure_read_only(sql: str) -> str:
         raise QueryRefused("only " + "/".join(START_WORDS) + " statements")
     if _BLOCKED.search(statement) or _STATEMENT.search(statement):
         raise QueryRefused("the statement writes, changes a schema or runs code")
-    if _SCRIPT.search(statement):
+    if _SCRIPT.search(_COMMENT.sub(" ", statement)) or _SCRIPT.search(statement):
         raise QueryRefused("the statement starts an external program")
     return statement
 
 
-def run_read_only(spark: SparkSession, sql: str, limit: int | None = RESULT_ROWS) -> DataFrame:
-    """The guarded query with the row cap inside the plan, so no more rows than that are fetched;
-    ``limit=None`` leaves the result whole.
+def _ensure_tables_only(spark: SparkSession, statement: str) -> None:
+    """Refuse, on the parsed statement, programs and files named in FROM.
 
-    Files named directly in FROM would bypass the catalog, so that is off while the statement is
-    being resolved.
+    A relation of two parts is ``database.table`` or ``format.path``; only databases pass. No
+    setting of the session is touched, so callers do not disturb each other.
     """
+    query = _LEAD.sub("", statement)
+    if not re.match(r"\s*(?:SELECT|WITH|FROM|VALUES|\()", query, re.IGNORECASE):
+        return  # SHOW, or DESCRIBE of a table: nothing is read from a relation
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    if "ScriptTransformation" in parsed:
+        raise QueryRefused("the statement starts an external program")
+    for name in _RELATION.findall(parsed):
+        first, *rest = name.split(", ")
+        if rest and not spark.catalog.databaseExists(first):
+            raise QueryRefused(f"{first} is no database; files cannot be named in a query")
+
+
+def run_read_only(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """The guarded query, whole unless a limit is asked for; the limit is part of the plan."""
     statement = ensure_read_only(sql)
-    before = spark.conf.get("spark.sql.runSQLOnFiles")
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
-    try:
-        result = spark.sql(statement)
-    finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", before)
+    _ensure_tables_only(spark, statement)
+    result = spark.sql(statement)
     return result if limit is None else result.limit(limit)
 
 
-def try_query(spark: SparkSession, sql: str, limit: int | None = RESULT_ROWS) -> QueryResult:
-    """As ``run_read_only``, but refusals and errors come back as text."""
+def try_query(spark: SparkSession, sql: str, limit: int | None = None) -> QueryResult:
+    """As ``run_read_only``, but refusals and errors come back as text, and with a limit ``more``
+    says whether rows were left out."""
     try:
-        return QueryResult(True, run_read_only(spark, sql, limit), None)
+        frame = run_read_only(spark, sql)
+        if limit is None:
+            return QueryResult(True, frame, None)
+        more = frame.limit(limit + 1).count() > limit
+        return QueryResult(True, frame.limit(limit), None, more)
     except QueryRefused as refusal:
         return QueryResult(False, None, f"{REFUSED}{refusal}")
     except PySparkException as error:

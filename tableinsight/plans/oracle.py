@@ -5,14 +5,6 @@ from __future__ import annotations
 from tableinsight.plans.catalog import TABLES
 from tableinsight.plans.sql_checks import SQL_CHECKS
 
-# Chi-squared critical values at 0.05 for 1 to 29 degrees of freedom.
-CRITICAL_VALUES = [
-    3.841459, 5.991465, 7.814728, 9.487729, 11.070498, 12.591587, 14.067140, 15.507313,
-    16.918978, 18.307038, 19.675138, 21.026070, 22.362032, 23.684791, 24.995790, 26.296228,
-    27.587112, 28.869299, 30.143527, 31.410433, 32.670573, 33.924438, 35.172462, 36.415029,
-    37.652484, 38.885139, 40.113272, 41.337138, 42.556968,
-]
-
 _LINEITEM_NUMBERS = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax",
@@ -37,24 +29,26 @@ def _shares(table: str, dimension: str, value: str = "count(*)") -> str:
     )
 
 
-def _tests(counts: str) -> str:
-    """Per dimension: categories, statistic, tail from log-gamma terms, critical-value verdict."""
-    critical = ", ".join(f"({i}, {v})" for i, v in enumerate(CRITICAL_VALUES, 1))
+def _tests(counts: str, limit: int | None = None) -> str:
+    """Per dimension: categories, statistic, and the tail as one minus terms from log-gamma."""
     term = "exp((k1 / 2.0 + i) * ln(x / 2) - x / 2 - lgamma(k1 / 2.0 + i + 1))"
+    tested = f"n_categories <= {limit}" if limit else "TRUE"
     return f"""
     WITH counts AS ({counts}),
     expected AS (SELECT dimension, n, avg(n) OVER (PARTITION BY dimension) AS e FROM counts),
     sums AS (SELECT dimension, count(*) AS n_categories, count(*) - 1 AS k1,
                     sum((n - e) * (n - e) / e) AS x FROM expected GROUP BY dimension),
-    critical(df, value) AS (VALUES {critical}),
+    tails AS (
+      SELECT *, CASE WHEN NOT ({tested}) THEN NULL WHEN x = 0 THEN 1.0
+               WHEN x > k1 + 20 * sqrt(2 * k1) + 400 THEN 0.0
+               ELSE abs(1 - list_sum([{term} FOR i IN range(0, CAST(x AS BIGINT) + 200)])) END AS tail
+      FROM sums),
     tests AS (
       SELECT dimension, n_categories,
-             CASE WHEN n_categories > 30 THEN 'skipped' ELSE 'tested' END AS status,
-             CASE WHEN n_categories <= 30 THEN round(x, 3) END AS chi2,
-             CASE WHEN n_categories > 30 THEN NULL WHEN x = 0 THEN 1.0 WHEN x > 600 THEN 0.0
-               ELSE round(abs(1 - list_sum([{term} FOR i IN range(0, 600)])), 4) END AS p_value,
-             CASE WHEN n_categories <= 30 THEN x > value END AS significant
-      FROM sums LEFT JOIN critical ON df = k1)"""
+             CASE WHEN {tested} THEN 'tested' ELSE 'skipped' END AS status,
+             CASE WHEN {tested} THEN round(x, 3) END AS chi2,
+             round(tail, 4) AS p_value, tail < 0.05 AS significant
+      FROM tails)"""
 
 
 _FOUR_TESTS = _tests(
@@ -207,17 +201,32 @@ def oracle_sql() -> dict[str, str]:
         "driver_breakdown": f"""WITH long AS ({_BUCKETED}),
             counts AS (SELECT dimension, category, count(DISTINCT user_id) AS n
                        FROM long GROUP BY dimension, category)
-            SELECT dimension, category, n FROM counts WHERE dimension IN
-              (SELECT dimension FROM counts GROUP BY dimension HAVING count(*) <= 30)""",
+            SELECT dimension, category, n FROM counts""",
         "driver_auto": _tests(
             _union(
                 [
                     _shares("orders", c, "count(DISTINCT o_orderkey)")
                     for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
                 ]
+            ),
+            limit=30,
+        )
+        + " SELECT dimension, status, n_categories, chi2, p_value, significant FROM tests",
+        "driver_all_dimensions": _tests(
+            _union(
+                [
+                    _shares("lineitem", c, "count(DISTINCT l_orderkey)")
+                    for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
+                              "l_tax", "l_returnflag", "l_linestatus")
+                ]
             )
         )
         + " SELECT dimension, status, n_categories, chi2, p_value, significant FROM tests",
+        "driver_errors": _tests(_union([_shares("part", "p_type"), _shares("part", "p_brand")]))
+        + """ SELECT dimension, status, n_categories, chi2, CAST(NULL AS VARCHAR) AS error FROM tests
+            UNION ALL SELECT 'no_such', 'error', NULL, NULL, 'column no_such not found'
+            UNION ALL SELECT 'p_size', 'left_out', NULL, NULL, NULL""",
+        "guarded_sql_full": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
         "driver_chi2": _FOUR_TESTS
         + " SELECT dimension, n_categories, chi2, p_value, significant FROM tests",
         "driver_skipped": """SELECT dimension, CASE WHEN n_categories > 30 THEN 'skipped'
@@ -325,7 +334,7 @@ def oracle_sql() -> dict[str, str]:
                 ),
             ]
         ),
-        "reconcile_values": f"{_RECONCILED} SELECT value FROM bad ORDER BY value LIMIT 10",
+        "reconcile_values": f"{_RECONCILED} SELECT value FROM bad",
         "reconcile_summary": f"""{_RECONCILED} SELECT
             (SELECT count(*) FROM trusted) AS trusted_count,
             (SELECT count(*) FROM checked) AS checked_count,

@@ -12,7 +12,6 @@ from tableinsight.operators.inspection import schema_frame
 
 # Rows of a preview and of a sample.
 PREVIEW_ROWS = 10
-SAMPLE_ROWS = 5
 
 
 @dataclass(frozen=True)

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableinsight.names import readable_path, table_name
+from tableinsight.sources.files import files_with_open_quotes
 
 # Delimiters looked for, in order of preference, and encoding names reported.
 DELIMITERS = [",", ";", "\t", "|"]
 DEFAULT_DELIMITER = ","
 UTF8, LATIN1 = "utf-8-sig", "latin-1"
 
-_SAMPLE_LINES = 50
 _CONSISTENT_SHARE = 0.9
+# One dialect for all readers and writers: quotes are doubled inside quotes, spaces are data.
+CSV_READ = {
+    "header": True, "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+CSV_WRITE = CSV_READ
 _SPARK_ENCODING = {UTF8: "UTF-8", LATIN1: "ISO-8859-1"}
 
 
@@ -35,19 +41,38 @@ class Dialect:
     delimiter: str
 
 
+def _types(*schemas: T.StructType) -> T.StructType:
+    """One schema for files inferred apart: equal types stay, numbers widen, the rest is text."""
+    found: dict[str, T.DataType] = {}
+    for field in (f for schema in schemas for f in schema):
+        kind = T.LongType() if field.dataType == T.IntegerType() else field.dataType
+        other = found.setdefault(field.name, kind)
+        if other != kind:
+            numbers = isinstance(kind, T.NumericType) and isinstance(other, T.NumericType)
+            found[field.name] = T.DoubleType() if numbers else T.StringType()
+    return T.StructType([T.StructField(name, kind) for name, kind in found.items()])
+
+
+def _by_line_breaks(spark: SparkSession, paths: list[str]) -> list[tuple[bool, list[str]]]:
+    """The files apart that hold a line break inside quotes: only those cannot be read in splits."""
+    broken = files_with_open_quotes(spark, paths)
+    if not broken:
+        return [(False, paths)]
+    listed = spark.read.format("binaryFile").load(paths).select("_metadata.file_path").distinct()
+    others = [f for f in (readable_path(r[0]) for r in listed.collect()) if f not in set(broken)]
+    return [(True, broken)] + ([(False, others)] if others else [])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header row. Without a schema one inference scan finds it; integers become BIGINT
     and times of day stay text."""
-    reader = spark.read.option("header", True)
+    parts = _by_line_breaks(spark, [path])
+    readers = [(spark.read.options(**CSV_READ).option("multiLine", multi), files) for multi, files in parts]
     if schema is None:
-        inferred = reader.option("inferSchema", True).csv(path).schema
-        schema = T.StructType(
-            [
-                T.StructField(f.name, T.LongType() if f.dataType == T.IntegerType() else f.dataType)
-                for f in inferred
-            ]
-        )
-    return reader.schema(schema).csv(path)
+        schema = _types(*[r.option("inferSchema", True).csv(files).schema for r, files in readers])
+    # A reader keeps its options: inference is off again once a schema is given.
+    frames = [r.schema(schema).csv(files) for r, files in readers]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def load_csv(spark: SparkSession, path: str, name: str | None = None) -> LoadedTable:
@@ -58,86 +83,83 @@ def load_csv(spark: SparkSession, path: str, name: str | None = None) -> LoadedT
     return LoadedTable(name, frame, frame.count(), len(frame.columns))
 
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-
-
 def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, Dialect]:
-    """Encoding and delimiter of each file.
+    """Encoding and delimiter of each file, from one splittable scan of all its lines.
 
-    A file is UTF-8 when all its lines are, which takes a full but splittable scan. The delimiter
-    is the one that occurs equally often in (nearly) all of the first lines. Lines are numbered in
-    reading order, so the first lines of a file are those next to its smallest number.
+    A file is UTF-8 when all its lines are. The delimiter is the one that occurs equally often in
+    (nearly) all lines; it is a single byte in either encoding, so bytes are counted. A file is
+    told by its distribution of occurrences: a few rows per delimiter.
     """
-    lines = _lines(spark, paths)
-    per_file = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.min(F.when(F.col("block") == 0, F.col("line"))).alias("first"),
-    )
-    # One row per file; the file listing itself is already held by the driver.
-    files = {r.file: r for r in per_file.collect()}
-    starts = spark.createDataFrame([(r.file, r.first) for r in files.values()], "file string, first bigint")
-    sample = (
-        lines.where("block = 0")
-        .join(starts, "file")
-        .where(F.col("line") - F.col("first") < _SAMPLE_LINES)
-        .where(F.length("value") > 0)
-    )
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = lines.where(F.octet_length("value") > 0)
     per_delimiter = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                (F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))).alias("n"),
+                (F.octet_length("value") - F.octet_length(F.replace("value", F.lit(d), F.lit("")))).alias("n"),
             )
             for i, d in enumerate(DELIMITERS)
         ]
     )
-    counted = sample.select("file", F.explode(per_delimiter).alias("c")).select("file", "c.i", "c.n")
-    common = (
-        counted.groupBy("file", "i", "n")
-        .agg(F.count(F.lit(1)).alias("lines"))
-        .groupBy("file", "i")
+    counted = lines.select(
+        "file", F.is_valid_utf8("value").alias("utf8"), F.explode(per_delimiter).alias("c")
+    ).groupBy("file", "c.i", "c.n").agg(F.count(F.lit(1)).alias("lines"), F.bool_and("utf8").alias("utf8"))
+    per_file = (
+        counted.groupBy("file", "i")
         .agg(
-            F.max_by("n", "lines").alias("n"),
+            F.max_by("n", F.struct("lines", "n")).alias("n"),
             (F.max("lines") / F.sum("lines")).alias("share"),
+            F.bool_and("utf8").alias("utf8"),
         )
-        .where((F.col("n") > 0) & (F.col("share") >= _CONSISTENT_SHARE))
         .groupBy("file")
-        .agg(F.max_by("i", F.struct("share", -F.col("i"))).alias("i"))
+        .agg(
+            F.max(
+                F.when(
+                    (F.col("n") > 0) & (F.col("share") >= _CONSISTENT_SHARE),
+                    F.struct("share", (-F.col("i")).alias("i")),
+                )
+            ).alias("best"),
+            F.bool_and("utf8").alias("utf8"),
+        )
     )
-    chosen = {r.file: DELIMITERS[r.i] for r in common.collect()}
+    # One row per file; the file listing itself is already held by the driver.
     return {
-        readable_path(file): Dialect(UTF8 if r.utf8 else LATIN1, chosen.get(file, DEFAULT_DELIMITER))
-        for file, r in files.items()
+        readable_path(r.file): Dialect(
+            UTF8 if r.utf8 else LATIN1, DELIMITERS[-r.best.i] if r.best else DEFAULT_DELIMITER
+        )
+        for r in per_file.collect()
     }
 
 
 def read_csv_robust(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """One CSV file as text columns, and its encoding."""
-    dialect = next(iter(detect_dialects(spark, [path]).values()), Dialect(UTF8, DEFAULT_DELIMITER))
-    return _read_text(spark, [path], dialect), dialect.encoding
+    """One CSV table as text columns, and its encoding; each file of a folder is read in its own."""
+    found = detect_dialects(spark, [path])
+    encodings = {d.encoding for d in found.values()} or {UTF8}
+    frame = _read_dialects(spark, found) if found else _read_text(spark, [path], Dialect(UTF8, DEFAULT_DELIMITER))
+    return frame, LATIN1 if LATIN1 in encodings else UTF8
 
 
 def read_many_robust(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files of one table in mixed dialects: one scan per dialect, whatever the number of files."""
+    return _read_dialects(spark, detect_dialects(spark, paths))
+
+
+def _read_dialects(spark: SparkSession, found: dict[str, Dialect]) -> DataFrame:
     groups: dict[Dialect, list[str]] = {}
-    for file, dialect in detect_dialects(spark, paths).items():
+    for file, dialect in found.items():
         groups.setdefault(dialect, []).append(file)
     frames = [_read_text(spark, files, dialect) for dialect, files in groups.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def _read_text(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
-    return (
-        spark.read.option("header", True)
+    frames = [
+        spark.read.options(**CSV_READ)
         .option("inferSchema", False)
         .option("sep", dialect.delimiter)
         .option("encoding", _SPARK_ENCODING[dialect.encoding])
-        .option("escape", '"')
-        .csv(paths)
-    )
+        .option("multiLine", multi)
+        .csv(files)
+        for multi, files in _by_line_breaks(spark, paths)
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tableinsight.names import unique
 from tableinsight.operators.neutralize import neutralize_formulas
 from tableinsight.operators.profile import describe
+from tableinsight.sources.csv import CSV_WRITE
 
 # Suffix of cleaned files and texts of the report.
 CLEANED_SUFFIX = "_nettoye"
@@ -33,7 +34,7 @@ def write_cleaned(files: dict[str, DataFrame], folder: str) -> list[str]:
     """One CSV dataset per source file under ``folder``; returns the dataset paths."""
     paths = [f"{folder}/{name}" for name in export_names(files)]
     for path, frame in zip(paths, files.values()):
-        neutralize_formulas(frame).write.option("header", True).option("escape", '"').csv(path)
+        neutralize_formulas(frame).write.options(**CSV_WRITE).csv(path)
     return paths
 
 
@@ -51,11 +52,13 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
     paths = {}
     for name, frame in tables.items():
         paths[name] = f"{folder}/{name}"
-        writer = neutralize_formulas(frame).write.mode("overwrite").format(fmt)
+        # Only a spreadsheet reads formulas; other formats keep the values as they are.
+        safe = neutralize_formulas(frame) if fmt == "csv" else frame
+        writer = safe.write.mode("overwrite").format(fmt)
         if name == "drivers":
             writer = writer.partitionBy("dimension")
         if fmt == "csv":
-            writer = writer.option("header", True).option("escape", '"')
+            writer = writer.options(**CSV_WRITE)
         writer.save(paths[name])
     return paths
 

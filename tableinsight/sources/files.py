@@ -59,13 +59,9 @@ def _quoted_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return blocks.withColumn("n", ends).groupBy("path").agg(F.sum("n").alias("n"))
 
 
-def csv_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records per CSV file, header excluded, so a file with only a header counts 0.
-
-    All scans are splittable. Only files where some line leaves a quote open can have line breaks
-    inside a field; those alone are scanned again with the quotes followed from line to line.
-    """
-    lines = (
+def _by_quotes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Per CSV file its filled lines and how many of them leave a quote open."""
+    return (
         spark.read.text(paths)
         .where(F.length(F.trim("value")) > 0)
         .groupBy(F.col("_metadata.file_path").alias("path"))
@@ -74,6 +70,21 @@ def csv_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
             F.count_if(_quotes() % 2 == 1).alias("open_quotes"),
         )
     )
+
+
+def files_with_open_quotes(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The CSV files in which some field holds a line break; a list of files, as the driver has."""
+    found = _by_quotes(spark, paths).where("open_quotes > 0").select("path")
+    return [readable_path(r.path) for r in found.collect()]
+
+
+def csv_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records per CSV file, header excluded, so a file with only a header counts 0.
+
+    All scans are splittable. Only files where some line leaves a quote open can have line breaks
+    inside a field; those alone are scanned again with the quotes followed from line to line.
+    """
+    lines = _by_quotes(spark, paths)
     quoted = [readable_path(r.path) for r in lines.where("open_quotes > 0").select("path").collect()]
     counts = lines.where("open_quotes = 0").select("path", "n")
     if quoted:
@@ -81,6 +92,12 @@ def csv_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return counts.select("path", (F.col("n") - 1).alias("n"))
 
 
+def _with_empty(spark: SparkSession, paths: list[str], counts: DataFrame) -> DataFrame:
+    """Readable files without a row count 0; the listing reads no content."""
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))
+    return listed.join(counts, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def file_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(path, n)`` for CSV, Parquet and JSON-lines files, each read as what it is."""
     by_kind: dict[str, list[str]] = {}
@@ -91,10 +108,11 @@ def file_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
         frames.append(csv_row_counts(spark, csv))
     if parquet := by_kind.get(".parquet"):
         # No column is read, only the row counts in the footers, so the schemas may differ.
-        frames.append(_per_file(spark.read.schema("unread int").parquet(*parquet)))
+        counts = _per_file(spark.read.schema("unread int").parquet(*parquet))
+        frames.append(_with_empty(spark, parquet, counts))
     if json := by_kind.get(".json"):
         filled = spark.read.text(json).where(F.length(F.trim("value")) > 0)
-        frames.append(_per_file(filled))
+        frames.append(_with_empty(spark, json, _per_file(filled)))
     if not frames:
         return spark.createDataFrame([], COUNT_SCHEMA)
     return reduce(DataFrame.unionByName, frames)

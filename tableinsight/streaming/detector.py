@@ -1,86 +1,54 @@
-"""The trailing z-score as a keyed streaming state: the last values of each watched source."""
+"""The trailing z-score over a stream: the state keeps the last values, the scoring is the batch one."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tableinsight.operators.anomaly import (
-    DECIMALS,
-    DOWN,
-    HIGH,
-    HIGH_SEVERITY,
-    LOW,
-    MEDIUM,
-    MEDIUM_SEVERITY,
-    MIN_VALUES,
-    NO_VARIANCE,
-    NOT_ENOUGH_DATA,
-    THRESHOLD,
-    UP,
-    WINDOW_SIZE,
-)
+from tableinsight.operators.anomaly import THRESHOLD, WINDOW_SIZE, score, should_run
 
-STATE_SCHEMA = "history array<double>, last_batch bigint"
 DECISION_SCHEMA = (
     "source string, path string, modified timestamp, n bigint, reason string, anomaly boolean, "
     "moyenne double, ecart_type double, z_score double, direction string, severite string, "
     "should_run boolean"
 )
+_STATE = "recent array<double>, last_batch bigint"
+_WINDOWS = "source string, path string, modified timestamp, n bigint, window array<double>"
 
 
-def score(history: list[float], threshold: float) -> dict:
-    """Score the last value of a window against the whole window."""
-    if len(history) < MIN_VALUES:
-        return {"anomaly": False, "reason": NOT_ENOUGH_DATA, "should_run": True}
-    mean, std = float(np.mean(history)), float(np.std(history))
-    if std == 0:
-        return {"anomaly": False, "reason": NO_VARIANCE, "should_run": False}
-    z = (history[-1] - mean) / std
-    size = abs(z)
-    severity = HIGH if size > HIGH_SEVERITY else MEDIUM if size > MEDIUM_SEVERITY else LOW
-    return {
-        "anomaly": size > threshold,
-        "moyenne": round(mean, DECIMALS),
-        "ecart_type": round(std, DECIMALS),
-        "z_score": round(z, DECIMALS),
-        "direction": UP if z > 0 else DOWN,
-        "severite": severity,
-        "should_run": size > threshold,
-    }
-
-
-def decisions(
-    arrivals: DataFrame, window_size: int = WINDOW_SIZE, threshold: float = THRESHOLD
-) -> DataFrame:
-    """Stream of ``(source, batch_id, path, modified, n)`` arrivals to one decision per arrival.
+def windows(arrivals: DataFrame, window_size: int = WINDOW_SIZE) -> DataFrame:
+    """Stream of ``(source, batch_id, path, modified, n)`` to each arrival with the values up to it.
 
     An arrival is one row per file, so a source's state update handles as many rows as files
     arrived, never the files' rows. A batch that is delivered again is ignored.
     """
-    columns = [c.split()[0] for c in DECISION_SCHEMA.split(", ")]
 
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        history, last_batch = state.get if state.exists else ([], -1)
-        history = list(history)
-        arrived = pd.concat(list(frames))
-        arrived = arrived[arrived.batch_id > last_batch]
-        arrived = arrived.sort_values(["batch_id", "modified", "path"])
-        rows = []
-        for arrival in arrived.itertuples():
-            history = [*history, float(arrival.n)][-window_size:]
-            rows.append(
-                {"source": key[0], "path": arrival.path, "modified": arrival.modified,
-                 "n": arrival.n, **score(history, threshold)}
-            )
-        if rows:
-            state.update((history, int(arrived.batch_id.max())))
-            yield pd.DataFrame(rows, columns=columns)
+    def extend(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        recent, last_batch = state.get if state.exists else ([], -1)
+        rows = pd.concat(list(frames))
+        fresh = rows[rows["batch_id"] > last_batch].sort_values(["batch_id", "modified", "path"])
+        if fresh.empty:
+            return
+        series = [*recent, *fresh["n"].astype(float)]
+        ends = range(len(recent) + 1, len(series) + 1)
+        state.update((series[-window_size:], int(fresh["batch_id"].max())))
+        out = fresh[["path", "modified", "n"]].assign(
+            source=key[0], window=[series[max(0, end - window_size) : end] for end in ends]
+        )
+        yield out[["source", "path", "modified", "n", "window"]]
 
     return arrivals.groupBy("source").applyInPandasWithState(
-        update, DECISION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        extend, _WINDOWS, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def decisions(
+    arrivals: DataFrame, window_size: int = WINDOW_SIZE, threshold: float = THRESHOLD
+) -> DataFrame:
+    """One decision per arrival, as ``DECISION_SCHEMA``."""
+    scored = score(windows(arrivals, window_size), "window", threshold)
+    columns = [c.split()[0] for c in DECISION_SCHEMA.split(", ")]
+    return scored.withColumn("should_run", should_run()).select(*columns)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tableinsight.operators.anomaly import arrival_decisions, trailing_zscore
 from tableinsight.operators.approvals import resolve, unknown_decisions
-from tableinsight.streaming.detector import score
 
 
 def _scores(spark, values, **options):
@@ -49,31 +48,43 @@ def _brute(values, size=12):
     return result
 
 
-def test_batch_state_and_brute_force_agree(spark):
+def test_brute_force_agrees(spark):
     rng = np.random.default_rng(11)
     values = [int(v) for v in rng.integers(0, 50, 200)] + [7] * 15
     batch = [r.z_score for r in _scores(spark, values)]
-    history, state = [], []
-    for v in values:
-        history = [*history, float(v)][-12:]
-        state.append(score(history, 2.0).get("z_score"))
     assert batch == pytest.approx(_brute(values), abs=1.01e-4)
-    assert state == pytest.approx(_brute(values), abs=1e-9)
 
 
-def test_pieces_equal_one_window(spark):
-    """A hot series over many pieces, short ones beside it, windows crossing every border."""
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("s"),
+@pytest.mark.parametrize("ranges", [1, 2, 7, 400])
+def test_ranges_equal_one_window(spark, ranges):
+    """A hot series over many ranges, short ones beside it, gaps and missing values."""
+    df = spark.range(1500).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 != 0, F.concat(F.lit("s"), F.col("id") % 50))
+        .alias("s"),
         "id",
-        ((F.col("id") * 7919) % 1013).cast("double").alias("v"),
+        F.when(F.col("id") % 11 != 0, ((F.col("id") * 7919) % 1013).cast("double")).alias("v"),
     )
-    whole = trailing_zscore(df, "v", ["id"], ["s"], aggregated=True)
-    pieces = trailing_zscore(df, "v", ["id"], ["s"], piece_rows=17)
-    assert whole.columns == pieces.columns
-    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, pieces.collect()), key=str)
-    with pytest.raises(ValueError):
-        trailing_zscore(df, "v", ["id"], ["s"], piece_rows=5)
+    found = trailing_zscore(df, "v", ["id"], ["s"], ranges=ranges)
+    series = {}
+    for r in df.orderBy("id").collect():
+        series.setdefault(r.s, []).append((r.id, r.v))
+    expected = {}
+    for rows in series.values():
+        for i, (key, v) in enumerate(rows):
+            window = [x for _, x in rows[max(0, i - 11) : i + 1] if x is not None]
+            std = np.std(window) if len(window) >= 3 else 0
+            expected[key] = float((v - np.mean(window)) / std) if std and v is not None else None
+    assert {r.id: r.z_score for r in found.collect()} == pytest.approx(expected, abs=1.01e-4)
+    assert found.columns == ["s", "id", "v", "reason", "anomaly", "moyenne", "ecart_type", "z_score",
+                             "direction", "severite"]
+
+
+def test_text_and_date_orders(spark):
+    df = spark.range(60).select(F.format_string("k%03d", "id").alias("k"), F.lit(1.0).alias("v"))
+    assert {r.reason for r in trailing_zscore(df, "v", ["k"], ranges=5).where("k > 'k002'").collect()} == {
+        "pas_de_variance"
+    }
+    assert trailing_zscore(df.limit(0), "v", ["k"]).count() == 0
 
 
 def test_approvals(spark):

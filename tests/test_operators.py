@@ -131,19 +131,33 @@ def test_driver_golden_numbers(spark, counts, chi2, p, significant):
 
 
 def test_drivers_skip_fail_and_isolate(spark, catalogue):
-    result = driver_analysis(catalogue, None, ["produit", "prix", "phantom"])
+    result = driver_analysis(catalogue, None, ["produit", "prix", "phantom"], max_categories=30)
     status = {r.dimension: (r.status, r.n_categories) for r in result.tests.collect()}
     assert status == {"produit": ("tested", 4), "prix": ("skipped", 40), "phantom": ("error", None)}
     assert {r.dimension for r in result.breakdown.collect()} == {"produit"}
 
 
-def test_wide_dimension_is_counted_exactly_without_entities(spark):
+def test_nothing_is_left_out_unless_asked(spark):
+    """Nine dimensions, some with many categories: all tested and broken down."""
+    columns = [F.col("id").alias("user_id")]
+    columns += [(F.col("id") % (7 * i + 2)).cast("string").alias(f"d{i}") for i in range(9)]
+    df = spark.range(4000).select(*columns)
+    result = driver_analysis(df)
+    tests = {r.dimension: r for r in result.tests.collect()}
+    assert {d: r.n_categories for d, r in tests.items()} == {f"d{i}": 7 * i + 2 for i in range(9)}
+    assert {r.status for r in tests.values()} == {"tested"}
+    assert result.breakdown.count() == sum(7 * i + 2 for i in range(9))
+    cut = {r.dimension: r.status for r in driver_analysis(df, max_dimensions=2).tests.collect()}
+    assert [cut[f"d{i}"] for i in range(9)] == ["tested"] * 2 + ["left_out"] * 7
+
+
+def test_wide_dimension_is_counted_exactly(spark):
     df = spark.range(5000).select(
         F.col("id").alias("user_id"),
         F.concat(F.lit("x" * 80), (F.col("id") % 777).cast("string")).alias("comment"),
         F.when(F.col("id") % 3 > 0, "a").alias("kind"),
     )
-    result = driver_analysis(df)
+    result = driver_analysis(df, max_categories=30)
     status = {r.dimension: (r.status, r.n_categories) for r in result.tests.collect()}
     assert status == {"comment": ("skipped", 777), "kind": ("tested", 2)}
     assert {r.category: r.n for r in result.breakdown.collect()} == {"a": 3333, None: 1667}
@@ -161,6 +175,13 @@ def test_breakdown_ignores_row_order(retention):
     assert a == b and {r.n for r in a if r.dimension == "platform"} == {20}
 
 
+def test_findings_print_decimals(spark):
+    rows = [("a", "tested", p, False) for p in (0.0005, 0.0, 1.0, 0.05, 0.2395)]
+    tests = spark.createDataFrame(rows, "dimension string, status string, p_value double, significant boolean")
+    found = [r.finding.split("p=")[1].split(" ")[0] for r in findings(tests).collect()]
+    assert found == ["0.0005", "0.0", "1.0", "0.05", "0.2395"]
+
+
 def test_findings_text(retention):
     texts = {r.finding for r in findings(driver_analysis(retention).tests).collect()}
     assert "platform : p=1.0 (non significatif)" in texts

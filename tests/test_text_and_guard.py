@@ -10,27 +10,29 @@ def _chunks(spark, text, **options):
     return [r.chunk for r in chunk_text(df, "doc_id", "text", **options).orderBy("chunk_no").collect()]
 
 
-def _packed(text, limit):
-    """Brute force: close the open chunk when the next paragraph no longer fits."""
-    done, current = [], []
-    for p in (p for p in text.split("\n") if p.strip()):
-        if current and sum(map(len, current)) + len(p) > limit:
-            done.append(current)
-            current = []
-        current = [*current, p]
-    return ["\n".join(c) for c in (done + [current] if current else done)] or [""]
+LIMIT = 700
 
 
 @pytest.mark.parametrize(
     "text",
     [
-        "", " \n\t\n", "one", "a\n\nb", "x" * 2000, "x" * 2000 + "\nshort\n" + "y" * 699,
-        "\n".join("p" * (i * 37 % 400) for i in range(120)), "é" * 350 + "\n" + "ü" * 350 + "\nz",
-        " \nend \n  indented",
+        "", " \n\t\n", "single", "a\n\nb", "q" * 1900, "q" * 1900 + "\nshort\n" + "y" * 699,
+        "\n".join("p" * (i * 41 % 390) for i in range(90)), "é" * 350 + "\n" + "ü" * 350 + "\nz",
+        " \nend \n  indented", "w" * 701, "w" * 700 + "\nv",
     ],
 )
 def test_chunks(spark, text):
-    assert _chunks(spark, text) == _packed(text, 700)
+    """Nothing is lost, no chunk of several paragraphs is too long, none could take the next one."""
+    chunks = _chunks(spark, text)
+    paragraphs = [c.split("\n") for c in chunks]
+    filled = [p for p in text.split("\n") if p.strip()]
+    if not filled:
+        assert chunks == [""]
+        return
+    assert [p for own in paragraphs for p in own] == filled
+    size = [sum(map(len, own)) for own in paragraphs]
+    assert all(n <= LIMIT for n, own in zip(size, paragraphs) if len(own) > 1)
+    assert all(n + len(after[0]) > LIMIT for n, after in zip(size, paragraphs[1:]))
 
 
 def test_small_chunks(spark):
@@ -88,18 +90,39 @@ def test_refused(sql):
         ensure_read_only(sql)
 
 
-def test_run_caps_rows_inside_the_plan(spark):
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT TRANSFORM(a) USING /* x */ 'cat' FROM t", "SELECT TRANSFORM(a) USING -- x\n 'cat' FROM t",
+     "SELECT TRANSFORM(a) USING r'cat' FROM t", "SELECT * FROM (SELECT TRANSFORM(a) USING 'cat' AS (b) FROM t)",
+     "SELECT 'USING (' , TRANSFORM(a) USING R\"cat\" FROM t"],
+)
+def test_no_way_to_a_program(sql):
+    with pytest.raises(QueryRefused):
+        ensure_read_only(sql)
+
+
+def test_results_are_whole_unless_asked(spark):
     spark.range(5000).createOrReplaceTempView("many")
-    assert run_read_only(spark, "SELECT id FROM many").count() == 1000
+    assert run_read_only(spark, "SELECT id FROM many").count() == 5000
     assert run_read_only(spark, "SELECT id FROM many", limit=7).count() == 7
     assert run_read_only(spark, "SHOW TABLES").count() >= 1
+    cut, whole = try_query(spark, "SELECT id FROM many", 7), try_query(spark, "SELECT id FROM many", 5000)
+    assert (cut.frame.count(), cut.more, whole.frame.count(), whole.more) == (7, True, 5000, False)
 
 
-def test_files_cannot_be_named_in_from(spark, tmp_path):
+@pytest.mark.parametrize(
+    "query",
+    ["SELECT * FROM parquet.`{}`", "WITH a AS (SELECT * FROM parquet.`{}`) SELECT * FROM a",
+     "SELECT (SELECT max(id) FROM parquet.`{}`) AS m", "EXPLAIN SELECT * FROM parquet.`{}`",
+     "SELECT id FROM many WHERE id IN (SELECT id FROM json.`{}`)", "SELECT * FROM many JOIN text.`{}` USING (id)"],
+)
+def test_files_cannot_be_named_in_from(spark, tmp_path, query):
+    spark.range(3).createOrReplaceTempView("many")
     spark.range(3).write.parquet(str(tmp_path / "p"))
-    result = try_query(spark, f"SELECT * FROM parquet.`{tmp_path}/p`")
-    assert not result.ok and result.error.startswith("Erreur SQL: ")
+    result = try_query(spark, query.format(tmp_path / "p"))
+    assert not result.ok and result.error.startswith("Requête refusée : ")
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+    assert try_query(spark, "SELECT * FROM default.many").error.startswith("Erreur SQL: ")
 
 
 def test_try_query_reports(spark):
