@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableinsight.functions.columns import text_columns
-from tableinsight.functions.keys import distinct_rows
+from tableinsight.functions.keys import null_in, row_groups
 from tableinsight.functions.parsing import (
     DATE_KEYWORDS,
     comma_to_point,
@@ -130,13 +130,9 @@ def _converted(name: str, decisions: Decisions) -> Column:
 
 
 def _report(converted: DataFrame, decisions: Decisions) -> DataFrame:
-    groups, key = distinct_rows(converted)
-    counts = groups.agg(
+    counts = row_groups(converted, []).agg(
         F.count(F.lit(1)).alias("final_rows"),
-        *[
-            F.count_if(F.col(key[c]).isNull()).alias(f"missing{i}")
-            for i, c in enumerate(converted.columns)
-        ],
+        *[F.count_if(null_in(i)).alias(f"missing{i}") for i in range(len(converted.columns))],
     )
     missing = [
         F.struct(F.lit(c).alias("name"), F.col(f"missing{i}").alias("n")) for i, c in enumerate(converted.columns)

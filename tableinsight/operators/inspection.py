@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableinsight.functions.columns import date_columns, first_date_column, id_column, type_name
-from tableinsight.functions.keys import distinct_rows
+from tableinsight.functions.keys import null_in, row_digest, row_groups
 from tableinsight.names import col
 
 # Large-table limit and check names.
@@ -42,9 +42,10 @@ def _total(n: Column) -> Column:
 def table_totals(df: DataFrame, entity: str | None = None) -> DataFrame:
     """One row: row and duplicate counts, distinct entities, ``null_i`` per column and
     ``min_i``/``max_i`` per date column. Inspection and validation both read from it."""
-    groups, key = distinct_rows(df)
+    dates = date_columns(df)
+    keep = dates + ([entity] if entity in df.columns and entity not in dates else [])
+    groups, key = row_groups(df, keep), {name: f"k{i}" for i, name in enumerate(keep)}
     n = F.col("n")
-    dates = set(date_columns(df))
     aggregates = [
         _total(n).alias("row_count"),
         F.count_if(n > 1).alias("duplicate_groups"),
@@ -53,9 +54,9 @@ def table_totals(df: DataFrame, entity: str | None = None) -> DataFrame:
     if entity in key:
         aggregates.append(F.count_distinct(F.col(key[entity])).alias("entities"))
     for i, name in enumerate(df.columns):
-        k = F.col(key[name])
-        aggregates.append(_total(F.when(k.isNull(), n)).alias(f"null_{i}"))
+        aggregates.append(_total(F.when(null_in(i), n)).alias(f"null_{i}"))
         if name in dates:
+            k = F.col(key[name])
             aggregates += [F.min(k).alias(f"min_{i}"), F.max(k).alias(f"max_{i}")]
     return groups.agg(*aggregates)
 
@@ -138,7 +139,8 @@ def date_ranges(df: DataFrame) -> DataFrame:
 
 def duplicate_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows, distinct rows that repeat (groups), and rows beyond the first copy (excess)."""
-    groups, _ = distinct_rows(df, columns)
+    named = df.columns if columns is None else [c for c in df.columns if c in columns]
+    groups = df.groupBy(row_digest(df, named).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         _total(F.col("n")).alias("row_count"),
         F.count_if(F.col("n") > 1).alias("duplicate_groups"),

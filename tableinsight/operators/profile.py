@@ -36,6 +36,7 @@ REPORT_NUMBERS = {
 }
 
 _QUARTILES = (0.25, 0.5, 0.75)
+_TEXT_SCHEMA = "column_name string, count bigint, unique bigint, top string, freq bigint"
 
 
 def _column_stats(
@@ -156,6 +157,8 @@ def describe_dates(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFra
 def describe_text(df: DataFrame) -> DataFrame:
     """count, distinct values, most frequent value (smallest on a tie) and its frequency."""
     names = text_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], _TEXT_SCHEMA)
     frequencies = (
         df.select(*[col(c) for c in names])
         .unpivot([], [col(c) for c in names], "column_name", "value")

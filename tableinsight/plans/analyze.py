@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tableinsight.operators.inspection import (
     table_totals,
     validation_checks,
 )
-from tableinsight.operators.joins import diagnose_join, join_tables
+from tableinsight.operators.joins import diagnose_join, join_tables, source_row_counts
 from tableinsight.operators.metric import Metric, entity_metric
 from tableinsight.sources.export import markdown_report, write_markdown, write_tables
 
@@ -27,6 +28,13 @@ class Analysis:
     drivers: DriverAnalysis
     validation: DataFrame
     join_diagnosis: DataFrame | None = None
+    join_sources: DataFrame | None = None
+    held: DataFrame | None = None  # the joined rows, kept until release()
+
+    def release(self) -> None:
+        """Let go of the joined rows once the results have been used."""
+        if self.held is not None:
+            self.held.unpersist()
 
     def tables(self) -> dict[str, DataFrame]:
         tables = {
@@ -38,6 +46,8 @@ class Analysis:
         }
         if self.join_diagnosis is not None:
             tables["join_diagnosis"] = self.join_diagnosis
+        if self.join_sources is not None:
+            tables["join_sources"] = self.join_sources
         return tables
 
 
@@ -66,9 +76,14 @@ def analyze(
 
 
 def analyze_joined(tables: dict[str, DataFrame], spec: dict, **options) -> Analysis:
-    """Analyze the joined tables; the join diagnosis is computed from key counts alone."""
-    joined = join_tables(tables, spec)
-    return analyze(joined, join_diagnosis=diagnose_join(tables, spec), **options)
+    """Analyze the joined tables; the join diagnosis is computed from key counts alone.
+
+    Every part of the analysis reads the joined rows, so the join runs once and its rows are kept
+    on the executors' memory and disks until ``release()``; lost ones are joined again.
+    """
+    joined = join_tables(tables, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    analysis = analyze(joined, join_diagnosis=diagnose_join(tables, spec), **options)
+    return replace(analysis, join_sources=source_row_counts(tables), held=joined)
 
 
 def write_report(

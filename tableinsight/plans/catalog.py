@@ -38,13 +38,15 @@ from tableinsight.operators.profile import (
     profile_table,
 )
 from tableinsight.operators.reconcile import reconcile_numbers
-from tableinsight.plans.analyze import analyze, write_report
+from tableinsight.plans.analyze import analyze, analyze_joined, write_report
+from tableinsight.plans.file_flow import process_files
 from tableinsight.plans.guard import run_read_only
 from tableinsight.plans.sql_checks import SQL_CHECKS
 from tableinsight.session import fresh_path
-from tableinsight.sources.csv import read_csv, read_csv_robust
+from tableinsight.sources.csv import CSV_WRITE, read_csv, read_csv_robust
 from tableinsight.sources.export import write_cleaned
-from tableinsight.sources.files import file_row_counts
+from tableinsight.sources.files import csv_row_counts, file_row_counts
+from tableinsight.streaming.detector import decisions
 from tableinsight.streaming.gate import ArrivalGate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -531,6 +533,83 @@ def csv_robust(spark, sf_dir):
     ).withColumn("encoding", F.lit(encoding))
 
 
+def _awkward_texts(spark, sf_dir) -> DataFrame:
+    """Document texts between quotes, separators, line breaks, backslashes and edge spaces."""
+    text = F.concat(F.lit('  "a", \\" ;\t'), "text", F.lit('\n\\n""\\  '))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
+
+
+def csv_texts(spark, sf_dir):
+    """Whole texts written and read again, to the character."""
+    path = fresh_path(spark, "csv-texts")
+    _awkward_texts(spark, sf_dir).write.options(**CSV_WRITE).csv(path)
+    return read_csv(spark, path)
+
+
+def csv_folder(spark, sf_dir):
+    """One table in two files of different encodings, accents right before the separator."""
+    path = fresh_path(spark, "csv-mixed")
+    documents = table(spark, sf_dir, "documents")
+    plain = documents.where("doc_id % 2 = 0").select("doc_id", F.lit("cafe").alias("note"), "n_chars")
+    latin = documents.where("doc_id % 2 = 1").select("doc_id", F.lit("café").alias("note"), "n_chars")
+    for part, encoding in ((plain, "UTF-8"), (latin, "ISO-8859-1")):
+        part.write.mode("append").option("sep", ";").option("encoding", encoding).option("header", True).csv(path)
+    frame, encoding = read_csv_robust(spark, path)
+    return frame.groupBy("note").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("n_chars").cast("bigint")).alias("n_chars")
+    ).withColumn("encoding", F.lit(encoding))
+
+
+def csv_record_counts(spark, sf_dir):
+    """Records counted without parsing are the rows a reader finds."""
+    path = fresh_path(spark, "csv-counted")
+    _awkward_texts(spark, sf_dir).write.options(**CSV_WRITE).csv(path)
+    counted = csv_row_counts(spark, [path]).agg(F.sum("n").alias("n"))
+    return counted.select(F.lit("counted").alias("how"), "n").unionByName(
+        read_csv(spark, path).agg(F.count(F.lit(1)).alias("n")).select(F.lit("read").alias("how"), "n")
+    )
+
+
+def file_flow(spark, sf_dir):
+    """Several exports cleaned, described and written; one that is missing fails alone."""
+    folder = fresh_path(spark, "incoming")
+    raw_orders(spark, sf_dir).write.options(**CSV_WRITE).csv(f"{folder}/orders.csv")
+    table(spark, sf_dir, "part").write.options(**CSV_WRITE).csv(f"{folder}/part.csv")
+    files = [f"{folder}/{n}.csv" for n in ("orders", "missing", "part")]
+    return process_files(spark, files, fresh_path(spark, "processed")).select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), "status", "n_rows", "n_columns"
+    )
+
+
+def stream_decisions(spark, sf_dir):
+    """Daily counts as a stream of arrivals in a fixed order; the batch SQL decides the same."""
+    folder = fresh_path(spark, "arrivals")
+    daily = _daily_events(spark, sf_dir).select(
+        F.lit("events").alias("source"), F.col("day").cast("string").alias("path"),
+        F.col("day").cast("timestamp").alias("modified"), "n", F.lit(0).cast("bigint").alias("batch_id"),
+    )
+    daily.repartition(1).write.parquet(f"{folder}/in")  # one small arrival file, one row a day
+    stream = spark.readStream.schema(daily.schema).parquet(f"{folder}/in")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    decisions(stream).writeStream.foreachBatch(keep).option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        F.col("path").cast("date").alias("day"), "n", "reason", "anomaly", "z_score", "should_run"
+    )
+
+
+def join_sources(spark, sf_dir):
+    """Rows per source that go with a joined analysis."""
+    spec = {"root": "documents", "joins": [_step("labels", "doc_id", "documents", "doc_id", "left")]}
+    analysis = analyze_joined(tables(spark, sf_dir, "documents", "labels"), spec)
+    analysis.release()
+    return analysis.join_sources
+
+
 def report_tables(spark, sf_dir):
     """A whole report written, then its metric and test tables read back."""
     analysis = analyze(
@@ -631,6 +710,7 @@ def queries() -> dict[str, Query]:
         clean_empty_rows, clean_decimal, clean_numeric, clean_dates, clean_report, neutralize,
         hostile_header, zscore_daily, zscore_by_type, zscore_long_series, arrival_gate,
         approval_resolution, approval_unknown, stream_gate, file_counts, csv_roundtrip, csv_robust,
+        csv_texts, csv_folder, csv_record_counts, file_flow, stream_decisions, join_sources,
         report_tables, chunk_documents, chunk_sizes, json_extract, json_extract_rate, json_fields,
     ]
     named = {query.__name__: query for query in own}

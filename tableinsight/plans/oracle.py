@@ -383,6 +383,19 @@ def oracle_sql() -> dict[str, str]:
         "csv_robust": """SELECT lang, 'é' || lang AS note, count(*) AS n,
             CAST(sum(n_chars) AS BIGINT) AS n_chars, 'latin-1' AS encoding
             FROM documents GROUP BY lang""",
+        "csv_texts": r"""SELECT doc_id, '  "a", \" ;' || chr(9) || text || chr(10) || '\n""\  ' AS text,
+            lang FROM documents""",
+        "csv_folder": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'cafe' ELSE 'café' END AS note,
+            count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, 'latin-1' AS encoding
+            FROM documents GROUP BY 1""",
+        "csv_record_counts": """SELECT 'counted' AS how, count(*) AS n FROM documents
+            UNION ALL SELECT 'read', count(*) FROM documents""",
+        "file_flow": """SELECT 'orders.csv' AS file, 'ok' AS status,
+            (SELECT count(*) FROM orders) AS n_rows, 5 AS n_columns
+            UNION ALL SELECT 'missing.csv', 'erreur', NULL, NULL
+            UNION ALL SELECT 'part.csv', 'ok', (SELECT count(*) FROM part), 6""",
+        "join_sources": """SELECT 'documents' AS source, count(*) AS n FROM documents
+            UNION ALL SELECT 'labels', count(*) FROM labels""",
         "report_tables": f"""WITH long AS ({_BUCKETED})
             SELECT 'metric' AS part, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS item,
                    count(DISTINCT user_id) AS value FROM events GROUP BY 2
@@ -398,4 +411,5 @@ def oracle_sql() -> dict[str, str]:
         "json_fields": """SELECT conv_id, turn, text AS business_question, role AS title
             FROM conversations WHERE text IS NOT NULL""",
     }
+    sql["stream_decisions"] = sql["arrival_gate"]
     return sql | {name: check.other or check.spark for name, check in SQL_CHECKS.items()}

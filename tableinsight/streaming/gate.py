@@ -47,6 +47,10 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path) if kind == ".json" else read_csv(spark, path)
 
 
+# Arrival files, one per handled batch of files, that a decision batch takes at most.
+_ARRIVAL_FILES = 1000
+
+
 @dataclass
 class ArrivalGate:
     spark: SparkSession
@@ -98,8 +102,9 @@ class ArrivalGate:
                 raise
             if len(paths) == 1:
                 return {}
-            # One bad file fails the shared job: count the files of this batch one by one.
-            return {k: v for p in paths for k, v in self._count([p]).items()}
+            # One bad file fails the shared job: halves are counted until it stands alone.
+            middle = len(paths) // 2
+            return self._count(paths[:middle]) | self._count(paths[middle:])
         return {readable_path(r.path): r.n for r in counts}
 
     def _record_arrivals(self, batch: DataFrame, batch_id: int) -> None:
@@ -120,6 +125,7 @@ class ArrivalGate:
     def _decided(self) -> DataFrame:
         arrivals = (
             self.spark.readStream.schema(_ARRIVAL_SCHEMA + ", batch_id bigint")
+            .option("maxFilesPerTrigger", _ARRIVAL_FILES)
             .parquet(f"{self.state_dir}/arrivals")
             .where(F.col("status") == COUNTED)
         )
@@ -127,15 +133,13 @@ class ArrivalGate:
 
     def _act(self, batch: DataFrame, batch_id: int) -> None:
         target = f"{self.state_dir}/decisions/batch_id={batch_id}"
-        batch.coalesce(1).write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(target)
         # A run id depends on the file only, so a replayed batch repeats its runs in place.
         run_id = F.concat(
             F.lit("stream-"),
             F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""),
             F.lit("-"),
-            F.substring(
-                F.sha2(F.concat("path", F.unix_micros("modified").cast("string")), 256), 1, 8
-            ),
+            F.sha2(F.concat("path", F.unix_micros("modified").cast("string")), 256),
         )
         runs = (
             self.spark.read.schema(DECISION_SCHEMA)
@@ -154,7 +158,7 @@ class ArrivalGate:
                 self._run(run)
 
     def _run(self, run: Row) -> None:
-        folder = f"{self.deliverables_dir}/{stem(run.path)}_{run.run_id[-8:]}"
+        folder = f"{self.deliverables_dir}/{stem(run.path)}_{run.run_id[-64:]}"
         if self.analysis:
             self.analysis(self.spark, run.path, folder)
             return
