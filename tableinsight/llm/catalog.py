@@ -100,7 +100,3 @@ QUERIES = (
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
