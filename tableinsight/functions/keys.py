@@ -75,15 +75,3 @@ def row_groups(df: DataFrame, keep: list[str], columns: list[str] | None = None)
 def null_in(i: int) -> Column:
     """Whether the column number ``i`` of the table is NULL in a row of ``row_groups``."""
     return F.col(f"m{i // _MASK_BITS}").bitwiseAND(F.lit(1 << (i % _MASK_BITS))) != 0
-
-
-def distinct_rows(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """One row per distinct row of ``df`` with its multiplicity ``n``, and the key name per column.
-
-    Copies collapse before the shuffle, so a row repeated a billion times costs one record per
-    map task. Keys get positional names, which no header can clash with.
-    """
-    fields = [f for f in df.schema if columns is None or f.name in columns]
-    names = {f.name: f"k{i}" for i, f in enumerate(fields)}
-    keys = [compact_key(col(f.name), f.dataType).alias(names[f.name]) for f in fields]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), names

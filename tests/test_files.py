@@ -3,9 +3,11 @@ from datetime import date
 from tableinsight.plans.analyze import analyze, write_report
 from tableinsight.session import fresh_path, shuffle_partitions
 from tableinsight.sources.csv import (
+    CSV_WRITE,
     Dialect,
     detect_dialects,
     load_csv,
+    read_csv,
     read_csv_robust,
     read_many_robust,
 )
@@ -15,6 +17,7 @@ from tableinsight.sources.export import (
     markdown_report,
     write_cleaned,
     write_described,
+    write_tables,
 )
 from tableinsight.sources.files import file_row_counts
 
@@ -142,3 +145,54 @@ def test_quoted_line_breaks_across_blocks(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+TRICKY = ['say "hi", you', "two\nlines", "  edges  ", 'back\\slash "\\" end\\', "", "a;b\tc|d", "tail\n", '"', "é\r\nù"]
+
+
+def test_texts_survive_a_round_trip(spark, tmp_path):
+    """To the character; only an empty text comes back as a missing one."""
+    rows = [(i, t) for i, t in enumerate(TRICKY)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    for name, frame in (("broken", df), ("plain", df.where("instr(t, '\n') = 0"))):
+        path = str(tmp_path / name)
+        frame.write.options(**CSV_WRITE).csv(path)
+        expected = sorted((r.id, r.t or None) for r in frame.collect())
+        assert sorted(tuple(r) for r in read_csv(spark, path).collect()) == expected
+        texts = read_csv_robust(spark, path)[0]
+        assert sorted((int(r.id), r.t) for r in texts.collect()) == expected
+        counted = file_row_counts(spark, [str(p) for p in (tmp_path / name).glob("part-*.csv")])
+        assert sum(r.n for r in counted.collect()) == len(expected)
+
+
+def test_accents_before_the_separator_and_mixed_folders(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("nom;ville\ncafé;2\nthé;3\n".encode("latin-1"))
+    frame, encoding = read_csv_robust(spark, str(tmp_path / "a.csv"))
+    assert encoding == "latin-1" and sorted(map(tuple, frame.collect())) == [("café", "2"), ("thé", "3")]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "p0.csv").write_bytes(b"nom;n\necole;1\n")
+    (folder / "p1.csv").write_bytes("nom;n\nécole;2\n".encode("latin-1"))
+    frame, encoding = read_csv_robust(spark, str(folder))
+    assert encoding == "latin-1" and sorted(map(tuple, frame.collect())) == [("ecole", "1"), ("école", "2")]
+
+
+def test_files_without_rows_count_zero(spark, tmp_path):
+    spark.range(0).write.parquet(str(tmp_path / "p.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "q.parquet"))
+    (tmp_path / "j.json").write_text("\n")
+    (tmp_path / "h.csv").write_text("a,b\n")
+    paths = [str(tmp_path / n) for n in ("p.parquet", "q.parquet", "j.json", "h.csv")]
+    found = {}
+    for r in file_row_counts(spark, paths).collect():
+        name = next(n for n in ("p.parquet", "q.parquet", "j.json", "h.csv") if n in r.path)
+        found[name] = found.get(name, 0) + r.n
+    assert found == {"p.parquet": 0, "q.parquet": 3, "j.json": 0, "h.csv": 0}
+
+
+def test_parquet_keeps_values_that_csv_neutralises(spark, tmp_path):
+    table = spark.createDataFrame([("-1",), ("=x",)], "category string")
+    paths = write_tables({"t": table}, str(tmp_path / "parquet"))
+    assert sorted(r.category for r in spark.read.parquet(paths["t"]).collect()) == ["-1", "=x"]
+    paths = write_tables({"t": table}, str(tmp_path / "csv"), "csv")
+    assert sorted(r.category for r in read_csv(spark, paths["t"]).collect()) == ["'-1", "'=x"]

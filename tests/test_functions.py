@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tableinsight import names
 from tableinsight.functions import chisq, columns
 from tableinsight.functions.chisq import uniform_statistic, upper_tail
-from tableinsight.functions.keys import distinct_rows
+from tableinsight.functions.keys import compact_key, null_in, row_groups
+from tableinsight.operators.inspection import duplicate_stats
 from tableinsight.operators.profile import (
     describe,
     describe_numbers,
@@ -94,13 +95,35 @@ def test_dimensions_skip_id_and_dates(spark):
 def test_long_text_keys_are_narrow_and_exact(spark):
     long, other = "x" * 5000, "x" * 4999 + "y"
     digest = spark.sql(f"SELECT sha2('{long}', 256)").first()[0]
-    df = spark.createDataFrame(
-        [(long,), (long,), (other,), (digest,), ("",), (None,), (None,)], "t string"
-    )
-    groups, _ = distinct_rows(df)
-    counts = {r.k0: r.n for r in groups.collect()}
-    assert sorted(counts.values()) == [1, 1, 1, 2, 2]
-    assert max(len(k) for k in counts if k) == 64
+    values = [long, long, other, digest, "", None, None]
+    df = spark.createDataFrame([(v,) for v in values], "t string")
+    keys = [r[0] for r in df.select(compact_key(F.col("t"), df.schema["t"].dataType)).collect()]
+    assert [keys.count(k) for k in keys] == [values.count(v) for v in values]
+    assert max(len(k) for k in keys if k) == 64
+
+
+def test_row_digests_tell_rows_apart(spark):
+    rows = [
+        ("a", "bc", 0.0, [1, None]), ("ab", "c", 0.0, [1, None]), ("a", "bc", -0.0, [1, None]),
+        (None, "-", 1.0, None), ("-", None, 1.0, None), ("", None, float("nan"), []), ("", None, float("nan"), []),
+        ("a", "bc", 0.0, [1]), ("1:x", "", 2.0, None), ("1:x1:", None, 2.0, None),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string, c double, d array<int>")
+    counts = sorted(r.n for r in row_groups(df, []).collect())
+    assert counts == [1, 1, 1, 1, 1, 1, 2, 2]
+    nulls = row_groups(df, []).where(null_in(1)).agg(F.sum("n")).first()[0]
+    assert nulls == 4
+
+
+def test_only_the_digest_is_shuffled(spark):
+    plan = duplicate_stats(spark.range(9).selectExpr("id", "id * 2 AS other", "'t' AS text"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in text.split("\n") if "hashpartitioning" in line]
+    assert exchanges and not any("hashpartitioning(id" in x or "hashpartitioning(t" in x for x in exchanges)
+
+
+def test_describe_without_numbers_dates_or_text(spark):
+    assert describe(spark.sql("SELECT true AS flag"))["text"].collect() == []
 
 
 @pytest.mark.parametrize("direct_values", [1_000_000, 60])

@@ -3,6 +3,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tableinsight.operators import joins
 from tableinsight.operators.drivers import NO_FINDING_TEXT, driver_analysis, findings
 from tableinsight.operators.inspection import (
     date_ranges,
@@ -13,6 +14,7 @@ from tableinsight.operators.inspection import (
 )
 from tableinsight.operators.joins import (
     JoinConfigurationError,
+    JoinStep,
     diagnose_join,
     join_tables,
     joined_row_count,
@@ -366,3 +368,15 @@ def test_hot_entity_and_category(spark):
     assert counts == {"hot": 1, **{f"c{i}": 1200 for i in range(5)}}
     stats = duplicate_stats(df).first()
     assert (stats.duplicate_groups, stats.excess_rows) == (1, 2999)
+
+
+def test_join_diagnosis_counts_beyond_64_bits(spark):
+    """Key counts of four billion on both sides, put in as weights."""
+    big = spark.createDataFrame([(1, 4_000_000_000)], "key int, n bigint")
+    root = big.select(F.col("key").alias("c0"), F.col("n").cast("decimal(38,0)").alias("w"))
+    side = big.select("key", F.col("n").cast("decimal(38,0)").alias("w"))
+    steps = [JoinStep("b", "key", "a", "key", "inner")]
+    rows = joins._weights("a", {"a": root, "b": side}, {"a": steps, "b": []})
+    assert rows.first().w == 16 * 10**18
+    vast = side.select("key", F.lit("9" * 38).cast("decimal(38,0)").alias("w"))
+    assert joins._weights("a", {"a": root, "b": vast}, {"a": steps, "b": []}).first().w == int("9" * 38)
