@@ -90,7 +90,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read(spark, sf_dir, "pages"))
+    judged = url_filter.judge(read(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = (

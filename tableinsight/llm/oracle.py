@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tableinsight.llm import decontaminate, line_runs, secrets, source_mix
+from tableinsight.llm import decontaminate, line_runs, secrets, source_mix, url_filter
 from tableinsight.llm.common import LOWER, UPPER
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -132,7 +132,56 @@ def _secrets() -> str:
     )
 
 
+def _urls() -> str:
+    """Rules as a CASE from the longest, then Witten-Bell models order by order."""
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[0] + r[1]), r))
+    fits = [
+        (f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))", h + p, v) for h, p, v in rules
+    ]
+    rule = " ".join(f"WHEN {test} THEN '{name}'" for test, name, _ in fits)
+    known = " ".join(f"WHEN {test} THEN '{verdict}'" for test, _, verdict in fits)
+    pad, last = url_filter._START, url_filter._END
+    n, micro = url_filter.ORDER, url_filter._MICRO
+    parts = []
+    for k in range(1, n + 1):
+        shorter = f"1.0 / {url_filter.SYMBOLS}" if k == 1 else "m.p"
+        join = "" if k == 1 else f" JOIN m{k - 1} m ON m.g = right(o.g, {k - 1}) AND m.kind = o.kind"
+        parts.append(f"""o{k} AS (SELECT right(gram, {k}) AS g, kind, CAST(sum(c) AS DOUBLE) AS c FROM counts GROUP BY 1, 2),
+c{k} AS (SELECT left(g, {k - 1}) AS context, kind, sum(c) AS total, count(*) FILTER (c > 0) AS kinds
+        FROM o{k} GROUP BY 1, 2),
+m{k} AS (SELECT o.g, o.kind, CASE WHEN total > 0 THEN (o.c + kinds * {shorter}) / (total + kinds) ELSE {shorter} END AS p
+        FROM o{k} o JOIN c{k} c ON c.context = left(o.g, {k - 1}) AND c.kind = o.kind{join})""")
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
+               THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, {_LOWERED.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {known} END AS known, '{pad}' || regexp_replace(translate(
+            {_LOWERED.format("host || path")}, '123456789', '000000000'), '[^a-z0/.\\-]', '~', 'g') || '{last}' AS s FROM parts),
+strings AS (SELECT s, known, count(*) AS n FROM ruled GROUP BY s, known),
+grams AS (SELECT s, known, n, substr(s, i, {n}) AS gram FROM strings, unnest(range(1, length(s) - {n - 2})) t(i)),
+counts AS (SELECT gram, kind, sum(CASE WHEN known = kind THEN n ELSE 0 END) AS c
+           FROM grams, (VALUES ('allow'), ('block')) v(kind) GROUP BY gram, kind),
+{", ".join(parts)},
+ratios AS (SELECT a.g AS gram, CAST(round((ln(a.p) - ln(b.p)) * {micro}) AS BIGINT) AS micro
+           FROM m{n} a JOIN m{n} b ON a.g = b.g WHERE a.kind = 'allow' AND b.kind = 'block'),
+scored AS (SELECT s, known, n, CASE WHEN s = '{pad + last}' THEN 0.0
+             ELSE sum(micro) / CAST(length(s) - {n - 1} AS DOUBLE) / {micro} END AS score
+           FROM grams JOIN ratios USING (gram) GROUP BY s, known, n),
+moments AS (SELECT known, CAST(sum(n) AS DOUBLE) AS n, sum(n * score) / sum(n) AS mean,
+              sum(n * score * score) / sum(n) AS square FROM scored WHERE known IS NOT NULL GROUP BY known),
+cutoff AS (SELECT CASE WHEN y.mean > b.mean THEN (y.mean + b.mean) / 2
+             + (y.n * greatest(y.square - y.mean ** 2, 0) + b.n * greatest(b.square - b.mean ** 2, 0)) / (y.n + b.n)
+               / (y.mean - b.mean) * ln(b.n / y.n) ELSE 0 END AS t
+           FROM moments y JOIN moments b ON y.known = 'allow' AND b.known = 'block')
+SELECT page_id, host, path, rule,
+       coalesce(ruled.known, CASE WHEN score >= round(coalesce((SELECT t FROM cutoff), 0), 6) THEN 'allow' ELSE 'block' END)
+         AS verdict
+FROM ruled LEFT JOIN scored ON ruled.known IS NULL AND scored.known IS NULL AND ruled.s = scored.s"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": LINES, "op4_source_mix": MIX, "op7_secrets": _secrets(), "op9_decontaminate": PASSAGES,
+        "op10_url_filter": _urls(),
     }
