@@ -35,6 +35,8 @@ REPORT_NUMBERS = {
     "ecart_type": "stddev",
 }
 
+_WHOLE = ("TINYINT", "SMALLINT", "INTEGER", "BIGINT")
+_STATS = ("n", "lo", "hi", "mean", "std", "exact_lo", "exact_hi")
 _QUARTILES = (0.25, 0.5, 0.75)
 _TEXT_SCHEMA = "column_name string, count bigint, unique bigint, top string, freq bigint"
 
@@ -52,7 +54,10 @@ def _column_stats(
     at least two more, a sketching and a ranking one, which read only the number columns. (Sketches
     in the first scan would move all its aggregates to the slower object-based aggregation.)
     """
-    values = df.select(*as_doubles(numbers), *[f.alias(f"f{j}") for j, f in enumerate(flags)])
+    values = df.select(
+        *as_doubles(numbers), *[x.alias(f"x{i}") for i, x in enumerate(numbers)],
+        *[f.alias(f"f{j}") for j, f in enumerate(flags)],
+    )
     aggregates = [F.count_if(F.col(f"f{j}")).alias(f"f{j}") for j in range(len(flags))]
     for i in range(len(numbers)):
         v = F.col(f"c{i}")
@@ -62,6 +67,9 @@ def _column_stats(
             F.max(v).alias(f"hi{i}"),
             F.avg(v).alias(f"mean{i}"),
             F.stddev_samp(v).alias(f"std{i}"),
+            # In the column's own type: a DOUBLE does not hold every BIGINT or DECIMAL.
+            F.min(F.col(f"x{i}")).cast("string").alias(f"exact_lo{i}"),
+            F.max(F.col(f"x{i}")).cast("string").alias(f"exact_hi{i}"),
         ]
     row = values.agg(*aggregates).first()
     bounds = {
@@ -76,7 +84,7 @@ def _column_stats(
     found = order_statistics(values, ranks, bounds, direct_values)
     stats = []
     for i in range(len(numbers)):
-        first_order = {s: row[f"{s}{i}"] for s in ("n", "lo", "hi", "mean", "std")}
+        first_order = {s: row[f"{s}{i}"] for s in _STATS}
         quantiles = {p: interpolate(found, i, row[f"n{i}"], p) for p in probabilities}
         stats.append(first_order | quantiles)
     return stats, [row[f"f{j}"] for j in range(len(flags))]
@@ -99,12 +107,12 @@ def profile_table(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFram
     rows = []
     for field, n_nulls in zip(df.schema, nulls):
         s = by_name.get(field.name, {})
-        numbers = [s.get(k) for k in ("lo", "hi", "mean", 0.5, "std")]
+        numbers = [s.get(k) for k in ("lo", "hi", "mean", 0.5, "std", "exact_lo", "exact_hi")]
         rows.append((field.name, type_name(field.dataType), n_nulls, *numbers))
     return df.sparkSession.createDataFrame(
         rows,
         "column_name string, column_type string, n_nulls bigint, min double, max double, "
-        "mean double, median double, stddev double",
+        "mean double, median double, stddev double, min_exact string, max_exact string",
     )
 
 
@@ -116,6 +124,8 @@ def profile_report(df: DataFrame, direct_values: int = DIRECT_VALUES) -> dict:
         entry = {name: row[source] for name, source in REPORT_COLUMN.items()}
         if row["min"] is not None:
             entry |= {name: row[source] for name, source in REPORT_NUMBERS.items()}
+            if row["column_type"] in _WHOLE:
+                entry |= {"min": int(row["min_exact"]), "max": int(row["max_exact"])}
         columns.append(entry)
     return {
         "total_lignes": totals.row_count,

@@ -210,6 +210,15 @@ def profile_numeric(spark, sf_dir):
     return profile.select("column_name", *rounded)
 
 
+def profile_bigint(spark, sf_dir):
+    """Bounds of integers that a DOUBLE cannot hold."""
+    big = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + 9007199254740992).alias("key"),
+        (F.col("o_orderkey").cast("decimal(30,3)") + F.lit("123456789012345678901.125").cast("decimal(30,3)")).alias("amount"),
+    )
+    return profile_table(big).select("column_name", "min_exact", "max_exact")
+
+
 def profile_columns(spark, sf_dir):
     profile = profile_table(table(spark, sf_dir, "customer"))
     return profile.select("column_name", "column_type", "n_nulls")
@@ -704,7 +713,7 @@ def queries() -> dict[str, Query]:
         driver_breakdown, driver_auto, driver_all_dimensions, driver_errors, driver_chi2,
         driver_skipped, driver_significant,
         driver_findings, inspect_dates, inspect_nulls, inspect_summary, inspect_summary_joined,
-        duplicate_groups, dedup_rows, profile_numeric, profile_columns, describe_numeric,
+        duplicate_groups, dedup_rows, profile_numeric, profile_bigint, profile_columns, describe_numeric,
         describe_datetime, describe_categories, validation, join_inner, join_left, joined_prefix,
         join_tree, join_diagnosis, reconcile_values, reconcile_summary, clean_trim,
         clean_empty_rows, clean_decimal, clean_numeric, clean_dates, clean_report, neutralize,

@@ -383,6 +383,12 @@ def oracle_sql() -> dict[str, str]:
         "csv_robust": """SELECT lang, 'é' || lang AS note, count(*) AS n,
             CAST(sum(n_chars) AS BIGINT) AS n_chars, 'latin-1' AS encoding
             FROM documents GROUP BY lang""",
+        "profile_bigint": """SELECT 'key' AS column_name,
+            CAST(min(o_orderkey + 9007199254740992) AS VARCHAR) AS min_exact,
+            CAST(max(o_orderkey + 9007199254740992) AS VARCHAR) AS max_exact FROM orders
+            UNION ALL SELECT 'amount',
+            CAST(min(o_orderkey + CAST('123456789012345678901.125' AS DECIMAL(30,3))) AS VARCHAR),
+            CAST(max(o_orderkey + CAST('123456789012345678901.125' AS DECIMAL(30,3))) AS VARCHAR) FROM orders""",
         "csv_texts": r"""SELECT doc_id, '  "a", \" ;' || chr(9) || text || chr(10) || '\n""\  ' AS text,
             lang FROM documents""",
         "csv_folder": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'cafe' ELSE 'café' END AS note,
