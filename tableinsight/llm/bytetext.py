@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20  # texts worked on together; one longer text is worked on alone
+SLICE_BYTES = 1 << 19  # texts worked on together; one longer text is worked on alone
 
 _BYTES = np.arange(256)
 IS_WORD = (

@@ -34,6 +34,7 @@ from tableinsight.llm.common import in_arrow, packed, unpacked, with_length
 PHRASE_WORDS = 10
 SHARD_WORDS = 1 << 20  # words of indexed runs in one index
 BLOCK_CHARS = 8 << 20  # characters of benchmark text in one block, about
+HELD_BYTES = 24 << 20  # texts held back for one index
 SAMPLE = 16  # every so many text positions one suffix position is kept
 
 
@@ -299,7 +300,7 @@ def _searcher(block: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             held.append(batch)
             docs += len(batch)
             # What is held back is bounded: texts by bytes, runs by words.
-            if shard.size >= SHARD_WORDS or sum(b.nbytes for b in held) >= 64 << 20:
+            if shard.size >= SHARD_WORDS or sum(b.nbytes for b in held) >= HELD_BYTES:
                 yield from flush()
                 held, n_words, shard, docs = [], [], _Shard(phrases), 0
         yield from flush()

@@ -37,10 +37,10 @@ from tableinsight.llm.common import in_arrow, stored
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-MEMO_WORDS = 3_000_000  # per worker, about 40 bytes each; a full memo starts again
+MEMO_WORDS = 1_000_000  # per worker, about 40 bytes each; a full memo starts again
 LINES_AT_ONCE = 2000
 SPACE_MARK = "\u0120"  # fixed value: how byte-level vocabularies write a space
-TEXTS_CHARS = 2 << 20
+TEXTS_CHARS = 1 << 20
 
 
 STORED = (
@@ -206,7 +206,7 @@ class Encoder:
         ]
         out: list[np.ndarray] = [self._ids(t) if not p else t for t, p in zip(texts, plain, strict=True)]
         which = [i for i, p in enumerate(plain) if p]
-        for group in bytetext.slices(pa.array([texts[i] for i in which], pa.string())):
+        for group in bytetext.slices(pa.array([texts[i] for i in which], pa.string()), TEXTS_CHARS):
             for i, ids in enumerate(self._plain(group)):
                 out[which[group.first + i]] = ids
         return out

@@ -37,6 +37,7 @@ LEAST_Z = 5.0
 TERMS = 2048
 TRAIN_ROWS = 20_000
 STEPS = 400
+HELD_TERMS = 2_000_000  # terms a task holds before it sums them
 LEAST_SURE = 0.5  # the leak stays below: no document is rejected without evidence
 
 _ENDS = np.isin(np.arange(256), list(b".!?\n"))
@@ -56,10 +57,21 @@ def _terms(texts: bytetext.Texts) -> tuple[np.ndarray, np.ndarray, bytetext.Word
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, clean): documents of either label that hold each term, summed per batch."""
+    """(term, toxic, clean): documents of either label that hold each term, summed as they come."""
+    def summed(kinds: list[list[np.ndarray]]) -> pa.RecordBatch:
+        empty = np.zeros(0, dtype=np.uint64)
+        bad, good = (np.concatenate([empty, *k]) for k in kinds)
+        terms, place = np.unique(np.concatenate((bad, good)), return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(terms.view(np.int64)),
+             pa.array(np.bincount(place[: len(bad)], minlength=len(terms)).astype(np.int64)),
+             pa.array(np.bincount(place[len(bad) :], minlength=len(terms)).astype(np.int64))],
+            names=["term", "toxic", "clean"],
+        )
+
+    kinds: list[list[np.ndarray]] = [[], []]
     for batch in batches:
         labels = batch.column("toxic").to_numpy(zero_copy_only=False)
-        kinds: list[list[np.ndarray]] = [[], []]
         for texts in bytetext.slices(batch.column("text")):
             term, word, found = _terms(texts)
             doc = np.searchsorted(found.bounds, word, side="right") - 1
@@ -69,15 +81,10 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             toxic = labels[texts.first + doc] == 1
             kinds[0].append(term[once & toxic])
             kinds[1].append(term[once & ~toxic])
-        empty = np.zeros(0, dtype=np.uint64)
-        bad, good = (np.concatenate([empty, *k]) for k in kinds)
-        terms, place = np.unique(np.concatenate((bad, good)), return_inverse=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms.view(np.int64)),
-             pa.array(np.bincount(place[: len(bad)], minlength=len(terms)).astype(np.int64)),
-             pa.array(np.bincount(place[len(bad) :], minlength=len(terms)).astype(np.int64))],
-            names=["term", "toxic", "clean"],
-        )
+            if sum(len(x) for k in kinds for x in k) >= HELD_TERMS:
+                yield summed(kinds)
+                kinds = [[], []]
+    yield summed(kinds)
 
 
 def _evidence(texts: bytetext.Texts, vocabulary: np.ndarray) -> list[dict[int, np.ndarray]]:
