@@ -73,7 +73,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 3) == 1
     model = toxicity.learn(docs.filter(~held_out), labels)
     predicted = (F.col("_score") >= toxicity.THRESHOLD).cast("int")
-    return toxicity.scored(docs.select("doc_id", "text"), model).select(
+    return toxicity.scored(docs.select("doc_id", "text"), model, keep_text=False).select(
         "doc_id", held_out.alias("held_out"), F.col("_score").alias("score"),
         predicted.alias("predicted"), F.col("_sentences").alias("sentences"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -56,7 +58,22 @@ def in_arrow(
                 out.write(source, source.relative_to(root.parent))
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
-    return frame.mapInArrow(work, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return frame.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Free memory to the system: workers are kept for later tasks, and so would be what they freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def packed(docs: DataFrame, *own: str) -> DataFrame:

@@ -254,8 +254,9 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(block: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``block``: a broadcast of Phrases, of bounded size."""
+def _searcher(block: object, then: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``block``: a broadcast of Phrases, of bounded size. ``then``: keep the texts, cut the
+    spans out of them, or drop them."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases: Phrases = block.value
@@ -289,6 +290,10 @@ def _searcher(block: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     "_items": pa.array(own_items, pa.list_(pa.string())),
                     "_words": pa.array(counts[at : at + n], pa.int64()),
                 }
+                if then == "cut":
+                    columns["_text"] = _without(columns["_text"], own_spans)
+                elif then == "drop":
+                    columns["_text"] = pa.nulls(n, pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 at += n
 
@@ -321,18 +326,24 @@ def blocks_of(benchmark: DataFrame, size: int, block_chars: int) -> Iterator[Phr
 
 
 def find_passages(
-    docs: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, size: int = PHRASE_WORDS, block_chars: int = BLOCK_CHARS,
+    cut: bool = False,
 ) -> DataFrame:
-    """All columns of ``docs`` with ``_text``, ``_spans`` (hit words), ``_items`` and ``_words``."""
+    """All columns of ``docs`` but the text, with ``_spans`` (hit words), ``_items`` and ``_words``.
+
+    With ``cut`` the last pass leaves in ``_text`` what the spans of all passes leave of the text.
+    """
     spark = docs.sparkSession
     empty = "array<struct<start:int,end:int>>"
     frame = docs.withColumns({
         "_text": F.col("text").cast("string"), "_spans": F.array().cast(empty),
         "_items": F.array().cast("array<string>"), "_words": F.lit(0).cast("long"),
-    })
+    }).drop("text")
     passes = list(blocks_of(benchmark, size, block_chars)) or [Phrases.of([], size)]
-    for phrases in passes:
-        frame = in_arrow(frame, _searcher(spark.sparkContext.broadcast(phrases)), frame.schema)
+    for i, phrases in enumerate(passes, 1):
+        block = spark.sparkContext.broadcast(phrases)
+        then = "keep" if i < len(passes) else "cut" if cut else "drop"
+        frame = in_arrow(frame, _searcher(block, then), frame.schema)
     return frame
 
 
@@ -347,26 +358,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options: int) -> Data
     )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column("_text").to_pylist()
-        spans = batch.column("_spans")
-        for i in np.flatnonzero(np.diff(spans.offsets.to_numpy())):
-            (texts,) = bytetext.slices(pa.array([text[i]], pa.string()))
-            found = bytetext.words(texts)
-            raw, at, kept = texts.data.tobytes(), 0, []
-            for s in spans[i].as_py():
-                kept.append(raw[at : found.starts[s["start"]]])
-                at = found.ends[s["end"] - 1]
-            text[i] = b"".join([*kept, raw[at:]]).decode()
-        columns = {name: batch.column(name) for name in batch.schema.names}
-        columns["_text"] = pa.array(text, pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _without(text: pa.Array, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """The texts without their spans of words."""
+    if not any(spans):
+        return text
+    out = text.to_pylist()
+    for i in (i for i, own in enumerate(spans) if own):
+        (texts,) = bytetext.slices(pa.array([out[i]], pa.string()))
+        found = bytetext.words(texts)
+        raw, at, kept = texts.data.tobytes(), 0, []
+        for start, end in spans[i]:
+            kept.append(raw[at : found.starts[start]])
+            at = found.ends[end - 1]
+        out[i] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(out, pa.string())
 
 
 def cut_passages(docs: DataFrame, benchmark: DataFrame, **options: int) -> DataFrame:
     """The documents with every hit span removed; ``n_chars``, where there is one, follows the text."""
-    found = find_passages(packed(docs, "text"), benchmark, **options).drop("text")
-    cut = in_arrow(found, _cut, found.schema)
+    cut = find_passages(packed(docs, "text"), benchmark, cut=True, **options)
     changed = F.size("_spans") > 0
     return unpacked(cut, docs, {"text": F.col("_text")} | with_length(docs, changed, F.col("_text")))

@@ -213,7 +213,7 @@ def learn(
     return Model(vocabulary, weights, bias, leak)
 
 
-def _scorer(model: object) -> object:
+def _scorer(model: object, keep_text: bool) -> object:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Model = model.value
         for batch in batches:
@@ -226,19 +226,23 @@ def _scorer(model: object) -> object:
             columns = {name: batch.column(name) for name in batch.schema.names}
             columns["_score"] = pa.array(scores, pa.float64())
             columns["_sentences"] = pa.array(found, pa.list_(pa.int32()))
+            if not keep_text:
+                columns.pop("_text")
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return score
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``_score`` and ``_sentences``, the numbers of the offending ones."""
+def scored(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``_score`` and ``_sentences``, the numbers of the offending ones; the text only if
+    it is kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     frame = docs.withColumns({
         "_text": F.col("text").cast("string"), "_score": F.lit(0.0),
         "_sentences": F.array().cast("array<int>"),
-    })
-    return in_arrow(frame, _scorer(shared), frame.schema).drop("_text")
+    }).drop("text")
+    schema = (frame if keep_text else frame.drop("_text")).schema
+    return in_arrow(frame, _scorer(shared, keep_text), schema).withColumnRenamed("_text", "text")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
