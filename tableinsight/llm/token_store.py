@@ -22,6 +22,7 @@ order; null ids come first. No rows in, no rows out. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ MEMO_WORDS = 1_000_000  # per worker, about 40 bytes each; a full memo starts ag
 LINES_AT_ONCE = 2000
 SPACE_MARK = "\u0120"  # fixed value: how byte-level vocabularies write a space
 TEXTS_CHARS = 1 << 20
+# White space other than single spaces and line ends between words.
+OTHER_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 
 
 STORED = (
@@ -200,10 +203,7 @@ class Encoder:
         return np.where((self.keys[place] == keys) & (self.second[place] == second), place, -1)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [
-            self.apart and text != "" and len(text.split()) == text.count(" ") + text.count("\n") + 1
-            for text in texts
-        ]
+        plain = [self.apart and bool(text) and OTHER_SPACE.search(text) is None for text in texts]
         out: list[np.ndarray] = [self._ids(t) if not p else t for t, p in zip(texts, plain, strict=True)]
         which = [i for i, p in enumerate(plain) if p]
         for group in bytetext.slices(pa.array([texts[i] for i in which], pa.string()), TEXTS_CHARS):
