@@ -99,12 +99,15 @@ class Encoder:
     hashes, and where each word's ids stand.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, marks_are_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to the tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # marks in a text are text
+        self.tokenizer.encode_special_tokens = marks_are_text
+        # Texts that hold one of these are encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         probe = [self._ids(x).tolist() for x in ("\n", "ab,", " cd", "\u00e9f", " g.")]
@@ -203,7 +206,11 @@ class Encoder:
         return np.where((self.keys[place] == keys) & (self.second[place] == second), place, -1)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.apart and bool(text) and OTHER_SPACE.search(text) is None for text in texts]
+        plain = [
+            self.apart and bool(text) and OTHER_SPACE.search(text) is None
+            and (self.added is None or self.added.search(text) is None)
+            for text in texts
+        ]
         out: list[np.ndarray] = [self._ids(t) if not p else t for t, p in zip(texts, plain, strict=True)]
         which = [i for i, p in enumerate(plain) if p]
         for group in bytetext.slices(pa.array([texts[i] for i in which], pa.string()), TEXTS_CHARS):
@@ -217,7 +224,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, marks_are_text=False)  # ids as the tokenizer's file has them
     return _encoders[path]
 
 

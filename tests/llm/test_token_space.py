@@ -1,8 +1,11 @@
 """White space that the memo of words must not take, against the plain tokenizer."""
 
 import itertools
+import zlib
 
+import numpy as np
 import pytest
+from cases import frame
 
 from tableinsight.llm import catalog, token_store
 
@@ -22,3 +25,14 @@ def test_other_white_space_is_encoded_whole(tokenizer):
     texts += [f"a{x}b{y}{z} c{x}d" for x, y, z in itertools.product(spaces, repeat=3)]
     for text, ids in zip(texts, encode(texts), strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_stored_ids_are_those_of_the_unaltered_tokenizer(spark, tokenizer):
+    texts = ["<|endoftext|> z", "one<|endoftext|>two words\nthree", "plain words", "<|endoftext|>", "a <|endoftext|> b\n\nc"]
+    docs = frame(spark, [(i, t, "xx", "s", 1) for i, t in enumerate(texts)])
+    found = token_store.read_tokens(token_store.write_tokens(docs, catalog.tokenizer_path())).collect()
+    at = 0
+    for r, text in zip(sorted(found), texts, strict=True):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
