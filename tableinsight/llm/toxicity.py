@@ -6,10 +6,10 @@ leak, for documents labelled toxic without any term to show for it. Weights maxi
 of the bag labels. The sentences whose own chance reaches one half are located.
 
 Terms are words and beginnings of words of five to seven bytes. How many labelled documents of
-either kind hold each term is counted by Spark over all training documents; the terms with a
-significant excess, at most ``terms`` by strength, form the vocabulary. Weights are fitted on a
-sample of about ``train_rows`` labelled documents, of which only the sentences with terms come to
-the driver.
+either kind hold each term is counted by Spark over all training documents; all terms with a
+significant excess form the vocabulary. Weights are fitted on a sample of about ``train_rows``
+labelled documents, of which only the sentences with terms come to the driver. A term that the
+sample does not hold has weight 0.
 
 Defined results. Sentences end at ``.``, ``!``, ``?`` or a line break. A text without terms, also a
 null or empty one, scores the leak. A doc_id labelled more than once is toxic if any label says so;
@@ -34,7 +34,6 @@ PREFIX_BYTES = (5, 6, 7)
 THRESHOLD = 0.7
 LEAST_DOCS = 4
 LEAST_Z = 5.0
-TERMS = 2048
 TRAIN_ROWS = 20_000
 STEPS = 400
 HELD_TERMS = 2_000_000  # terms a task holds before it sums them
@@ -169,9 +168,7 @@ def fit(bags: list[tuple[int, list[list[int]]]], n_terms: int, steps: int = STEP
     return parameters[:-2], float(parameters[-2]), float(LEAST_SURE / (1 + np.exp(-parameters[-1])))
 
 
-def learn(
-    docs: DataFrame, labels: DataFrame, terms: int = TERMS, train_rows: int = TRAIN_ROWS
-) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """From documents and (doc_id, toxic) labels; joins them by doc_id."""
     spark = docs.sparkSession
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
@@ -198,10 +195,8 @@ def learn(
         .filter(F.col("toxic") >= LEAST_DOCS)
         .withColumn("z", z)
         .filter(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(terms)
     )
-    vocabulary = np.array(sorted(np.array([r["term"] for r in strong.collect()], np.int64).view(np.uint64)), np.uint64)
+    vocabulary = np.sort(strong.select("term").toArrow().column("term").to_numpy().view(np.uint64))
     # A share of the labelled documents by their hash: train_rows of them, give or take its square root.
     chance = F.pmod(F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(1 << 30))
     sample = train.filter(chance < int(min(1.0, train_rows / n) * (1 << 30))).select("text", "toxic")
