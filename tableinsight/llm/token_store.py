@@ -22,7 +22,6 @@ order; null ids come first. No rows in, no rows out. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -42,8 +41,8 @@ MEMO_WORDS = 1_000_000  # per worker, about 40 bytes each; a full memo starts ag
 LINES_AT_ONCE = 2000
 SPACE_MARK = "\u0120"  # fixed value: how byte-level vocabularies write a space
 TEXTS_CHARS = 1 << 20
-# White space other than single spaces and line ends between words.
-OTHER_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+# White space other than single spaces and line ends: by itself, or next to another.
+OTHER_SPACE = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
 
 STORED = (
@@ -107,7 +106,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = marks_are_text
         # Texts that hold one of these are encoded whole.
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.whole = [*OTHER_SPACE, *added]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         probe = [self._ids(x).tolist() for x in ("\n", "ab,", " cd", "\u00e9f", " g.")]
@@ -207,8 +206,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [
-            self.apart and bool(text) and OTHER_SPACE.search(text) is None
-            and (self.added is None or self.added.search(text) is None)
+            self.apart and text != "" and text[0] not in " \n" and text[-1] not in " \n"
+            and not any(x in text for x in self.whole)
             for text in texts
         ]
         out: list[np.ndarray] = [self._ids(t) if not p else t for t, p in zip(texts, plain, strict=True)]
