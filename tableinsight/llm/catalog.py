@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableinsight.llm import (
     decontaminate,
+    importance,
     language,
     line_runs,
     near_dup,
@@ -94,8 +95,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = (
     op1_language, op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op6_vector_index, op7_secrets, op8_toxicity, op9_decontaminate, op10_url_filter,
+    op11_importance,
 )
 
 

@@ -35,6 +35,26 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def numbered(frame: DataFrame, label: str) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """Rows stored with ``_part`` and ``_row``, the first row number of each part, and the number of rows.
+
+    Parts and rows are those of the partitions as they were written, so they hold for all readers.
+    The driver gets one count a partition.
+    """
+    at = F.monotonically_increasing_id()
+    written = stored(frame.withColumn("_at", at), label)
+    kept = written.select(
+        *frame.columns, F.shiftright("_at", 33).cast("int").alias("_part"),
+        F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+    )
+    counts = sorted(tuple(r) for r in kept.groupBy("_part").count().collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    return kept, starts, total
+
+
 def ascii_lower(text: Column) -> Column:
     """A to Z in lower case and nothing else, whatever the locale."""
     return F.translate(text, UPPER, LOWER)
