@@ -19,6 +19,7 @@ from tableinsight.llm import (
     toxicity,
     url_filter,
     vector_index,
+    whitening,
 )
 from tableinsight.llm.common import fold, read
 
@@ -100,9 +101,13 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_language, op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op6_vector_index, op7_secrets, op8_toxicity, op9_decontaminate, op10_url_filter,
-    op11_importance,
+    op11_importance, op12_whitening,
 )
 
 
