@@ -11,6 +11,7 @@ from tableinsight.llm import (
     decontaminate,
     importance,
     language,
+    licenses,
     line_runs,
     near_dup,
     secrets,
@@ -105,9 +106,16 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 QUERIES = (
     op1_language, op2_line_dedup, op3_token_store, op4_source_mix, op5_near_dup, op6_vector_index, op7_secrets, op8_toxicity, op9_decontaminate, op10_url_filter,
-    op11_importance, op12_whitening,
+    op11_importance, op12_whitening, op13_licenses,
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tableinsight.llm import decontaminate, line_runs, secrets, source_mix, url_filter
+from tableinsight.llm import decontaminate, licenses, line_runs, secrets, source_mix, url_filter
 from tableinsight.llm.common import LOWER, UPPER
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -180,8 +180,37 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN scored ON ruled.known IS NULL AND scored.known IS NULL AND ruled.s = scored.s"""
 
 
+def _licences() -> str:
+    """Runs of words met as texts, voted on by diagonal, neighbouring diagonals merged."""
+    rows = ", ".join(
+        f"({i}, '{t.label}', {t.phrase}, {t.run}, string_split('{t.words}', ' '))" for i, t in enumerate(licenses.TEMPLATES)
+    )
+    return f"""
+WITH docs AS (SELECT doc_id, {_WORDS.format(_LOWERED.format("coalesce(text, '')"))} AS w FROM documents),
+templates(t, label, phrase, k, tw) AS (VALUES {rows}),
+places AS (SELECT t, k, i - 1 AS tp, array_to_string(tw[i : i + k - 1], ' ') AS g
+           FROM templates, unnest(range(1, len(tw) - k + 2)) u(i)),
+runs AS (SELECT doc_id, s.k, i - 1 AS p, array_to_string(w[i : i + s.k - 1], ' ') AS g
+         FROM docs, (SELECT DISTINCT k FROM templates) s, unnest(range(1, len(w) - s.k + 2)) u(i)),
+hits AS (SELECT doc_id, t, p, tp, p - tp AS diagonal FROM runs JOIN places ON runs.g = places.g AND runs.k = places.k),
+diagonals AS (SELECT doc_id, t, diagonal, any_value(phrase) AS phrase FROM hits JOIN templates USING (t) GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER line > {licenses.SLACK}, true) THEN 1
+            ELSE 0 END AS fresh FROM diagonals WINDOW line AS (PARTITION BY doc_id, t ORDER BY diagonal)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM steps),
+spans AS (SELECT doc_id, t, span, min(p) AS a, count(DISTINCT tp) AS held
+          FROM hits JOIN numbered USING (doc_id, t, diagonal) GROUP BY ALL),
+verified AS (SELECT doc_id, label, phrase, a, CAST(held AS DOUBLE) / (len(tw) - k + 1) AS share
+             FROM spans JOIN templates USING (t)
+             WHERE CAST(held AS DOUBLE) / (len(tw) - k + 1) >= CASE WHEN phrase THEN 1.0 ELSE {licenses.COVER} END)
+SELECT doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(a) FILTER (phrase) AS n_base,
+       min(a) FILTER (phrase) AS first_word, max(a) FILTER (phrase) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0) AS score
+FROM docs LEFT JOIN verified USING (doc_id) GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": LINES, "op4_source_mix": MIX, "op7_secrets": _secrets(), "op9_decontaminate": PASSAGES,
-        "op10_url_filter": _urls(),
+        "op10_url_filter": _urls(), "op13_licenses": _licences(),
     }
