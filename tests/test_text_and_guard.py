@@ -1,7 +1,17 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from tableinsight.functions.text import FRAMING_SCHEMA, chunk_text, extract_json, parse_rate
-from tableinsight.plans.guard import QueryRefused, ensure_read_only, run_read_only, try_query
+from tableinsight.plans.guard import (
+    QueryRefused,
+    ensure_plain_tree,
+    ensure_read_only,
+    guarded_session,
+    run_read_only,
+    try_query,
+)
+from tableinsight.plans.sql_checks import SQL_CHECKS
 from tableinsight.sources.catalog import health_check, table_schema
 
 
@@ -125,6 +135,76 @@ def test_files_cannot_be_named_in_from(spark, tmp_path, query):
     assert try_query(spark, "SELECT * FROM default.many").error.startswith("Erreur SQL: ")
 
 
+COMPUTED = [
+    "SELECT * FROM {}", "WITH a AS (SELECT * FROM {}) SELECT * FROM a", "SELECT (SELECT max(id) FROM {}) AS m",
+    "SELECT * FROM many WHERE id IN (SELECT id FROM {})", "EXPLAIN SELECT * FROM {}", "DESCRIBE QUERY SELECT * FROM {}",
+    "SELECT * FROM many UNION ALL SELECT id FROM {}", "SELECT * FROM (SELECT * FROM many CROSS JOIN {}) x",
+    "WITH a AS (WITH b AS (SELECT * FROM {}) SELECT * FROM b) SELECT count(*) FROM a",
+    "SELECT max(id) FILTER (WHERE EXISTS (SELECT 1 FROM {})) FROM many", "SELECT id FROM many LATERAL JOIN {}",
+]
+
+
+@pytest.mark.parametrize("query", COMPUTED)
+@pytest.mark.parametrize("name", ["'parquet.`{}`'", "'par' || 'quet.`' || '{}`'", "lower('PARQUET.') || '`{}`'"])
+def test_names_cannot_be_computed(spark, tmp_path, query, name):
+    """A file named in IDENTIFIER is refused wherever it stands, in one piece or in several."""
+    spark.range(3).createOrReplaceTempView("many")
+    path = str(tmp_path / "p")
+    spark.range(3).write.parquet(path)
+    sql = query.format(f"IDENTIFIER({name.format(path)})")
+    result = try_query(spark, sql)
+    assert not result.ok
+    if "LATERAL JOIN" not in sql:  # which does not parse
+        assert result.error.startswith("Requête refusée : ")
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'lineSeparator')", "SELECT IDENTIFIER('id') FROM many",
+     "SELECT * FROM many WHERE IDENTIFIER('i' || 'd') = 1", "DESCRIBE IDENTIFIER('many')"],
+)
+def test_functions_and_columns_cannot_be_computed(spark, sql):
+    spark.range(3).createOrReplaceTempView("many")
+    assert try_query(spark, sql).error.startswith("Requête refusée : ")
+
+
+def test_the_walk_takes_all_plain_queries(spark):
+    for check in SQL_CHECKS.values():
+        ensure_plain_tree(spark, ensure_read_only(check.spark))
+
+
+def test_the_session_of_a_query_holds_by_itself(spark, tmp_path):
+    """What passed text and tree would still meet no file and no JVM function; the caller's session has both."""
+    path = str(tmp_path / "p")
+    spark.range(3).write.parquet(path)
+    spark.range(3).createOrReplaceTempView("many")
+    spark.udf.register("one_more", lambda v: v + 1, "long")
+    spark.read.parquet(path).createOrReplaceTempView("of_owner")
+    inner = guarded_session(spark)
+    for sql in (f"SELECT * FROM parquet.`{path}`", "SELECT reflect('java.lang.Math', 'abs', -1)",
+                "SELECT java_method('java.lang.Math', 'abs', -1)", "SELECT try_reflect('java.lang.Math', 'abs', -1)"):
+        with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|UNRESOLVED_ROUTINE"):
+            inner.sql(sql).collect()
+        assert spark.sql(sql).count()
+    assert [r[0] for r in run_read_only(spark, "SELECT one_more(id) FROM of_owner ORDER BY 1").collect()] == [1, 2, 3]
+
+
+def test_callers_do_not_disturb_each_other(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(5).write.parquet(path)
+    spark.range(7).createOrReplaceTempView("many")
+
+    def call(i: int) -> bool:
+        if i % 3 == 0:
+            return try_query(spark, "SELECT count(*) AS n FROM many").frame.first().n == 7
+        if i % 3 == 1:
+            return not try_query(spark, f"SELECT * FROM IDENTIFIER('parquet.`{path}`')").ok
+        return spark.sql(f"SELECT count(*) AS n FROM parquet.`{path}`").first().n == 5  # the owner's own way
+
+    with ThreadPoolExecutor(6) as pool:
+        assert all(pool.map(call, range(24)))
+
+
 def test_try_query_reports(spark):
     assert try_query(spark, "SELECT 1 AS a").frame.first().a == 1
     assert try_query(spark, "DROP TABLE x").error.startswith("Requête refusée : ")
