@@ -542,6 +542,17 @@ def csv_robust(spark, sf_dir):
     ).withColumn("encoding", F.lit(encoding))
 
 
+def csv_quoted(spark, sf_dir):
+    """Semicolon files with commas in every name and line breaks in every note, dialect found."""
+    path = fresh_path(spark, "csv-quoted")
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.upper("source"), F.lit(", "), "lang")
+    note = F.concat(F.lit('"1, 2"\n'), F.col("text"), F.lit(",\n\n;, end"))
+    docs.select("doc_id", name.alias("name"), note.alias("note")).write.options(**CSV_WRITE).option("sep", ";").csv(path)
+    frame, _ = read_csv_robust(spark, path)
+    return frame.select(F.col("doc_id").cast("bigint").alias("doc_id"), "name", "note")
+
+
 def _awkward_texts(spark, sf_dir) -> DataFrame:
     """Document texts between quotes, separators, line breaks, backslashes and edge spaces."""
     text = F.concat(F.lit('  "a", \\" ;\t'), "text", F.lit('\n\\n""\\  '))
@@ -718,7 +729,7 @@ def queries() -> dict[str, Query]:
         join_tree, join_diagnosis, reconcile_values, reconcile_summary, clean_trim,
         clean_empty_rows, clean_decimal, clean_numeric, clean_dates, clean_report, neutralize,
         hostile_header, zscore_daily, zscore_by_type, zscore_long_series, arrival_gate,
-        approval_resolution, approval_unknown, stream_gate, file_counts, csv_roundtrip, csv_robust,
+        approval_resolution, approval_unknown, stream_gate, file_counts, csv_roundtrip, csv_robust, csv_quoted,
         csv_texts, csv_folder, csv_record_counts, file_flow, stream_decisions, join_sources,
         report_tables, chunk_documents, chunk_sizes, json_extract, json_extract_rate, json_fields,
     ]

@@ -389,6 +389,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'amount',
             CAST(min(o_orderkey + CAST('123456789012345678901.125' AS DECIMAL(30,3))) AS VARCHAR),
             CAST(max(o_orderkey + CAST('123456789012345678901.125' AS DECIMAL(30,3))) AS VARCHAR) FROM orders""",
+        "csv_quoted": """SELECT doc_id, upper(source) || ', ' || lang AS name,
+            '"1, 2"' || chr(10) || text || ',' || chr(10) || chr(10) || ';, end' AS note FROM documents""",
         "csv_texts": r"""SELECT doc_id, '  "a", \" ;' || chr(9) || text || chr(10) || '\n""\  ' AS text,
             lang FROM documents""",
         "csv_folder": """SELECT CASE WHEN doc_id % 2 = 0 THEN 'cafe' ELSE 'café' END AS note,

@@ -5,15 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableinsight.names import readable_path, table_name
-from tableinsight.sources.files import files_with_open_quotes
+from tableinsight.sources.files import DELIMITERS, files_with_open_quotes
+from tableinsight.sources.records import filled, in_records, records, text_lines, with_quotes
 
-# Delimiters looked for, in order of preference, and encoding names reported.
-DELIMITERS = [",", ";", "\t", "|"]
+# The delimiter where none is found, and encoding names reported.
 DEFAULT_DELIMITER = ","
 UTF8, LATIN1 = "utf-8-sig", "latin-1"
 
@@ -54,7 +54,7 @@ def _types(*schemas: T.StructType) -> T.StructType:
 
 
 def _by_line_breaks(spark: SparkSession, paths: list[str]) -> list[tuple[bool, list[str]]]:
-    """The files apart that hold a line break inside quotes: only those cannot be read in splits."""
+    """The files apart that hold a line break inside quotes: their lines are not their records."""
     broken = files_with_open_quotes(spark, paths)
     if not broken:
         return [(False, paths)]
@@ -63,16 +63,49 @@ def _by_line_breaks(spark: SparkSession, paths: list[str]) -> list[tuple[bool, l
     return [(True, broken)] + ([(False, others)] if others else [])
 
 
+class _Files:
+    """CSV files of one dialect, all with line breaks inside quotes or all without."""
+
+    def __init__(self, spark: SparkSession, broken: bool, files: list[str], dialect: Dialect) -> None:
+        self.spark, self.broken, self.files = spark, broken, files
+        self.options = CSV_READ | {
+            "sep": dialect.delimiter, "encoding": _SPARK_ENCODING[dialect.encoding], "multiLine": broken,
+        }
+        self.reader = spark.read.options(**self.options)
+        if broken:
+            found = records(spark, files, [dialect.delimiter], _SPARK_ENCODING[dialect.encoding])
+            self.texts = found.filter("record > 0").select("text")
+
+    def schema(self, infer: bool) -> T.StructType:
+        """Names from the first header; types from all records, or all text."""
+        if not self.broken:
+            return self.reader.option("inferSchema", infer).csv(self.files).schema
+        named = self.reader.option("inferSchema", False).csv(self.files[0]).schema  # reads one record
+        if not infer:
+            return named
+        header = self.options["sep"].join('"' + n.replace('"', '""') + '"' for n in named.names)
+        texts = self.spark.createDataFrame([(header,)], "text string").unionByName(self.texts)
+        strings = getattr(texts._jdf, "as")(self.spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        inferring = self.spark.read.options(**self.options).option("inferSchema", True)
+        return inferring._df(inferring._jreader.csv(strings)).schema
+
+    def read(self, schema: T.StructType) -> DataFrame:
+        if not self.broken:
+            return self.spark.read.options(**self.options).schema(schema).csv(self.files)
+        kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
+        options = {k: str(v) for k, v in self.options.items() if k not in ("header", "encoding")}
+        row = F.from_csv("text", kinds, options).alias("row")
+        return self.texts.select(row).select(*[F.col("row")[f"c{i}"].alias(f.name) for i, f in enumerate(schema)])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header row. Without a schema one inference scan finds it; integers become BIGINT
-    and times of day stay text."""
-    parts = _by_line_breaks(spark, [path])
-    readers = [(spark.read.options(**CSV_READ).option("multiLine", multi), files) for multi, files in parts]
+    and times of day stay text. All files are read in splits, line breaks in fields or not."""
+    dialect = Dialect(UTF8, DEFAULT_DELIMITER)
+    parts = [_Files(spark, broken, files, dialect) for broken, files in _by_line_breaks(spark, [path])]
     if schema is None:
-        schema = _types(*[r.option("inferSchema", True).csv(files).schema for r, files in readers])
-    # A reader keeps its options: inference is off again once a schema is given.
-    frames = [r.schema(schema).csv(files) for r, files in readers]
-    return reduce(DataFrame.unionByName, frames)
+        schema = _types(*[p.schema(infer=True) for p in parts])
+    return reduce(DataFrame.unionByName, [p.read(schema) for p in parts])
 
 
 def load_csv(spark: SparkSession, path: str, name: str | None = None) -> LoadedTable:
@@ -83,51 +116,48 @@ def load_csv(spark: SparkSession, path: str, name: str | None = None) -> LoadedT
     return LoadedTable(name, frame, frame.count(), len(frame.columns))
 
 
+def _delimiter_counts(text: Column) -> Column:
+    """How often each delimiter occurs; a single byte in either encoding, so bytes are counted."""
+    return F.array(*[F.octet_length(text) - F.octet_length(F.replace(text, F.lit(d), F.lit(""))) for d in DELIMITERS])
+
+
+def _best(records: DataFrame) -> DataFrame:
+    """``path, i``: the delimiter that occurs equally often in (nearly) all records, from ``path, counts``."""
+    counted = records.select("path", F.posexplode("counts").alias("i", "n")).groupBy("path", "i", "n").count()
+    per_delimiter = counted.groupBy("path", "i").agg(
+        F.max_by("n", F.struct("count", "n")).alias("n"), (F.max("count") / F.sum("count")).alias("share")
+    )
+    fits = (F.col("n") > 0) & (F.col("share") >= _CONSISTENT_SHARE)
+    best = F.max(F.when(fits, F.struct("share", (-F.col("i")).alias("i"))))
+    return per_delimiter.groupBy("path").agg((-best["i"]).alias("i"))
+
+
 def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, Dialect]:
-    """Encoding and delimiter of each file, from one splittable scan of all its lines.
+    """Encoding and delimiter of each file, from splittable scans of all its lines.
 
-    A file is UTF-8 when all its lines are. The delimiter is the one that occurs equally often in
-    (nearly) all lines; it is a single byte in either encoding, so bytes are counted. A file is
-    told by its distribution of occurrences: a few rows per delimiter.
+    A file is UTF-8 when all its lines are. Delimiters are counted outside quotes: by line, and in
+    files where some line leaves a field open, by record. A file is told by its distribution of
+    occurrences: a few rows per delimiter.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = lines.where(F.octet_length("value") > 0)
-    per_delimiter = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                (F.octet_length("value") - F.octet_length(F.replace("value", F.lit(d), F.lit("")))).alias("n"),
-            )
-            for i, d in enumerate(DELIMITERS)
-        ]
-    )
-    counted = lines.select(
-        "file", F.is_valid_utf8("value").alias("utf8"), F.explode(per_delimiter).alias("c")
-    ).groupBy("file", "c.i", "c.n").agg(F.count(F.lit(1)).alias("lines"), F.bool_and("utf8").alias("utf8"))
-    per_file = (
-        counted.groupBy("file", "i")
-        .agg(
-            F.max_by("n", F.struct("lines", "n")).alias("n"),
-            (F.max("lines") / F.sum("lines")).alias("share"),
-            F.bool_and("utf8").alias("utf8"),
-        )
-        .groupBy("file")
-        .agg(
-            F.max(
-                F.when(
-                    (F.col("n") > 0) & (F.col("share") >= _CONSISTENT_SHARE),
-                    F.struct("share", (-F.col("i")).alias("i")),
-                )
-            ).alias("best"),
-            F.bool_and("utf8").alias("utf8"),
-        )
+    lines = with_quotes(text_lines(spark, paths), DELIMITERS).where(filled())
+    kinds = lines.groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), (F.max("to_closed") > 0).alias("broken")
     )
-    # One row per file; the file listing itself is already held by the driver.
+    found = kinds.join(_best(lines.select("path", _delimiter_counts(F.col("out_closed")).alias("counts"))), "path", "left")
+    rows = found.collect()  # one row per file; the file listing itself is already held by the driver
+    delimiters = {r.path: r.i for r in rows}
+    if broken := [readable_path(r.path) for r in rows if r.broken]:
+        parts = in_records(with_quotes(text_lines(spark, broken), DELIMITERS))
+        outside = F.when(F.col("open"), F.col("out_open")).otherwise(F.col("out_closed"))
+        each = parts.select("path", "record", _delimiter_counts(outside).alias("c"))
+        sums = F.array(*[F.sum(F.col("c")[i]) for i in range(len(DELIMITERS))])
+        by_record = each.groupBy("path", "record").agg(sums.alias("counts"))
+        delimiters |= {r.path: r.i for r in _best(by_record).collect()}
     return {
-        readable_path(r.file): Dialect(
-            UTF8 if r.utf8 else LATIN1, DELIMITERS[-r.best.i] if r.best else DEFAULT_DELIMITER
+        readable_path(r.path): Dialect(
+            UTF8 if r.utf8 else LATIN1, DEFAULT_DELIMITER if delimiters[r.path] is None else DELIMITERS[delimiters[r.path]]
         )
-        for r in per_file.collect()
+        for r in rows
     }
 
 
@@ -153,13 +183,6 @@ def _read_dialects(spark: SparkSession, found: dict[str, Dialect]) -> DataFrame:
 
 
 def _read_text(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
-    frames = [
-        spark.read.options(**CSV_READ)
-        .option("inferSchema", False)
-        .option("sep", dialect.delimiter)
-        .option("encoding", _SPARK_ENCODING[dialect.encoding])
-        .option("multiLine", multi)
-        .csv(files)
-        for multi, files in _by_line_breaks(spark, paths)
-    ]
+    parts = [_Files(spark, broken, files, dialect) for broken, files in _by_line_breaks(spark, paths)]
+    frames = [p.read(p.schema(infer=False)) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableinsight.names import readable_path
+from tableinsight.sources.records import filled, record_counts, text_lines, with_quotes
 
 # File kinds the arrival folder accepts.
 EXTENSIONS = [".csv", ".parquet", ".json"]
+# Delimiters looked for, in order of preference.
+DELIMITERS = [",", ";", "\t", "|"]
 
 COUNT_SCHEMA = "path string, n bigint"
 
@@ -26,49 +29,11 @@ def _per_file(rows: DataFrame) -> DataFrame:
     )
 
 
-def _quotes() -> Column:
-    return F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-
-
-def _quoted_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of files with line breaks inside quotes, whatever their delimiter.
-
-    A line ends a record when the number of quotes up to it is even. That is counted per file
-    block for both possible states at its start; the few blocks of a file then settle which holds.
-    """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-        (_quotes() % 2).alias("odd"),
-        (F.length(F.trim("value")) > 0).alias("filled"),
-    )
-    in_block = Window.partitionBy("path", "block").orderBy("line")
-    blocks = (
-        lines.withColumn("parity", F.sum("odd").over(in_block) % 2)
-        .groupBy("path", "block")
-        .agg(
-            F.count_if(F.col("filled") & (F.col("parity") == 0)).alias("ends_if_closed"),
-            F.count_if(F.col("filled") & (F.col("parity") == 1)).alias("ends_if_open"),
-            F.sum("odd").alias("odd"),
-        )
-    )
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts_open = F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1
-    ends = F.when(starts_open, F.col("ends_if_open")).otherwise(F.col("ends_if_closed"))
-    return blocks.withColumn("n", ends).groupBy("path").agg(F.sum("n").alias("n"))
-
-
 def _by_quotes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per CSV file its filled lines and how many of them leave a quote open."""
-    return (
-        spark.read.text(paths)
-        .where(F.length(F.trim("value")) > 0)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(_quotes() % 2 == 1).alias("open_quotes"),
-        )
+    """Per CSV file its filled lines and how many of them leave a field open that they opened."""
+    lines = with_quotes(text_lines(spark, paths), DELIMITERS)
+    return lines.where(filled()).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("to_closed").alias("open_quotes")
     )
 
 
@@ -88,7 +53,7 @@ def csv_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     quoted = [readable_path(r.path) for r in lines.where("open_quotes > 0").select("path").collect()]
     counts = lines.where("open_quotes = 0").select("path", "n")
     if quoted:
-        counts = counts.unionByName(_quoted_row_counts(spark, quoted))
+        counts = counts.unionByName(record_counts(with_quotes(text_lines(spark, quoted), DELIMITERS)))
     return counts.select("path", (F.col("n") - 1).alias("n"))
 
 
