@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,38 +25,72 @@ RECOMMENDATIONS_SCHEMA = (
 _BRACES = r"(?s)\{.*\}"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _doublings(n: Column) -> Column:
+    """1, 2, 4 and so on up to n."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.log2(n)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+
+def _prefix_sums(values: Column, steps: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... values, by adding what lies 1, 2, 4, ... places before."""
+    def add(sums: Column, step: Column) -> Column:
+        return F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - step), F.lit(0)))
+
+    return F.aggregate(steps, F.concat(F.array(F.lit(0)), values), add)
+
+
+def _chunk_starts(sums: Column, steps: Column, max_chars: int) -> Column:
+    """Numbers of the paragraphs that begin a chunk.
+
+    For every paragraph a search in the sums finds where the next chunk begins if one begins there.
+    These jumps, taken 1, 2, 4, ... at a time, lead from the first paragraph to all that begin one.
+    """
+    n = F.size(sums) - 1
+
+    def following(v: Column, i: Column) -> Column:
+        last = F.aggregate(
+            F.reverse(steps), i,
+            lambda at, step: F.when(F.get(sums, at + step) <= v + max_chars, at + step).otherwise(at),
+        )
+        return F.least(n, F.greatest(i + 1, last))
+
+    def twice(state: Column, step: Column) -> Column:
+        jump = state["jump"]
+        further = F.filter(F.transform(state["starts"], lambda i: F.get(jump, i)), lambda i: i < n)
+        on = F.struct(
+            F.concat(state["starts"], further).alias("starts"), F.transform(jump, lambda i: F.get(jump, i)).alias("jump")
+        )
+        return F.when(F.get(jump, F.lit(0)) < n, on).otherwise(state)  # the last jumps led to the end
+
+    first = F.struct(F.array(F.lit(0)).alias("starts"), F.transform(sums, following).alias("jump"))
+    return F.aggregate(steps, first, twice, lambda s: s["starts"])
+
+
 def chunk_array(text: Column, max_chars: int = MAX_CHUNK_CHARS) -> Column:
     """Whole paragraphs packed greedily up to ``max_chars`` (line breaks not counted).
 
-    A longer paragraph is a chunk of its own; text without any paragraph is one empty chunk.
+    A longer paragraph is a chunk of its own; text without any paragraph is one empty chunk. The
+    work is n log n in the number of paragraphs: each is cut out of the text once.
     """
-    paragraphs = F.filter(F.split(text, "\n"), has_text)
-    empty = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("open"),
-        F.lit(0).alias("size"),
-    )
+    def pack(paragraphs: Column) -> Column:
+        lengths = F.transform(paragraphs, lambda p: F.length(p))
+        return _let(_doublings(F.size(paragraphs)), lambda steps: _let(
+            _prefix_sums(lengths, steps), lambda sums: _let(
+                _chunk_starts(sums, steps, max_chars), lambda starts: F.transform(starts, lambda s, k: F.array_join(
+                    F.slice(paragraphs, s + 1, F.coalesce(F.get(starts, k + 1), F.size(paragraphs)) - s), "\n"
+                ))
+            )
+        ))
 
-    def pack(state: Column, paragraph: Column) -> Column:
-        length = F.length(paragraph)
-        full = state["open"].isNotNull() & (state["size"] + length > max_chars)
-        fresh = full | state["open"].isNull()
-        return F.struct(
-            F.when(full, F.array_append(state["done"], state["open"]))
-            .otherwise(state["done"])
-            .alias("done"),
-            F.when(fresh, paragraph)
-            .otherwise(F.concat_ws("\n", state["open"], paragraph))
-            .alias("open"),
-            F.when(fresh, length).otherwise(state["size"] + length).alias("size"),
-        )
+    def chunks(paragraphs: Column) -> Column:
+        all_fit = F.length(F.array_join(paragraphs, "")) <= max_chars
+        return F.when(all_fit, F.array(F.array_join(paragraphs, "\n"))).otherwise(pack(paragraphs))
 
-    return F.aggregate(
-        paragraphs,
-        empty,
-        pack,
-        lambda s: F.array_append(s["done"], F.coalesce(s["open"], F.lit(""))),
-    )
+    return _let(F.filter(F.split(text, "\n"), has_text), chunks)
 
 
 def chunk_text(df: DataFrame, key: str, text: str, max_chars: int = MAX_CHUNK_CHARS) -> DataFrame:
@@ -64,38 +100,33 @@ def chunk_text(df: DataFrame, key: str, text: str, max_chars: int = MAX_CHUNK_CH
 
 
 def extract_json(df: DataFrame, text: str, schema: str) -> DataFrame:
-    """Add ``strategy`` (fenced, whole, braces or none), the JSON text ``raw`` and ``parsed``."""
-
-    def valid(candidate: Column) -> Column:
-        """The parser overlooks text after a value; inside both brackets and braces it cannot."""
-        in_array = F.concat(F.lit("["), candidate, F.lit("]"))
-        in_object = F.concat(F.lit('{"v":'), candidate, F.lit("}"))
-        return (
-            F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
-        )
+    """Add ``strategy`` (fenced, whole, braces or none), the JSON text ``raw`` and ``parsed``.
+
+    Each candidate is parsed once, and only if those before it failed; the fields come from that
+    parse. The parser overlooks what follows a value, so a candidate stands in a list before its own
+    digest: if that is not the second entry, the text was not one value.
+    """
+
+    def accepted(strategy: str, candidate: Column) -> Column:
+        listed = F.concat(F.lit("["), candidate, F.lit(',"'), F.md5(candidate), F.lit('"]'))
+        return _let(F.try_parse_json(listed), lambda value: F.when(
+            F.try_variant_get(value, "$[1]", "string") == F.md5(candidate),
+            F.struct(F.lit(strategy).alias("strategy"), candidate.alias("raw"), value.alias("value")),
+        ))
 
     whole = F.col("__whole")
     fenced = F.nullif(F.regexp_extract(whole, FENCED_JSON, 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(whole, _BRACES, 0), F.lit(""))
-    candidates = df.withColumn("__whole", stripped(col(text))).withColumns(
-        {"__fenced": fenced, "__braces": braces}
-    )
-    strategy = (
-        F.when(valid(F.col("__fenced")), "fenced")
-        .when(valid(F.col("__whole")), "whole")
-        .when(valid(F.col("__braces")), "braces")
-        .otherwise("none")
-    )
-    raw = (
-        F.when(F.col("strategy") == "fenced", F.col("__fenced"))
-        .when(F.col("strategy") == "whole", F.col("__whole"))
-        .when(F.col("strategy") == "braces", F.col("__braces"))
-    )
+    chosen = F.coalesce(accepted("fenced", fenced), accepted("whole", whole), accepted("braces", braces))
     return (
-        candidates.withColumn("strategy", strategy)
-        .withColumn("raw", raw)
-        .withColumn("parsed", F.from_json("raw", schema))
-        .drop("__fenced", "__braces", "__whole")
+        df.withColumn("__whole", stripped(col(text)))
+        .withColumn("__chosen", chosen)
+        .withColumns({
+            "strategy": F.coalesce("__chosen.strategy", F.lit("none")),
+            "raw": F.col("__chosen.raw"),
+            "parsed": F.try_variant_get("__chosen.value", "$[0]", f"struct<{schema}>"),
+        })
+        .drop("__chosen", "__whole")
     )
 
 

@@ -60,6 +60,11 @@ ANSWERS = {
     "nothing here": ("none", None),
     "1, 2": ("none", None),
     "[1, 2]": ("whole", None),
+    '{"k": 9}] and [{"k": 1}': ("none", None),
+    '1], "x"] {"k": 1} ["': ("braces", 1),
+    '{"k": 1}, "c4ca4238a0b923820dcc509a6f75849b"] [': ("braces", 1),
+    '{"k": "many"}': ("whole", None),
+    '{"k": null, "l": 2}': ("whole", None),
 }
 
 
@@ -71,6 +76,30 @@ def test_json(spark):
     assert {r.strategy: r.n for r in parse_rate(extracted).collect()}["fenced"] == 2
 
 
+def test_one_parse_for_each_candidate(spark):
+    """Fields come from the parse that found the strategy; nothing is parsed again."""
+    df = spark.createDataFrame([(a,) for a in ANSWERS], ["answer"])
+    extracted = extract_json(df, "answer", "k bigint").select("strategy", "raw", "parsed")
+    plan = extracted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 3 and "from_json" not in plan
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_many_paragraphs(spark, n):
+    """Each paragraph a chunk of its own, or a few to a chunk."""
+    for size in (690, 30):
+        paragraphs = [chr(97 + i % 26) * (size - i % 7) for i in range(n)]
+        expected, room = [], 0
+        for p in paragraphs:
+            if expected and room + len(p) <= LIMIT:
+                expected[-1] += "\n" + p
+                room += len(p)
+            else:
+                expected.append(p)
+                room = len(p)
+        assert _chunks(spark, "\n".join(paragraphs)) == expected
+
+
 def test_json_fields(spark):
     df = spark.createDataFrame([('{"business_question": "why", "assumptions": ["a", "b"]}',)], ["t"])
     parsed = extract_json(df, "t", FRAMING_SCHEMA).first().parsed
