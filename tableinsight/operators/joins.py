@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableinsight.functions.columns import type_family
@@ -35,52 +36,84 @@ class JoinStep:
     how: str = "inner"
 
 
-def parse_spec(tables: dict[str, DataFrame], spec: dict) -> tuple[str, list[JoinStep]]:
-    """Check the tree against the tables: connected, complete, known columns, comparable keys."""
+# What a spec can be told about, one word a fault.
+SPEC_ERROR_SCHEMA = "position int, fault string, subject string, message string, detail string"
+UNKNOWN_ROOT, UNKNOWN_TABLE, JOINED_TWICE, NOT_YET_JOINED = "unknown_root", "unknown_table", "joined_twice", "not_yet_joined"
+JOIN_KIND, NO_COLUMN, KEY_TYPES, OUTSIDE = "join_kind", "no_column", "key_types", "outside_tree"
+
+
+@dataclass(frozen=True)
+class SpecFault:
+    position: int  # of the step, from 0; -1 for the spec as a whole
+    fault: str
+    subject: str
+    message: str
+    detail: str | None = None
+
+
+def _steps(spec: dict) -> list[JoinStep]:
+    return [
+        JoinStep(raw["file"], raw["on_file"], raw["file_column"], raw["on_column"], raw.get("how", "inner").lower())
+        for raw in spec.get("joins", [])
+    ]
+
+
+def spec_faults(tables: dict[str, DataFrame], spec: dict) -> Iterator[SpecFault]:
+    """Every fault of the tree, from its schemas alone: not connected, not complete, unknown names,
+    keys that cannot be compared. A step at fault counts as joined for those after it."""
     root = spec["root"]
     if root not in tables:
-        raise ValueError(f"root table {root!r} is not among the tables")
+        yield SpecFault(-1, UNKNOWN_ROOT, root, f"root table {root!r} is not among the tables")
     included = [root]
-    steps = []
-    for raw in spec.get("joins", []):
-        step = JoinStep(
-            raw["file"], raw["on_file"], raw["file_column"], raw["on_column"],
-            raw.get("how", "inner").lower(),
-        )
+    for i, step in enumerate(_steps(spec)):
         if step.file not in tables:
-            raise ValueError(f"table {step.file!r} is not among the tables")
+            yield SpecFault(i, UNKNOWN_TABLE, step.file, f"table {step.file!r} is not among the tables")
         if step.file in included:
-            raise ValueError(f"table {step.file!r} is joined twice")
+            yield SpecFault(i, JOINED_TWICE, step.file, f"table {step.file!r} is joined twice")
         if step.on_file not in included:
-            raise ValueError(f"{step.on_file!r} must be added before {step.file!r}")
+            yield SpecFault(i, NOT_YET_JOINED, step.on_file, f"{step.on_file!r} must be added before {step.file!r}")
         if step.how not in JOIN_KINDS:
-            raise ValueError(f"unsupported join kind: {step.how}")
-        _check_keys(tables, step)
+            yield SpecFault(i, JOIN_KIND, step.how, f"unsupported join kind: {step.how}")
+        if step.file in tables and step.on_file in tables:
+            yield from _key_faults(tables, i, step)
         included.append(step.file)
-        steps.append(step)
-    left_out = [name for name in tables if name not in included]
-    if left_out:
-        raise ValueError(f"tables outside the join tree: {', '.join(left_out)}")
-    return root, steps
+    for name in tables:
+        if name not in included:
+            yield SpecFault(-1, OUTSIDE, name, f"tables outside the join tree: {name}")
 
 
-def _check_keys(tables: dict[str, DataFrame], step: JoinStep) -> None:
+def _key_faults(tables: dict[str, DataFrame], position: int, step: JoinStep) -> Iterator[SpecFault]:
     families = []
     for table, column in ((step.file, step.file_column), (step.on_file, step.on_column)):
         field = next((f for f in tables[table].schema if f.name == column), None)
+        name = f"{table}.{column}"
         if field is None:
-            raise JoinConfigurationError(
-                "A join column does not exist.", f"{table}.{column} not found"
-            )
-        families.append((f"{table}.{column}", field.dataType))
-    (left, left_type), (right, right_type) = families
-    if type_family(left_type) != type_family(right_type):
-        raise JoinConfigurationError(
+            yield SpecFault(position, NO_COLUMN, name, "A join column does not exist.", f"{name} not found")
+        else:
+            families.append((name, field.dataType))
+    if len(families) == 2 and type_family(families[0][1]) != type_family(families[1][1]):
+        (left, left_type), (right, right_type) = families
+        yield SpecFault(
+            position, KEY_TYPES, f"{left} = {right}",
             "The chosen join columns do not have comparable types. Choose columns of one kind.",
             f"{left} is {left_type.simpleString()}, {right} is {right_type.simpleString()}",
         )
 
 
+def spec_errors(spark: SparkSession, tables: dict[str, DataFrame], spec: dict) -> DataFrame:
+    """All faults of a spec as rows; none if it can be joined."""
+    return spark.createDataFrame([astuple(f) for f in spec_faults(tables, spec)], SPEC_ERROR_SCHEMA)
+
+
+def parse_spec(tables: dict[str, DataFrame], spec: dict) -> tuple[str, list[JoinStep]]:
+    """The root and steps of a tree without faults; the first fault is raised."""
+    for fault in spec_faults(tables, spec):
+        if fault.detail is not None:
+            raise JoinConfigurationError(fault.message, fault.detail)
+        raise ValueError(fault.message)
+    return spec["root"], _steps(spec)
+
+
 def prefixed(name: str, df: DataFrame) -> DataFrame:
     return df.select(*[col(c).alias(f"{name}__{c}") for c in df.columns])
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableinsight.functions.text import (
@@ -28,7 +28,7 @@ from tableinsight.operators.inspection import (
     null_counts,
     validation_checks,
 )
-from tableinsight.operators.joins import diagnose_join, join_tables
+from tableinsight.operators.joins import diagnose_join, join_tables, source_row_counts, spec_errors
 from tableinsight.operators.metric import entity_metric, top_entities
 from tableinsight.operators.neutralize import neutralize_formulas
 from tableinsight.operators.profile import (
@@ -47,7 +47,7 @@ from tableinsight.sources.csv import CSV_WRITE, read_csv, read_csv_robust
 from tableinsight.sources.export import write_cleaned
 from tableinsight.sources.files import csv_row_counts, file_row_counts
 from tableinsight.streaming.detector import decisions
-from tableinsight.streaming.gate import ArrivalGate
+from tableinsight.streaming.gate import ArrivalGate, read_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -513,6 +513,127 @@ def stream_gate(spark, sf_dir):
     )
 
 
+def _move(spark, source: str, target: str, modified: int | None = None) -> None:
+    """The one data file Spark wrote into a folder moves to a place and time of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    (found,) = [s.getPath() for s in fs.globStatus(path(f"{source}/part-*"))]
+    fs.mkdirs(path(target).getParent())
+    fs.rename(found, path(target))
+    if modified is not None:
+        fs.setTimes(path(target), modified * 1000, -1)
+
+
+def _watched_days(spark, sf_dir, first: str = "") -> str:
+    """A watched folder with one CSV of events for each day, the spike's rows ten times, in order of days."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", day.alias("day"))
+    events = events.filter(F.col("day") > first).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("day") == _SPIKE_DAY, 10).otherwise(1)))
+    ).drop("_copy")
+    folder = fresh_path(spark, "watched")
+    days = [r.day for r in events.select("day").distinct().orderBy("day").collect()]  # one row a file
+    events.repartition(len(days), "day").write.partitionBy("day").options(**CSV_WRITE).csv(f"{folder}/staged")
+    for i, name in enumerate(days):
+        suffix = "CSV" if i % 2 else "csv"
+        _move(spark, f"{folder}/staged/day={name}", f"{folder}/in/{name}.{suffix}", 1_700_000_000 + 60 * i)
+    return f"{folder}/in"
+
+
+def _day_of(path: str) -> Column:
+    return F.regexp_extract(path, r"/(\d{4}-\d\d-\d\d)[._]", 1).cast("date").alias("day")
+
+
+_BAD_DAY = "2024-01-02"
+
+
+def _users_by_type(spark, path: str, folder: str) -> None:
+    if _BAD_DAY in path:
+        raise ValueError("refused for the sake of the other runs")
+    read_file(spark, path).groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("n_users")
+    ).write.mode("overwrite").parquet(f"{folder}/types")
+
+
+def stream_runs(spark, sf_dir):
+    """Arrivals decided on and analysed together; one analysis fails, the others deliver."""
+    folder = _watched_days(spark, sf_dir)
+    gate = ArrivalGate(spark, folder, state_dir=fresh_path(spark, "gate"), max_files=1000, analysis=_users_by_type)
+    gate.run_available()
+    delivered = spark.read.parquet(f"{gate.deliverables_dir}/*/types").groupBy(
+        _day_of("_metadata.file_path")
+    ).agg(F.sum("n_users").alias("n_users"))
+    outcomes = gate.outcomes().select(_day_of("path"), "status", "error")
+    return gate.decisions().select(_day_of("path"), "n", "reason", "should_run").join(outcomes, "day", "left").join(
+        delivered, "day", "left"
+    )
+
+
+def stream_history(spark, sf_dir):
+    """A gate that starts with the counts of earlier days decides the later ones as if it had seen all."""
+    folder = _watched_days(spark, sf_dir, first="2024-01-12")
+    earlier = _daily_events(spark, sf_dir).where("day <= DATE '2024-01-12'")
+    history = earlier.select(F.col("day").cast("timestamp").alias("modified"), "n")
+    gate = ArrivalGate(
+        spark, folder, state_dir=fresh_path(spark, "gate"), require_approval=True, max_files=1000, history=history
+    )
+    gate.run_available()
+    return gate.decisions().select(_day_of("path"), "n", "reason", "anomaly", "z_score", "should_run")
+
+
+def stream_unreadable(spark, sf_dir):
+    """Files that cannot be read are told apart with a reason and leave no trace in the decisions."""
+    folder = fresh_path(spark, "watched")
+    table(spark, sf_dir, "nation").coalesce(1).write.options(**CSV_WRITE).csv(f"{folder}/a")
+    table(spark, sf_dir, "region").coalesce(1).write.json(f"{folder}/b")
+    table(spark, sf_dir, "supplier").select(F.col("s_name").alias("value")).coalesce(1).write.text(f"{folder}/c")
+    table(spark, sf_dir, "region").coalesce(1).write.parquet(f"{folder}/d")
+    targets = {"a": "nation.csv", "b": "region.json", "c": "supplier.parquet", "d": "region.PARQUET"}
+    for source, name in targets.items():
+        _move(spark, f"{folder}/{source}", f"{folder}/in/{name}")
+    gate = ArrivalGate(spark, f"{folder}/in", state_dir=fresh_path(spark, "gate"), require_approval=True, max_files=10)
+    gate.run_available()
+    decided = gate.decisions().select("path", F.lit(True).alias("decided"))
+    reasons = gate.unreadable().select("path", F.col("error").isNotNull().alias("told"))
+    return gate.arrivals().join(decided, "path", "left").join(reasons, "path", "left").select(
+        F.substring_index("path", "/", -1).alias("file"), "n", "status",
+        F.coalesce("decided", F.lit(False)).alias("decided"), F.coalesce("told", F.lit(False)).alias("told"),
+    )
+
+
+def stream_deliverables(spark, sf_dir):
+    """What an automatic run leaves behind, named after its file: the weekly metric and the tests."""
+    folder = fresh_path(spark, "watched")
+    table(spark, sf_dir, "events").drop("props").coalesce(1).write.parquet(f"{folder}/staged")  # one arriving file
+    _move(spark, f"{folder}/staged", f"{folder}/in/events.parquet")
+    gate = ArrivalGate(spark, f"{folder}/in", state_dir=fresh_path(spark, "gate"))
+    gate.run_available()
+    name = F.regexp_extract("_metadata.file_path", r"/([^/]+)_[0-9a-f]{64}/", 1).alias("file")
+    metric = spark.read.parquet(f"{gate.deliverables_dir}/*/metric").select(
+        name, F.col("week").cast("string").alias("item"), F.col("value").cast("bigint").alias("value")
+    )
+    tests = spark.read.parquet(f"{gate.deliverables_dir}/*/drivers").where("dimension = 'event_type'").select(
+        name, F.col("category").alias("item"), F.col("n").cast("bigint").alias("value")
+    )
+    return metric.unionByName(tests)
+
+
+def join_spec_errors(spark, sf_dir):
+    """Every fault of a join tree at once, as rows."""
+    names = ("orders", "customer", "nation", "region", "part")
+    tables = {name: table(spark, sf_dir, name) for name in names}
+    joins = [
+        ("customer", "orders", "c_custkey", "o_custkey", "inner"), ("customer", "orders", "c_custkey", "o_custkey", "left"),
+        ("nation", "customer", "n_nationkey", "c_name", "inner"), ("region", "nation", "r_regionkey", "n_missing", "outer"),
+        ("supplier", "lineitem", "s_suppkey", "l_suppkey", "inner"),
+    ]
+    keys = ("file", "on_file", "file_column", "on_column", "how")
+    spec = {"root": "orders", "joins": [dict(zip(keys, j, strict=True)) for j in joins]}
+    found = spec_errors(spark, tables, spec).select("position", "fault", "subject")
+    sizes = source_row_counts(tables).select(F.col("source").alias("subject"), "n")
+    return found.join(sizes, "subject", "left")
+
+
 # -- files, text ------------------------------------------------------------------------------
 
 
@@ -729,7 +850,8 @@ def queries() -> dict[str, Query]:
         join_tree, join_diagnosis, reconcile_values, reconcile_summary, clean_trim,
         clean_empty_rows, clean_decimal, clean_numeric, clean_dates, clean_report, neutralize,
         hostile_header, zscore_daily, zscore_by_type, zscore_long_series, arrival_gate,
-        approval_resolution, approval_unknown, stream_gate, file_counts, csv_roundtrip, csv_robust, csv_quoted,
+        approval_resolution, approval_unknown, stream_gate, stream_runs, stream_history,
+        stream_unreadable, stream_deliverables, join_spec_errors, file_counts, csv_roundtrip, csv_robust, csv_quoted,
         csv_texts, csv_folder, csv_record_counts, file_flow, stream_decisions, join_sources,
         report_tables, chunk_documents, chunk_sizes, json_extract, json_extract_rate, json_fields,
     ]

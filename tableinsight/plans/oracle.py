@@ -370,6 +370,34 @@ def oracle_sql() -> dict[str, str]:
         "arrival_gate": f"""{_daily()} {_scores("day")} SELECT day, n, reason, anomaly, z_score,
             anomaly OR coalesce(reason = 'pas_assez_de_donnees', false) AS should_run
             FROM scored""",
+        "stream_runs": f"""{_daily()} {_scores("day")}, delivered AS (
+              SELECT day, CAST(sum(u) AS BIGINT) AS n_users FROM (
+                SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT user_id) AS u FROM events GROUP BY 1, 2) t
+              GROUP BY day),
+            decided AS (SELECT day, n, reason,
+              anomaly OR coalesce(reason = 'pas_assez_de_donnees', false) AS should_run FROM scored)
+            SELECT day, n, reason, should_run,
+              CASE WHEN should_run THEN CASE WHEN day = DATE '2024-01-02' THEN 'failed' ELSE 'done' END END AS status,
+              CASE WHEN should_run AND day = DATE '2024-01-02' THEN 'refused for the sake of the other runs' END AS error,
+              CASE WHEN should_run AND day <> DATE '2024-01-02' THEN n_users END AS n_users
+            FROM decided JOIN delivered USING (day)""",
+        "stream_history": f"""{_daily()} {_scores("day")} SELECT day, n, reason, anomaly, z_score,
+            anomaly OR coalesce(reason = 'pas_assez_de_donnees', false) AS should_run
+            FROM scored WHERE day > DATE '2024-01-12'""",
+        "stream_unreadable": """SELECT 'nation.csv' AS file, count(*) AS n, 'counted' AS status, true AS decided,
+              false AS told FROM nation
+            UNION ALL SELECT 'region.json', count(*), 'counted', true, false FROM region
+            UNION ALL SELECT 'region.PARQUET', count(*), 'counted', true, false FROM region
+            UNION ALL SELECT 'supplier.parquet', NULL, 'unreadable', false, true""",
+        "stream_deliverables": """SELECT 'events' AS file, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS item,
+              count(DISTINCT event_id) AS value FROM events GROUP BY 2
+            UNION ALL SELECT 'events', event_type, count(DISTINCT event_id) FROM events GROUP BY 2""",
+        "join_spec_errors": """SELECT f.position, f.fault, f.subject, s.n FROM (VALUES
+              (1, 'joined_twice', 'customer'), (2, 'key_types', 'nation.n_nationkey = customer.c_name'),
+              (3, 'join_kind', 'outer'), (3, 'no_column', 'nation.n_missing'), (4, 'unknown_table', 'supplier'),
+              (4, 'not_yet_joined', 'lineitem'), (-1, 'outside_tree', 'part')) AS f(position, fault, subject)
+            LEFT JOIN (SELECT 'customer' AS subject, count(*) AS n FROM customer
+              UNION ALL SELECT 'part', count(*) FROM part) s ON s.subject = f.subject""",
         "approval_resolution": f"""{_RUNS} SELECT run_id, n,
             CASE WHEN day(day) % 2 = 1 THEN 'approved' WHEN day = DATE '2024-01-20' THEN 'rejected'
                  ELSE 'pending' END AS status FROM runs""",

@@ -15,6 +15,7 @@ DECISION_SCHEMA = (
     "moyenne double, ecart_type double, z_score double, direction string, severite string, "
     "should_run boolean"
 )
+HISTORY = "history"  # status of arrivals that only fill the state
 _STATE = "recent array<double>, last_batch bigint"
 _WINDOWS = "source string, path string, modified timestamp, n bigint, window array<double>"
 
@@ -23,11 +24,12 @@ def windows(arrivals: DataFrame, window_size: int = WINDOW_SIZE) -> DataFrame:
     """Stream of ``(source, batch_id, path, modified, n)`` to each arrival with the values up to it.
 
     An arrival is one row per file, so a source's state update handles as many rows as files
-    arrived, never the files' rows. A batch that is delivered again is ignored.
+    arrived, never the files' rows. A batch that is delivered again is ignored. Rows whose ``status``
+    is history give the state its start value and are not decided on.
     """
 
     def extend(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent, last_batch = state.get if state.exists else ([], -1)
+        recent, last_batch = state.get if state.exists else ([], -3)
         rows = pd.concat(list(frames))
         fresh = rows[rows["batch_id"] > last_batch].sort_values(["batch_id", "modified", "path"])
         if fresh.empty:
@@ -38,6 +40,8 @@ def windows(arrivals: DataFrame, window_size: int = WINDOW_SIZE) -> DataFrame:
         out = fresh[["path", "modified", "n"]].assign(
             source=key[0], window=[series[max(0, end - window_size) : end] for end in ends]
         )
+        if "status" in fresh:
+            out = out[fresh["status"] != HISTORY]
         yield out[["source", "path", "modified", "n", "window"]]
 
     return arrivals.groupBy("source").applyInPandasWithState(

@@ -1,9 +1,11 @@
 """Analyze a newly arrived file only when its size is unusual.
 
 Two streams. The first discovers files by name only, counts their rows with a distributed job and
-appends one small row per file to an arrivals table. The second keeps the z-score state over that
-table, decides, and runs or parks the analysis. Both are checkpointed, so a restart continues with
-the full history.
+appends one small row per file to an arrivals table; files that cannot be read go to a table of
+their own with the reason. The second keeps the z-score state over the arrivals, decides, and runs
+or parks the analyses: several at a time, each with an outcome, so a failing one leaves the others.
+Both are checkpointed, so a restart continues with the full history; a first start can take one
+from earlier counts.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from tableinsight.plans.analyze import analyze, write_report
 from tableinsight.session import shared_dir
 from tableinsight.sources.csv import read_csv
 from tableinsight.sources.files import extension, file_row_counts
-from tableinsight.streaming.detector import DECISION_SCHEMA, decisions
+from tableinsight.streaming.detector import DECISION_SCHEMA, HISTORY, decisions
+from tableinsight.streaming.runs import DONE, FAILED, OUTCOME_SCHEMA, run_together
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 _ARRIVAL_SCHEMA = "source string, path string, modified timestamp, n bigint, status string"
 _RUN_SCHEMA = "run_id string, path string, n bigint, status string"
+_UNREADABLE_SCHEMA = "source string, path string, modified timestamp, error string"
 _RESOLUTION_SCHEMA = "run_id string, decision string, decided_at timestamp"
 _KINDS = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[jJ][sS][oO][nN]}"
 
@@ -61,6 +65,8 @@ class ArrivalGate:
     window_size: int = WINDOW_SIZE
     threshold: float = THRESHOLD
     max_files: int = 1
+    width: int = 4  # analyses at a time
+    history: DataFrame | None = None  # (modified, n) of earlier arrivals, for a first start
     analysis: Callable[[SparkSession, str, str], None] | None = None
 
     def __post_init__(self):
@@ -71,10 +77,22 @@ class ArrivalGate:
             ("arrivals/batch_id=-1", _ARRIVAL_SCHEMA),
             ("decisions/batch_id=-1", DECISION_SCHEMA),
             ("runs/batch_id=-1", _RUN_SCHEMA),
+            ("unreadable/batch_id=-1", _UNREADABLE_SCHEMA),
+            ("outcomes/attempt=none", OUTCOME_SCHEMA),
             ("resolutions", _RESOLUTION_SCHEMA),
         ):
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("ignore").parquet(f"{self.state_dir}/{name}")
+        if self.history is not None:
+            self._remember(self.history)
+
+    def _remember(self, history: DataFrame) -> None:
+        """Earlier counts become arrivals that only fill the state, the latest of them."""
+        latest = history.orderBy(F.desc("modified")).limit(self.window_size).select(
+            F.lit(self.watch_dir).alias("source"), F.lit("").alias("path"), F.col("modified").cast("timestamp"),
+            F.col("n").cast("bigint").alias("n"), F.lit(HISTORY).alias("status"),
+        )
+        latest.coalesce(1).write.mode("ignore").parquet(f"{self.state_dir}/arrivals/batch_id=-2")
 
     # -- first stream: files to arrivals -------------------------------------------------------
 
@@ -93,32 +111,38 @@ class ArrivalGate:
         )
         return files.where(direct).select("path", F.col("modificationTime").alias("modified"))
 
-    def _count(self, paths: list[str]) -> dict[str, int]:
-        """Rows per readable file; a file that cannot be read is missing."""
+    def _count(self, paths: list[str]) -> tuple[dict[str, int], dict[str, str]]:
+        """Rows per readable file, and the reason for each file that cannot be read."""
         try:
             counts = file_row_counts(self.spark, paths).collect()  # one row per file
         except (PySparkException, Py4JJavaError) as error:
             if not _is_bad_file(error):
                 raise
             if len(paths) == 1:
-                return {}
+                return {}, {paths[0]: str(error).strip().split("\n", 1)[0]}
             # One bad file fails the shared job: halves are counted until it stands alone.
             middle = len(paths) // 2
-            return self._count(paths[:middle]) | self._count(paths[middle:])
-        return {readable_path(r.path): r.n for r in counts}
+            (first, bad), (second, worse) = self._count(paths[:middle]), self._count(paths[middle:])
+            return first | second, bad | worse
+        return {readable_path(r.path): r.n for r in counts}, {}
 
     def _record_arrivals(self, batch: DataFrame, batch_id: int) -> None:
         files = batch.collect()  # at most max_files rows of name and time
         if not files:
             return
-        counts = self._count([f.path for f in files])
+        counts, errors = self._count([f.path for f in files])
         rows = [
             (self.watch_dir, f.path, f.modified, counts.get(f.path),
              COUNTED if f.path in counts else UNREADABLE)
             for f in files
         ]
-        arrivals = self.spark.createDataFrame(rows, _ARRIVAL_SCHEMA).coalesce(1)
-        arrivals.write.mode("overwrite").parquet(f"{self.state_dir}/arrivals/batch_id={batch_id}")
+        bad = [
+            (self.watch_dir, f.path, f.modified, errors.get(f.path, "no rows and no header"))
+            for f in files if f.path not in counts
+        ]
+        for name, found, schema in (("unreadable", bad, _UNREADABLE_SCHEMA), ("arrivals", rows, _ARRIVAL_SCHEMA)):
+            told = self.spark.createDataFrame(found, schema).coalesce(1)
+            told.write.mode("overwrite").parquet(f"{self.state_dir}/{name}/batch_id={batch_id}")
 
     # -- second stream: arrivals to decisions and runs -----------------------------------------
 
@@ -127,7 +151,7 @@ class ArrivalGate:
             self.spark.readStream.schema(_ARRIVAL_SCHEMA + ", batch_id bigint")
             .option("maxFilesPerTrigger", _ARRIVAL_FILES)
             .parquet(f"{self.state_dir}/arrivals")
-            .where(F.col("status") == COUNTED)
+            .where(F.col("status").isin(COUNTED, HISTORY))
         )
         return decisions(arrivals, self.window_size, self.threshold)
 
@@ -154,11 +178,19 @@ class ArrivalGate:
         )
         runs.write.mode("overwrite").parquet(f"{self.state_dir}/runs/batch_id={batch_id}")
         if not self.require_approval:
-            for run in runs.collect():  # at most one per arrived file
-                self._run(run)
+            self._run_all(runs.collect(), f"attempt=batch-{batch_id}")  # at most one per arrived file
+
+    def _run_all(self, runs: list[Row], name: str) -> list[tuple]:
+        """Outcomes replace those of the same name, so a replayed batch tells its runs once."""
+        outcomes = run_together(self.spark, runs, self._folder, self._run, self.width)
+        told = self.spark.createDataFrame(outcomes, OUTCOME_SCHEMA).coalesce(1)
+        told.write.mode("overwrite").parquet(f"{self.state_dir}/outcomes/{name}")
+        return outcomes
 
-    def _run(self, run: Row) -> None:
-        folder = f"{self.deliverables_dir}/{stem(run.path)}_{run.run_id[-64:]}"
+    def _folder(self, run: Row) -> str:
+        return f"{self.deliverables_dir}/{stem(run.path)}_{run.run_id[-64:]}"
+
+    def _run(self, run: Row, folder: str) -> None:
         if self.analysis:
             self.analysis(self.spark, run.path, folder)
             return
@@ -201,13 +233,35 @@ class ArrivalGate:
     def decisions(self) -> DataFrame:
         return self._table("decisions", DECISION_SCHEMA)
 
+    def unreadable(self) -> DataFrame:
+        return self._table("unreadable", _UNREADABLE_SCHEMA)
+
+    def outcomes(self) -> DataFrame:
+        """One row per run that was started: done, or failed with the error; a retry replaces a failure."""
+        best = F.max_by(F.struct("path", "folder", "status", "error"), (F.col("status") == DONE).cast("int"))
+        return self._table("outcomes", OUTCOME_SCHEMA).groupBy("run_id").agg(best.alias("o")).select("run_id", "o.*")
+
     def runs(self) -> DataFrame:
         return resolve(
             self._table("runs", _RUN_SCHEMA), self._table("resolutions", _RESOLUTION_SCHEMA)
         )
 
     def approve(self, run_id: str) -> None:
-        self._run(self._resolve(run_id, APPROVED))
+        """Run what was parked; a failure is kept as its outcome and raised."""
+        self._run_one(self._resolve(run_id, APPROVED))
+
+    def retry(self, run_id: str) -> None:
+        """Run a failed analysis again."""
+        failed = self.outcomes().where((F.col("run_id") == run_id) & (F.col("status") == FAILED)).select("run_id")
+        run = self.runs().join(failed, "run_id").first()
+        if run is None:
+            raise KeyError(f"no failed run {run_id}")
+        self._run_one(run)
+
+    def _run_one(self, run: Row) -> None:
+        ((*_, status, error),) = self._run_all([run], f"attempt={run.run_id}")
+        if status == FAILED:
+            raise RuntimeError(f"{run.run_id}: {error}")
 
     def reject(self, run_id: str) -> None:
         self._resolve(run_id, REJECTED)

@@ -14,6 +14,7 @@ from tableinsight.operators.inspection import (
 )
 from tableinsight.operators.joins import (
     JoinConfigurationError,
+    spec_errors,
     JoinStep,
     diagnose_join,
     join_tables,
@@ -263,6 +264,16 @@ def test_bad_specs(trio, spec, error):
         join_tables(trio, spec)
 
 
+def test_all_faults_of_a_spec(spark, trio):
+    """Nothing is raised: each fault is a row, and a spec without any has no rows."""
+    bad = {"root": "nowhere", "joins": [_step("clients", "nom", "commandes", "date_commande", "outer"), _step("x", "a", "y", "b")]}
+    faults = [(r.position, r.fault) for r in spec_errors(spark, trio, bad).collect()]
+    assert faults[:2] == [(-1, "unknown_root"), (0, "not_yet_joined")]
+    assert {(0, "join_kind"), (0, "key_types"), (1, "unknown_table"), (1, "not_yet_joined")} <= set(faults)
+    assert sum(f == "outside_tree" for _, f in faults) == len(set(trio) - {"clients", "x"})
+
+
+
 def test_incomparable_keys(trio):
     pair = {k: trio[k] for k in ("commandes", "clients")}
     spec = {"root": "commandes", "joins": [_step("clients", "nom", "commandes", "date_commande")]}

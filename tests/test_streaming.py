@@ -1,5 +1,7 @@
 import os
 import shutil
+import threading
+import time
 
 import pytest
 
@@ -95,3 +97,62 @@ def test_automatic_run_writes_deliverables(spark, watch):
     assert spark.read.parquet(f"{folder}/driver_tests").first().dimension == "platform"
     report = [r.value for r in spark.read.text(f"{folder}/report").collect()]
     assert any("30 lignes" in line for line in report)
+
+
+def test_a_failing_run_leaves_the_others(spark, watch):
+    """Runs go side by side; a bad file has its error as outcome and can be tried again."""
+    together, most, failing = set(), [], {"b.csv"}
+    lock = threading.Lock()
+
+    def analysis(session, path, folder):
+        name = path.rsplit("/", 1)[1]
+        with lock:
+            together.add(name)
+            most.append(len(together))
+        time.sleep(0.5)
+        with lock:
+            together.discard(name)
+        if name in failing:
+            session.table("no_such_table")
+        session.range(3).write.mode("overwrite").parquet(folder)
+
+    for i, name in enumerate(["a.csv", "b.csv"]):
+        _drop(watch, name, 10, i)
+    gate = _gate(spark, watch, max_files=5, width=2, analysis=analysis)
+    gate.run_available()
+    outcomes = {r.path.rsplit("/", 1)[1]: r for r in gate.outcomes().collect()}
+    assert outcomes["a.csv"].status == "done" and spark.read.parquet(outcomes["a.csv"].folder).count() == 3
+    assert outcomes["b.csv"].status == "failed" and "TABLE_OR_VIEW_NOT_FOUND" in outcomes["b.csv"].error
+    assert max(most) == 2
+    with pytest.raises(RuntimeError, match="TABLE_OR_VIEW_NOT_FOUND"):
+        gate.retry(outcomes["b.csv"].run_id)
+    failing.clear()
+    gate.retry(outcomes["b.csv"].run_id)
+    assert {r.status for r in gate.outcomes().collect()} == {"done"} and gate.outcomes().count() == 2
+    with pytest.raises(KeyError):
+        gate.retry(outcomes["b.csv"].run_id)
+
+
+def test_history_gives_the_state_a_start(spark, watch):
+    """Earlier counts are no arrivals: nothing is decided on them, and only a first start takes them."""
+    history = spark.createDataFrame(
+        [(f"2020-01-0{i + 1} 00:00:00", 100) for i in range(5)], "modified string, n int"
+    ).selectExpr("to_timestamp(modified) AS modified", "n")
+    options = {"max_files": 5, "require_approval": True, "history": history}
+    _drop(watch, "f0.csv", 100, 0)
+    _gate(spark, watch, **options).run_available()
+    gate = _gate(spark, watch, **options)
+    _drop(watch, "f1.csv", 5000, 1)
+    gate.run_available()
+    found = [(r.n, r.reason, r.anomaly, r.z_score) for r in gate.decisions().orderBy("modified").collect()]
+    assert found == [(100, "pas_de_variance", False, None), (5000, None, True, 2.4495)]
+
+
+def test_unreadable_files_have_a_table(spark, watch):
+    _drop(watch, "good.csv", 5)
+    (watch / "broken.parquet").write_text("not parquet")
+    gate = _gate(spark, watch, max_files=10, require_approval=True)
+    gate.run_available()
+    (row,) = gate.unreadable().collect()
+    assert row.path.endswith("/broken.parquet") and row.error and "\n" not in row.error
+    assert gate.decisions().count() == 1
