@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableinsight.names import col
 
@@ -19,7 +20,7 @@ UP, DOWN = "hausse", "baisse"
 HIGH, MEDIUM, LOW = "elevee", "moyenne", "faible"
 DECIMALS = 4
 
-# Values drawn to find the borders of the ranges a series is cut into.
+# Values drawn to find the borders of the ranges a text-ordered series is cut into.
 _DRAWN = 2000
 
 
@@ -62,7 +63,18 @@ def score(df: DataFrame, window: str, threshold: float = THRESHOLD) -> DataFrame
 
 
 def _borders(df: DataFrame, first: str, ranges: int) -> list:
-    """Values of the first order column between which rows are dealt, from a fixed draw by hash."""
+    """Values of the first order column between which rows are dealt, in order, each once.
+
+    Numbers and times come from one mergeable quantile sketch, a row a task; other values from a
+    fixed draw by hash.
+    """
+    if ranges < 2:
+        return []
+    kind = df.schema[first].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        shares = [i / ranges for i in range(1, ranges)]
+        found = df.agg(F.percentile_approx(col(first), shares, max(10_000, 10 * ranges))).first()[0]
+        return sorted(set(found or []))
     drawn = df.select(col(first).alias("v")).where("v IS NOT NULL").distinct()
     rows = drawn.orderBy(F.xxhash64("v")).limit(_DRAWN).collect()
     values = sorted(r.v for r in rows)
@@ -70,6 +82,17 @@ def _borders(df: DataFrame, first: str, ranges: int) -> list:
     return values[step::step][: ranges - 1]
 
 
+def _range_of(value: Column, borders: list) -> Column:
+    """How many borders are below a value, by bisection: as many comparisons as their number has bits."""
+    if not borders:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in range(len(borders).bit_length() - 1, -1, -1)])
+    known = F.array(*[F.lit(b) for b in borders])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) < value, at + step).otherwise(at)
+    )
+
+
 def trailing_zscore(
     df: DataFrame,
     value: str,
@@ -88,8 +111,7 @@ def trailing_zscore(
     """
     series = series or []
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    borders = F.array(*[F.lit(b) for b in _borders(df, order[0], ranges)])
-    part = F.size(F.filter(borders, lambda b: b < F.coalesce(col(order[0]), b)))
+    part = _range_of(col(order[0]), _borders(df, order[0], ranges))
     keys = [col(c) for c in series]
     back = window_size - 1
     names = [f"__s{i}" for i in range(len(series))]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,28 +167,41 @@ def describe_dates(df: DataFrame, direct_values: int = DIRECT_VALUES) -> DataFra
     return frame.withColumns({c: F.timestamp_micros(c) for c in columns})
 
 
+# Characters of a text that travel; what is longer is told apart by a digest.
+_PREFIX = 64
+
+
 def describe_text(df: DataFrame) -> DataFrame:
-    """count, distinct values, most frequent value (smallest on a tie) and its frequency."""
+    """count, distinct values, most frequent value (smallest on a tie) and its frequency.
+
+    All columns are counted in one shuffle of prefixes and digests, collapsed before it; no text
+    travels. A winner longer than its prefix is looked up among the values that begin with it.
+    """
     names = text_columns(df)
+    spark = df.sparkSession
     if not names:
-        return df.sparkSession.createDataFrame([], _TEXT_SCHEMA)
-    frequencies = (
-        df.select(*[col(c) for c in names])
-        .unpivot([], [col(c) for c in names], "column_name", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value").alias("value")))
-    described = frequencies.groupBy("column_name").agg(
-        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("best")
+        return spark.createDataFrame([], _TEXT_SCHEMA)
+    values = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column_name", "value")
+    values = values.where(F.col("value").isNotNull()).select(
+        "column_name", "value", F.substring("value", 1, _PREFIX).alias("prefix"),
+        F.when(F.length("value") > _PREFIX, F.sha2("value", 256)).alias("digest"),
     )
-    return described.select(
-        "column_name",
-        "count",
-        "unique",
-        F.col("best.value").alias("top"),
-        (-F.col("best.rank")).alias("freq"),
+    counts = values.groupBy("column_name", "prefix", "digest").agg(F.count(F.lit(1)).alias("n"))
+    longer = F.col("digest").isNotNull().alias("longer")
+    best = F.min(F.struct((-F.col("n")).alias("rank"), "prefix", longer)).alias("best")
+    found = counts.groupBy("column_name").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best)
+    rows = found.collect()  # one row a column
+    tops = {r.column_name: r.best.prefix for r in rows}
+    cut = [(r.column_name, r.best.prefix, -r.best.rank) for r in rows if r.best.longer]
+    if cut:
+        begins = reduce(or_, [(F.col("column_name") == c) & (F.col("prefix") == p) for c, p, _ in cut])
+        alike = values.where(F.col("digest").isNotNull() & begins).groupBy("column_name", "digest").agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("value")
+        )
+        most = reduce(or_, [(F.col("column_name") == c) & (F.col("n") == n) for c, _, n in cut])
+        tops |= dict(alike.where(most).groupBy("column_name").agg(F.min("value").alias("value")).collect())
+    return spark.createDataFrame(
+        [(r.column_name, r["count"], r.unique, tops[r.column_name], -r.best.rank) for r in rows], _TEXT_SCHEMA
     )
 
 

@@ -243,6 +243,11 @@ def describe_categories(spark, sf_dir):
     return describe_text(table(spark, sf_dir, "orders"))
 
 
+def describe_texts(spark, sf_dir):
+    """Long texts beside short ones; copies make a text the most frequent."""
+    return describe_text(table(spark, sf_dir, "documents").drop("doc_id", "n_chars"))
+
+
 def validation(spark, sf_dir):
     return validation_checks(table(spark, sf_dir, "events"), "user_id")
 
@@ -846,7 +851,7 @@ def queries() -> dict[str, Query]:
         driver_skipped, driver_significant,
         driver_findings, inspect_dates, inspect_nulls, inspect_summary, inspect_summary_joined,
         duplicate_groups, dedup_rows, profile_numeric, profile_bigint, profile_columns, describe_numeric,
-        describe_datetime, describe_categories, validation, join_inner, join_left, joined_prefix,
+        describe_datetime, describe_categories, describe_texts, validation, join_inner, join_left, joined_prefix,
         join_tree, join_diagnosis, reconcile_values, reconcile_summary, clean_trim,
         clean_empty_rows, clean_decimal, clean_numeric, clean_dates, clean_report, neutralize,
         hostile_header, zscore_daily, zscore_by_type, zscore_long_series, arrival_gate,

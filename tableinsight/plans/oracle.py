@@ -84,10 +84,10 @@ def _description(column: str) -> str:
     return f'SELECT \'{column}\' AS column_name, count({column}) AS "count", {rounded} FROM customer'
 
 
-def _categories(column: str) -> str:
+def _categories(column: str, table: str = "orders") -> str:
     return f"""SELECT '{column}' AS column_name, CAST(sum(n) AS BIGINT) AS "count",
       count(*) AS "unique", arg_min(v, (-n, v)) AS top, max(n) AS freq
-      FROM (SELECT {column} AS v, count(*) AS n FROM orders GROUP BY 1) t"""
+      FROM (SELECT {column} AS v, count(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY 1) t"""
 
 
 def _diagnosis(case: str, rows: str, sources: list[str]) -> str:
@@ -288,6 +288,7 @@ def oracle_sql() -> dict[str, str]:
             CAST(floor(quantile_cont(epoch_us(ts), 0.5) / 1000000) AS BIGINT) AS p50,
             CAST(floor(quantile_cont(epoch_us(ts), 0.75) / 1000000) AS BIGINT) AS p75 FROM events""",
         "describe_categories": _union([_categories(c) for c in ("o_orderstatus", "o_orderpriority")]),
+        "describe_texts": _union([_categories(c, "documents") for c in ("text", "lang", "source")]),
         "validation": """SELECT 'total_entites' AS "check",
               CAST(count(DISTINCT user_id) AS VARCHAR) AS result, true AS passed FROM events
             UNION ALL SELECT 'plage_dates',

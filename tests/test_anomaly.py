@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tableinsight.operators.anomaly import arrival_decisions, trailing_zscore
+from tableinsight.operators.anomaly import _range_of, arrival_decisions, trailing_zscore
 from tableinsight.operators.approvals import resolve, unknown_decisions
 
 
@@ -79,6 +79,27 @@ def test_ranges_equal_one_window(spark, ranges):
                              "direction", "severite"]
 
 
+@pytest.mark.parametrize("borders", [[], [5], [1, 2, 4], list(range(0, 400, 3))])
+def test_ranges_by_bisection(spark, borders):
+    """As many borders as are below the value, none below a missing one; the work grows with their bits."""
+    values = [None, -1, 0, 1, 2, 3, 4, 5, 6, 200, 399, 1000]
+    df = spark.createDataFrame([(v,) for v in values], "v int").select("v", _range_of(F.col("v"), borders).alias("p"))
+    assert [tuple(r) for r in df.collect()] == [(v, 0 if v is None else sum(b < v for b in borders)) for v in values]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambda") < 40
+
+
+def test_dates_and_times_are_dealt_by_a_sketch(spark):
+    days = spark.range(300).select(
+        F.expr("date_add(DATE '2020-01-01', CAST(id AS INT))").alias("d"),
+        F.expr("timestamp_micros(id * 1000001)").alias("t"), ((F.col("id") * 7919) % 101).cast("double").alias("v"),
+    )
+    one = {r.d: r.z_score for r in trailing_zscore(days, "v", ["d"], ranges=1).collect()}
+    for order in ("d", "t"):
+        found = trailing_zscore(days, "v", [order], ranges=9)
+        assert {r.d: r.z_score for r in found.collect()} == one
+
+
 def test_text_and_date_orders(spark):
     df = spark.range(60).select(F.format_string("k%03d", "id").alias("k"), F.lit(1.0).alias("v"))
     assert {r.reason for r in trailing_zscore(df, "v", ["k"], ranges=5).where("k > 'k002'").collect()} == {

@@ -12,6 +12,7 @@ from tableinsight.operators.inspection import (
     inspection_summary,
     validation_checks,
 )
+from tableinsight.operators.profile import describe_text
 from tableinsight.operators.joins import (
     JoinConfigurationError,
     spec_errors,
@@ -391,3 +392,21 @@ def test_join_diagnosis_counts_beyond_64_bits(spark):
     assert rows.first().w == 16 * 10**18
     vast = side.select("key", F.lit("9" * 38).cast("decimal(38,0)").alias("w"))
     assert joins._weights("a", {"a": root, "b": vast}, {"a": steps, "b": []}).first().w == int("9" * 38)
+
+
+def test_describe_long_texts(spark):
+    """The most frequent value, the smallest of those equally frequent, whatever they begin with."""
+    same = "p" * 64
+    columns = {
+        "long": [same + "b", same + "a", same + "b", same + "a", "q", None],
+        "short": [same, same + "a", same, same + "a", "z", "z"],
+        "every": [same + "c", same + "d", "zz", "é" * 90, "", same],
+        "none": [None] * 6,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} string" for c in columns))
+    found = {r.column_name: (r["count"], r.unique, r.top, r.freq) for r in describe_text(df).collect()}
+    assert found == {
+        "long": (5, 3, same + "a", 2), "short": (6, 3, same, 2), "every": (6, 6, "", 1),
+    }
+    plan = spark.createDataFrame([(same + "a",)], "t string")
+    assert describe_text(plan).first().top == same + "a"
