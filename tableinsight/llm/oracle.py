@@ -105,7 +105,7 @@ def _secrets() -> str:
             f"SELECT doc_id, a AS s, {rank} AS r, '{kind}' AS kind, a + length(found) AS e FROM {kind} "
             f"WHERE length({value}) >= {least}"
         )
-    allowed = " OR ".join(f"regexp_matches(found, {_quoted(p)})" for p in secrets.ALLOWED)
+    allowed = " OR ".join(f"regexp_matches(found, {_quoted(p.replace('*+', '*'))})" for p in secrets.ALLOWED)
     w = secrets.WINDOW
     (hex_kind, looks, _, hex_bits), (key_kind, _, _, key_bits) = secrets.CLASSES
     parts.append(_matches("candidates", secrets.CANDIDATE))

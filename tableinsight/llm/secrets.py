@@ -39,10 +39,12 @@ CLASSES = (
 ALLOWED = (
     r"^[A-Z]?[a-z]+$",  # a word
     r"^[A-Z]+$",
-    r"^[A-Za-z]*([/_=-]+[A-Za-z]*)*$",  # paths, identifiers and rules without a digit
+    # Paths, identifiers and rules: words of two letters and more, or one letter before a separator.
+    # The group gives nothing back, so a match of any length needs no stack.
+    r"^(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z](?:[/_=-]|$)|[/_=-])*+$",
     r"^[0-9_=/+-]+$",  # numbers and dates
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"EXAMPLE|example",
+    r"EXAMPLE(?:KEY)?$",  # keys of manuals end so; a path through a folder of examples does not
 )
 _UNIT = 10**9  # x log2 x as integers: steps add up exactly
 _BLOCK = 256
