@@ -6,6 +6,7 @@ UTF-8 every byte of a code point above 127 is itself above 127, so words are fou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 19  # texts worked on together; one longer text is worked on alone
 
+LONG_RUN = 64  # bytes; sums of powers hold texts of patterns alike that are longer by far
+
 _BYTES = np.arange(256)
 IS_WORD = (
     ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90))
@@ -108,8 +111,17 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     n = len(data)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_VALUES[data] * _table("powers", _BASE, n + 1)[:n], out=sums[1:])
-    run = (sums[ends] - sums[starts]) * _table("inverse", _INVERSE, n + 1)[starts]
-    return mixed(run)
+    run = mixed((sums[ends] - sums[starts]) * _table("inverse", _INVERSE, n + 1)[starts])
+    for i, digest in _long_runs(data, starts, ends):
+        run[i] = digest[0]
+    return run
+
+
+def _long_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> Iterator[tuple[int, np.ndarray]]:
+    """Two words of a digest of every long run."""
+    for i in np.flatnonzero(ends - starts > LONG_RUN).tolist():
+        run = data[starts[i] : ends[i]]
+        yield i, np.frombuffer(hashlib.blake2b((LOWERED[run] if lower else run).tobytes(), digest_size=16).digest(), "<u8")
 
 
 def pieces(breaks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,6 +141,8 @@ def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values[data] * _table(name, base, n + 1)[:n], out=sums[1:])
         out.append(mixed((sums[ends] - sums[starts]) * _table(inverse, pow(base, -1, 1 << 64), n + 1)[starts]))
+    for i, digest in _long_runs(data, starts, ends, lower=False):
+        out[0][i], out[1][i] = digest
     return out[0], out[1]
 
 

@@ -188,9 +188,10 @@ class Encoder:
             words = [raw[starts[i] : ends[i]] for i in sample[fresh]]
             self._learn(keys[fresh], again[sample[fresh]], words)
             at = self._find(keys, again[sample])
-        # Words of equal first hash and other second hash: as good as impossible, and caught.
+        # Words of equal first hash and other second hash: such texts are encoded whole.
         if (again != again[sample][number]).any() or (at < 0).any():
-            raise ValueError("two words share a hash")
+            raw = texts.data.tobytes()
+            return [self._ids(raw[a:b].decode()) for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
         at = at[number]
         size = self.size[at]
         begin = np.cumsum(size) - size

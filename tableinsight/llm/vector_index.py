@@ -1,9 +1,11 @@
 """Nearest vectors by an inverted multi-index.
 
 Method. Vectors are cut in two halves, each half quantised by a codebook of its own; a pair of
-centroids is a cell. A query visits cells in the order of summed distance with a heap over the two
-sorted centroid lists, until the cells seen hold a given share of all vectors, and reranks what they
-hold by the exact inner product in double precision.
+centroids is a cell. A query visits cells in the order of two sums, one a half: the inner product with
+the centroid and, in part, what the vectors around it may add (length of the query's half times their
+root mean square distance from it), so long vectors are met whatever their direction. A heap over the
+two sorted centroid lists gives that order, until the cells seen hold a given share of all vectors;
+what they hold is reranked by the exact inner product in double precision.
 
 The codebooks are fitted on at most ``train_rows`` vectors, chosen by a hash of the id; every vector
 is indexed. Cell sizes, at most 1024^2 numbers, are the only other thing the driver sees. For the
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ QUERY_BLOCK = 1024
 GROUP_ROWS = 16_384
 VECTOR_BLOCK = 1024
 CROWDED = 4
+SPREAD = 0.5  # of the greatest addition of vectors at their mean distance from a centroid
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,6 +65,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 class Codebooks:
     first: np.ndarray
     second: np.ndarray
+    spreads: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))  # by centroid, root mean squares
+
+    def farness(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For queries and the centroids of each half what is summed to order cells, nearest smallest."""
+        parts = zip((v[:, : self.half], v[:, self.half :]), (self.first, self.second), self.spreads, strict=True)
+        return tuple(
+            -(q @ c.T) - SPREAD * np.sqrt((q**2).sum(axis=1))[:, None] * spread for q, c, spread in parts
+        )
 
     @property
     def half(self) -> int:
@@ -111,17 +122,21 @@ def _placer(books: object) -> object:
         for batch in batches:
             if not len(batch):
                 continue
-            i, j = books.value.cells(_matrix(batch.column("v")))
+            v, own = _matrix(batch.column("v")), books.value
+            i, j = own.cells(v)
+            apart = [((x - c[at]) ** 2).sum(axis=1) for x, c, at in
+                     ((v[:, : own.half], own.first, i), (v[:, own.half :], own.second, j))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("v"), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))],
-                names=["vec_id", "v", "i", "j"],
+                [batch.column("vec_id"), batch.column("v"), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+                 *map(pa.array, apart)],
+                names=["vec_id", "v", "i", "j", "apart_i", "apart_j"],
             )
 
     return place
 
 
 def visit(d1: np.ndarray, d2: np.ndarray, weights: np.ndarray, wanted: float) -> list[int]:
-    """Cells (i * columns + j) by summed distance until their weights reach ``wanted``."""
+    """Cells (i * columns + j) by the sum of both halves, smallest first, until their weights reach ``wanted``."""
     order1, order2 = np.argsort(d1, kind="stable").tolist(), np.argsort(d2, kind="stable").tolist()
     a, b = np.sort(d1).tolist(), np.sort(d2).tolist()
     reached = [0] * len(a)  # of each row, how many columns are done
@@ -151,7 +166,7 @@ def _router(shared: object) -> object:
         books, weights, wanted = state
         rows, columns = len(books.first), len(books.second)
         v = np.stack([x for _, x in queries])
-        d1, d2 = _distances(v[:, : books.half], books.first), _distances(v[:, books.half :], books.second)
+        d1, d2 = books.farness(v)
         visited = np.zeros((len(queries), rows * columns), dtype=bool)
         for q in range(len(queries)):
             visited[q, visit(d1[q], d2[q], weights, wanted)] = True
@@ -279,6 +294,14 @@ def _ranker(columns: int, nearest: int) -> object:
     return rank
 
 
+def _spreads(index: DataFrame, side: str, centroids: int) -> np.ndarray:
+    """Root mean square distance of vectors from their centroid of one half; a number a centroid."""
+    out = np.zeros(centroids)
+    for r in index.groupBy(side).agg(F.sqrt(F.avg(f"apart_{side}")).alias("spread")).collect():
+        out[r[side]] = r.spread
+    return out
+
+
 def search(
     vectors: DataFrame, is_query: Column, nearest: int = NEAREST, share: float = SHARE,
     train_rows: int = TRAIN_ROWS,
@@ -292,8 +315,11 @@ def search(
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = fit(rows, count, train_rows)
-    index = stored(in_arrow(rows, _placer(context.broadcast(books)), "vec_id long, v array<double>, i int, j int"),
-                   "vector-index")
+    placed = "vec_id long, v array<double>, i int, j int, apart_i double, apart_j double"
+    index = stored(in_arrow(rows, _placer(context.broadcast(books)), placed), "vector-index")
+    books = replace(books, spreads=tuple(
+        _spreads(index, side, len(c)) for side, c in (("i", books.first), ("j", books.second))
+    ))
     columns = len(books.second)
     sizes = np.zeros(len(books.first) * columns)
     for r in index.groupBy("i", "j").count().toLocalIterator():

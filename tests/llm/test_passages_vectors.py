@@ -287,6 +287,28 @@ def test_vectors_are_found(spark):
     assert found[40][0] == exact[40][0]
 
 
+@pytest.mark.parametrize("kind", ["lengths", "clusters", "clusters and lengths"])
+def test_largest_inner_products_whatever_the_lengths(spark, kind):
+    """Lengths that vary by factors, few tight clusters, both: the nearest are those of largest product."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(2000, 32))
+    if "clusters" in kind:
+        v = rng.normal(size=(15, 32))[rng.integers(0, 15, 2000)] + 0.2 * v
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    if "lengths" in kind:
+        v *= rng.lognormal(sigma=1.0, size=2000)[:, None]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in vector_index.search(vectors, F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    recall = []
+    for q in range(0, 2000, 20):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        recall.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_few_and_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], kind)
