@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tableinsight.llm import decontaminate, near_dup, source_mix, token_store, toxicity
 from tableinsight.llm.catalog import tokenizer_path
-from tableinsight.llm.common import fold, read, stored
+from tableinsight.llm.common import fold, read, scratch, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,10 @@ ORACLE_SQL = None  # a trained model and a tokenizer are not SQL; the tests hold
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way is deleted once its result is stored."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as written:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            written.pop()  # the result itself
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,8 @@ import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tableinsight.session import fresh_path
 
 _shipped: set[str] = set()
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -32,6 +35,8 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(frame.sparkSession, label)
     frame.write.parquet(path)
+    for paths in _scopes.get():
+        paths.append(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
@@ -55,6 +60,20 @@ def numbered(frame: DataFrame, label: str) -> tuple[DataFrame, list[tuple[int, i
     return kept, starts, total
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at the end what ``stored`` wrote meanwhile, but for the paths taken off the list given."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield paths
+    finally:
+        _scopes.reset(token)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, paths):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A to Z in lower case and nothing else, whatever the locale."""
     return F.translate(text, UPPER, LOWER)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tableinsight.llm import decontaminate, licenses, line_runs, secrets, source_mix, url_filter
+from tableinsight.llm import decontaminate, importance, licenses, line_runs, secrets, source_mix, url_filter
 from tableinsight.llm.common import LOWER, UPPER
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -180,6 +180,44 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN scored ON ruled.known IS NULL AND scored.known IS NULL AND ruled.s = scored.s"""
 
 
+def _importance() -> str:
+    """CRC-32 byte by byte over a table of its remainders, each distinct run of words once."""
+    return rf"""
+WITH entries AS (SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda a, i:
+                   CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(b)),
+bytes AS (SELECT list(c ORDER BY b) AS crcs FROM entries),
+docs AS (SELECT doc_id, {_WORDS.format(_LOWERED.format("coalesce(text, '')"))} AS w FROM documents),
+items AS (SELECT {_WORDS.format(_LOWERED.format("coalesce(text, '')"))} AS w FROM benchmark),
+runs AS (SELECT doc_id, array_to_string(w[i : i + n - 1], ' ') AS g FROM docs,
+           unnest({list(range(1, importance.MOST_WORDS + 1))}) s(n), unnest(range(1, len(w) - n + 2)) u(i)),
+wanted AS (SELECT array_to_string(w[i : i + n - 1], ' ') AS g FROM items,
+           unnest({list(range(1, importance.MOST_WORDS + 1))}) s(n), unnest(range(1, len(w) - n + 2)) u(i)),
+counted AS (SELECT doc_id, g, count(*) AS n FROM runs GROUP BY ALL),
+target AS (SELECT g, count(*) AS n FROM wanted GROUP BY g),
+spelt AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM counted UNION SELECT g FROM target) t),
+sums AS (SELECT g, xor(list_reduce(list_prepend(4294967295,
+             list_transform(range(1, length(h), 2), lambda i: CAST('0x' || h[i : i + 1] AS BIGINT))),
+           lambda a, x: xor(crcs[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) % {importance.BUCKETS} AS bucket FROM spelt, bytes),
+s AS (SELECT bucket, sum(n) AS s FROM counted JOIN sums USING (g) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM target JOIN sums USING (g) GROUP BY bucket),
+totals AS (SELECT CAST((SELECT coalesce(sum(s), 0) FROM s) + {importance.BUCKETS} AS DOUBLE) AS all_s,
+             CAST((SELECT coalesce(sum(t), 0) FROM t) + {importance.BUCKETS} AS DOUBLE) AS all_t),
+gains AS (SELECT bucket, CAST(floor(1000 * ln(
+            CAST(coalesce(t, 0) + 1 AS DOUBLE) * all_s / (CAST(s + 1 AS DOUBLE) * all_t))) AS BIGINT) AS gain
+          FROM s LEFT JOIN t USING (bucket), totals),
+weights AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight
+            FROM counted JOIN sums USING (g) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features,
+             CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+             (CAST('0x' || substr(sha256('{importance.SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+           FROM docs LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+           FROM scored WHERE n_words >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= {importance.PERCENT} * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
 def _licences() -> str:
     """Runs of words met as texts, voted on by diagonal, neighbouring diagonals merged."""
     rows = ", ".join(
@@ -212,5 +250,5 @@ FROM docs LEFT JOIN verified USING (doc_id) GROUP BY doc_id"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": LINES, "op4_source_mix": MIX, "op7_secrets": _secrets(), "op9_decontaminate": PASSAGES,
-        "op10_url_filter": _urls(), "op13_licenses": _licences(),
+        "op10_url_filter": _urls(), "op11_importance": _importance(), "op13_licenses": _licences(),
     }
