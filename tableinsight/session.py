@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":  # nor in the processes of local-cluster
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     return tempfile.mkdtemp(prefix="tableinsight-")
 
