@@ -88,9 +88,13 @@ def _range_of(value: Column, borders: list) -> Column:
         return F.lit(0)
     steps = F.array(*[F.lit(1 << k) for k in range(len(borders).bit_length() - 1, -1, -1)])
     known = F.array(*[F.lit(b) for b in borders])
-    return F.aggregate(
-        steps, F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) < value, at + step).otherwise(at)
-    )
+
+    def ahead(state: Column, step: Column) -> Column:
+        at, v = state["at"], state["v"]
+        return F.struct(F.when(F.get(known, at + step - 1) < v, at + step).otherwise(at).alias("at"), v.alias("v"))
+
+    # The value is part of the state: a lambda over a column would be lost where the optimiser moves it.
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), value.alias("v")), ahead, lambda state: state["at"])
 
 
 def trailing_zscore(
