@@ -1,7 +1,8 @@
-"""Row counts per file, without loading the rows."""
+"""Row counts per file or folder of files, without loading the rows."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,33 @@ def _with_empty(spark: SparkSession, paths: list[str], counts: DataFrame) -> Dat
     return listed.join(counts, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _spelled(spark: SparkSession, path: str) -> str:
+    """A path as a whole URI, percent-encoded as in file metadata."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return re.sub("^file:/+", "file:///", whole.toUri().toString())
+
+
+def _per_path(spark: SparkSession, paths: list[str], counts: DataFrame) -> DataFrame:
+    """The files of a folder that was asked for count as one; a file found by a pattern stays on its own."""
+    asked = spark.createDataFrame([(p,) for p in {_spelled(spark, p) for p in paths}], "above string")
+    # Local paths begin with one slash or three, by who spells them.
+    local = F.regexp_replace("path", "^file:/+", "file:///")
+    parts = F.split(local, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    # All that match begin the same path, so the largest is the longest.
+    owned = counts.select("path", "n", F.explode(above).alias("above")).join(
+        asked.withColumn("asked", F.col("above")), "above", "left"
+    ).groupBy("path").agg(F.max("asked").alias("asked"), F.first("n").alias("n"))
+    folder = F.when(F.col("asked") != local, F.col("asked"))  # a file keeps its path to the letter
+    return owned.groupBy(F.coalesce(folder, "path").alias("path")).agg(F.sum("n").alias("n"))
+
+
 def file_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, n)`` for CSV, Parquet and JSON-lines files, each read as what it is."""
+    """``(path, n)`` for CSV, Parquet and JSON-lines files, each read as what it is; one row for a folder."""
     by_kind: dict[str, list[str]] = {}
     for path in paths:
-        by_kind.setdefault(extension(path), []).append(path)
+        by_kind.setdefault(extension(path.rstrip("/")), []).append(path)
     frames = []
     if csv := by_kind.get(".csv"):
         frames.append(csv_row_counts(spark, csv))
@@ -80,4 +103,4 @@ def file_row_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
         frames.append(_with_empty(spark, json, _per_file(filled)))
     if not frames:
         return spark.createDataFrame([], COUNT_SCHEMA)
-    return reduce(DataFrame.unionByName, frames)
+    return _per_path(spark, paths, reduce(DataFrame.unionByName, frames))

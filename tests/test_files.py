@@ -71,6 +71,20 @@ def test_leading_zeros_survive_the_robust_read(spark, tmp_path):
     assert read_csv_robust(spark, str(tmp_path / "zip.csv"))[0].first().zip == "00501"
 
 
+def test_a_folder_of_parts_counts_as_one(spark, tmp_path):
+    spark.range(0, 50, 1, 4).write.parquet(str(tmp_path / "my table 1%.parquet"))
+    spark.range(0, 30, 1, 3).selectExpr("id", "concat(id, ' %') AS note").write.options(**CSV_WRITE).csv(
+        str(tmp_path / "lines.csv")
+    )
+    spark.range(7).coalesce(1).write.json(str(tmp_path / "one"))
+    (part,) = (tmp_path / "one").glob("part-*.json")
+    paths = [f"{tmp_path}/my table 1%.parquet/", f"file:{tmp_path}/lines.csv", str(part)]
+    counts = {r.path.rsplit("/", 1)[1]: r.n for r in file_row_counts(spark, paths).collect()}
+    assert counts == {"my%20table%201%25.parquet": 50, "lines.csv": 30, part.name: 7}
+    found = file_row_counts(spark, [f"{tmp_path}/lines.csv/part-*.csv"]).collect()
+    assert (len(found), sum(r.n for r in found)) == (3, 30)
+
+
 def test_row_counts(spark, tmp_path):
     (tmp_path / "plain.csv").write_text("a,b\n1,2\n3,4\n\n")
     (tmp_path / "header.csv").write_text("a,b\n")
