@@ -147,9 +147,14 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, Dialect]
     rows = found.collect()  # one row per file; the file listing itself is already held by the driver
     delimiters = {r.path: r.i for r in rows}
     if broken := [readable_path(r.path) for r in rows if r.broken]:
-        parts = in_records(with_quotes(text_lines(spark, broken), DELIMITERS))
-        outside = F.when(F.col("open"), F.col("out_open")).otherwise(F.col("out_closed"))
-        each = parts.select("path", "record", _delimiter_counts(outside).alias("c"))
+        # Counted before lines are put in order, so that no text is moved for it.
+        counted = with_quotes(text_lines(spark, broken), DELIMITERS).select(
+            "path", "block", "line", "to_closed", "to_open", F.when(filled(), F.lit("x")).otherwise(F.lit("")).alias("value"),
+            _delimiter_counts(F.col("out_closed")).alias("closed"), _delimiter_counts(F.col("out_open")).alias("opened"),
+        )
+        each = in_records(counted).select(
+            "path", "record", F.when(F.col("open"), F.col("opened")).otherwise(F.col("closed")).alias("c")
+        )
         sums = F.array(*[F.sum(F.col("c")[i]) for i in range(len(DELIMITERS))])
         by_record = each.groupBy("path", "record").agg(sums.alias("counts"))
         delimiters |= {r.path: r.i for r in _best(by_record).collect()}
