@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableinsight.llm.common import stored
+from tableinsight.llm.common import in_arrow, stored
+
+FOREST_EDGES = 1 << 18  # edges a task holds at a time
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -22,27 +27,70 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Every edge has u > v here."""
     low = _minima(edges)
     moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(low.select("u", F.col("m").alias("v")))
+
+
+def _least_of_each(edges: dict[tuple, None]) -> dict:
+    """The smallest node that each node is joined with by these edges."""
+    above = {}
+
+    def root(node):
+        path = []
+        while (up := above.setdefault(node, node)) != node:
+            path.append(node)
+            node = up
+        above.update(dict.fromkeys(path, node))
+        return node
+
+    for u, v in edges:
+        low, high = sorted((root(u), root(v)))
+        above[high] = low
+    return {node: root(node) for node in above}
+
+
+def _forester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to the smallest node of what a run of edges joins: never more than came in."""
+
+    def out(edges: dict[tuple, None]) -> pa.RecordBatch:
+        stars = [(u, v) for u, v in _least_of_each(edges).items() if u != v]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in stars], kind) for k in (0, 1)], names=["u", "v"])
+
+    held: dict[tuple, None] = {}
+    for batch in batches:
+        kind = batch.column("u").type
+        held.update(dict.fromkeys(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)))
+        if len(held) >= FOREST_EDGES:
+            yield out(held)
+            held = {}
+    if held:
+        yield out(held)
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    return in_arrow(edges.select("u", "v"), _forester, edges.select("u", "v").schema)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down at most, and none where another ends."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter(
+        "down + up > 1"
+    ).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for all nodes of (a, b) links.
 
-    Large-star and small-star rounds: each round is a few shuffles of the links, the number of
-    rounds grows with the logarithm of the longest chain. Every round is written to the shared
-    folder.
+    Large-star and small-star rounds until all components are stars. What the edges of a task join
+    is joined in it beforehand, so the rounds are left with what spans tasks: a few shuffles of the
+    links each, their number grows with the logarithm of the longest chain. Every round is written
+    to the shared folder.
     """
-    edges = stored(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "links",
-    )
-    size = None
-    while True:
-        check = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if check == size:
-            break
-        size = check
-        edges = stored(_small_star(_large_star(edges)), "links")
+    edges = stored(_forests(links.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    while not _stars(edges):
+        edges = stored(_forests(_small_star(_large_star(edges))), "links")
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         roots.select("node", F.col("node").alias("root"))

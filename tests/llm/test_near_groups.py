@@ -2,11 +2,13 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 from cases import frame
 from test_passages_vectors import near_classes
 
-from tableinsight.llm import near_dup
+from tableinsight.llm import components, near_dup
+from tableinsight.llm.common import scratch
 
 
 def some_words(n, rng):
@@ -77,3 +79,27 @@ def test_a_large_group_around_the_similarity_is_as_by_brute_force(spark):
             copy[at] = some_words(1, rng)[0]
         docs.append((i, " ".join(copy), "xx", "s", 1))
     assert found_classes(spark, docs) == near_classes(docs)
+
+
+def test_only_what_the_result_reads_stays_on_disk(spark):
+    rng = random.Random(35)
+    base, docs = some_words(100, rng), []
+    for i in range(30):
+        copy = list(base)
+        copy[3 * i] = some_words(1, rng)[0]
+        docs.append((i, " ".join(copy), "xx", "s", 1))
+    with scratch(spark) as written:
+        found = near_dup.near_duplicates(frame(spark, docs))
+        left = sorted(Path(p).name.rsplit("-", 1)[0] for p in written if Path(p).exists())
+        assert left == ["near-sketches", "near-state"]
+        assert {r.class_id for r in found.collect()} == {0}
+
+
+def test_components_across_small_forests(spark, monkeypatch):
+    """Whatever a task joins beforehand, nothing is lost between tasks."""
+    monkeypatch.setattr(components, "FOREST_EDGES", 3)
+    chain = [(i, i + 1) for i in range(40)] + [(200 - i, 200) for i in range(1, 40)] + [(7, 7), (300, 300)]
+    random.Random(36).shuffle(chain)
+    rows = spark.createDataFrame(chain, "a long, b long").repartition(9)
+    roots = {r.node: r.root for r in components.components(rows).collect()}
+    assert roots == {i: 0 for i in range(41)} | {i: 161 for i in range(161, 201)}
