@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +39,7 @@ class LoadedTable:
 class Dialect:
     encoding: str
     delimiter: str
+    broken: bool = field(default=False, compare=False)  # whether line breaks are inside quotes
 
 
 def _types(*schemas: T.StructType) -> T.StructType:
@@ -122,8 +123,10 @@ def _delimiter_counts(text: Column) -> Column:
 
 
 def _best(records: DataFrame) -> DataFrame:
-    """``path, i``: the delimiter that occurs equally often in (nearly) all records, from ``path, counts``."""
-    counted = records.select("path", F.posexplode("counts").alias("i", "n")).groupBy("path", "i", "n").count()
+    """``path, i``: the delimiter that occurs equally often in (nearly) all records, from ``path, counts, lines``."""
+    counted = records.select("path", "lines", F.posexplode("counts").alias("i", "n")).groupBy("path", "i", "n").agg(
+        F.sum("lines").alias("count")
+    )
     per_delimiter = counted.groupBy("path", "i").agg(
         F.max_by("n", F.struct("count", "n")).alias("n"), (F.max("count") / F.sum("count")).alias("share")
     )
@@ -140,10 +143,13 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, Dialect]
     occurrences: a few rows per delimiter.
     """
     lines = with_quotes(text_lines(spark, paths), DELIMITERS).where(filled())
-    kinds = lines.groupBy("path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), (F.max("to_closed") > 0).alias("broken")
-    )
-    found = kinds.join(_best(lines.select("path", _delimiter_counts(F.col("out_closed")).alias("counts"))), "path", "left")
+    # One scan for all: lines that are alike in what is asked of them are one row.
+    alike = lines.select(
+        "path", _delimiter_counts(F.col("out_closed")).alias("counts"), F.is_valid_utf8("value").alias("utf8"),
+        (F.col("to_closed") > 0).alias("broken"),
+    ).groupBy("path", "counts", "utf8", "broken").agg(F.count(F.lit(1)).alias("lines"))
+    kinds = alike.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("broken").alias("broken"))
+    found = kinds.join(_best(alike.select("path", "counts", "lines")), "path", "left")
     rows = found.collect()  # one row per file; the file listing itself is already held by the driver
     delimiters = {r.path: r.i for r in rows}
     if broken := [readable_path(r.path) for r in rows if r.broken]:
@@ -156,11 +162,12 @@ def detect_dialects(spark: SparkSession, paths: list[str]) -> dict[str, Dialect]
             "path", "record", F.when(F.col("open"), F.col("opened")).otherwise(F.col("closed")).alias("c")
         )
         sums = F.array(*[F.sum(F.col("c")[i]) for i in range(len(DELIMITERS))])
-        by_record = each.groupBy("path", "record").agg(sums.alias("counts"))
+        by_record = each.groupBy("path", "record").agg(sums.alias("counts"), F.lit(1).alias("lines"))
         delimiters |= {r.path: r.i for r in _best(by_record).collect()}
     return {
         readable_path(r.path): Dialect(
-            UTF8 if r.utf8 else LATIN1, DEFAULT_DELIMITER if delimiters[r.path] is None else DELIMITERS[delimiters[r.path]]
+            UTF8 if r.utf8 else LATIN1, DEFAULT_DELIMITER if delimiters[r.path] is None else DELIMITERS[delimiters[r.path]],
+            r.broken,
         )
         for r in rows
     }
@@ -170,7 +177,9 @@ def read_csv_robust(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """One CSV table as text columns, and its encoding; each file of a folder is read in its own."""
     found = detect_dialects(spark, [path])
     encodings = {d.encoding for d in found.values()} or {UTF8}
-    frame = _read_dialects(spark, found) if found else _read_text(spark, [path], Dialect(UTF8, DEFAULT_DELIMITER))
+    frame = _read_dialects(spark, found) if found else _read_text(
+        spark, _by_line_breaks(spark, [path]), Dialect(UTF8, DEFAULT_DELIMITER)
+    )
     return frame, LATIN1 if LATIN1 in encodings else UTF8
 
 
@@ -180,14 +189,17 @@ def read_many_robust(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _read_dialects(spark: SparkSession, found: dict[str, Dialect]) -> DataFrame:
-    groups: dict[Dialect, list[str]] = {}
+    groups: dict[Dialect, dict[bool, list[str]]] = {}
     for file, dialect in found.items():
-        groups.setdefault(dialect, []).append(file)
-    frames = [_read_text(spark, files, dialect) for dialect, files in groups.items()]
+        groups.setdefault(dialect, {True: [], False: []})[dialect.broken].append(file)
+    frames = [
+        _read_text(spark, [(broken, some) for broken, some in files.items() if some], dialect)
+        for dialect, files in groups.items()
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _read_text(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
-    parts = [_Files(spark, broken, files, dialect) for broken, files in _by_line_breaks(spark, paths)]
+def _read_text(spark: SparkSession, files: list[tuple[bool, list[str]]], dialect: Dialect) -> DataFrame:
+    parts = [_Files(spark, broken, some, dialect) for broken, some in files]
     frames = [p.read(p.schema(infer=False)) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

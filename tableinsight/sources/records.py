@@ -119,17 +119,25 @@ def in_records(lines: DataFrame) -> DataFrame:
     ).filter(F.col("open") | filled())
 
 
+def _joined(order: str) -> Column:
+    parts = F.sort_array(F.collect_list(F.struct(order, "value")))
+    return F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("text")
+
+
+def within_blocks(lines: DataFrame) -> DataFrame:
+    """``path, block, record, text, whole``: what a block holds of each record, put together where the
+    lines of the block are. Only what is not whole moves once more, to meet by record."""
+    whole = F.bool_or(~F.col("open")) & F.bool_or("closes")
+    return lines.groupBy("path", "block", "record").agg(_joined("line"), whole.alias("whole"))
+
+
 def records(spark: SparkSession, paths: list[str], delimiters: list[str], encoding: str = "UTF-8") -> DataFrame:
     """``path, record, text``: each record whole, line breaks in fields as they are in the file."""
     lines = in_records(with_quotes(text_lines(spark, paths), delimiters)).select(
         "path", "block", "line", "record", "open", "closes",
         (F.col("value") if encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)).alias("value"),
     )
-    whole = F.col("closes") & ~F.col("open")
-    single = lines.filter(whole).select("path", "record", F.col("value").alias("text"))
-    parts = F.sort_array(F.collect_list(F.struct("block", "line", "value")))
-    broken = lines.filter(~whole).groupBy("path", "record").agg(
-        F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("text")
-    )
+    within = within_blocks(lines)
+    across = within.filter(~F.col("whole")).withColumnRenamed("text", "value").groupBy("path", "record").agg(_joined("block"))
     text = F.when(F.col("text").endswith("\r"), F.expr("substring(text, 1, length(text) - 1)")).otherwise(F.col("text"))
-    return single.unionByName(broken).withColumn("text", text)
+    return within.filter("whole").select("path", "record", "text").unionByName(across).withColumn("text", text)

@@ -11,7 +11,7 @@ import pytest
 
 from tableinsight.sources.csv import CSV_READ, Dialect, detect_dialects, read_csv, read_csv_robust, read_many_robust
 from tableinsight.sources.files import DELIMITERS, csv_row_counts
-from tableinsight.sources.records import block_states, records, text_lines, with_quotes
+from tableinsight.sources.records import block_states, in_records, records, text_lines, with_quotes, within_blocks
 
 
 @contextmanager
@@ -145,3 +145,37 @@ def test_broken_and_plain_files_together(spark, tmp_path):
     (tmp_path / "c.csv").write_text('id,t\n3.5,"p\nq"\n')
     assert dict(read_csv(spark, str(tmp_path)).dtypes) == {"id": "double", "t": "string"}
     assert detect_dialects(spark, [str(tmp_path / "a.csv")]).popitem()[1] == Dialect("utf-8-sig", ",")
+
+
+def test_only_records_across_blocks_move_twice(spark, tmp_path):
+    """The lines of a record meet in their block; of 400 records a block border cuts one at most."""
+    texts = [f"{i} first line\n\nsecond, {'x' * (i % 90)} \"\" line" for i in range(400)]
+    data = "id,note\n" + "".join(f'{i},"{t}"\n' for i, t in enumerate(texts))
+    (tmp_path / "a.csv").write_text(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(data) // 5))
+    try:
+        lines = in_records(with_quotes(text_lines(spark, [str(tmp_path)]), [","]))
+        within = within_blocks(lines)
+        plan = within._jdf.queryExecution().executedPlan().toString()
+        assert "record" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+        blocks = within.select("block").distinct().count()
+        assert blocks > 3
+        assert within.filter("not whole").count() <= 2 * (blocks - 1)
+        got = {r.record: r.text for r in records(spark, [str(tmp_path)], [","]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {0: "id,note"} | {i + 1: f'{i},"{t}"' for i, t in enumerate(texts)}
+
+
+def test_line_breaks_are_told_with_the_dialect(spark, tmp_path, monkeypatch):
+    """One pass over the lines of a file finds encoding, delimiter and line breaks in fields."""
+    (tmp_path / "a.csv").write_text('id;note\n1;"a\nb"\n')
+    (tmp_path / "b.csv").write_text("id;note\n2;c\n")
+
+    def again(*_):
+        raise AssertionError("the files are read once more")
+
+    monkeypatch.setattr("tableinsight.sources.csv.files_with_open_quotes", again)
+    frame, _ = read_csv_robust(spark, str(tmp_path))
+    assert sorted(map(tuple, frame.collect())) == [("1", "a\nb"), ("2", "c")]
