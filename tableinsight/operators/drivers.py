@@ -17,6 +17,9 @@ SIGNIFICANT_TEXT = "significatif"
 NOT_SIGNIFICANT_TEXT = "non significatif"
 NO_FINDING_TEXT = "Aucune observation disponible."
 
+# Rows of an entity up to which they are brought together in one task.
+LARGE_ENTITY_ROWS = 100_000
+
 _COUNT_SCHEMA = "dimension string, category string, n bigint"
 _TEST_SCHEMA = (
     "dimension string, status string, n_categories bigint, chi2 double, p_value double, "
@@ -31,25 +34,42 @@ class DriverAnalysis:
 
 
 def _category_counts(df: DataFrame, dimensions: list[str], entity: str | None) -> DataFrame:
-    """``(dimension, category, n)`` for all dimensions from one scan and one distinct count.
+    """``(dimension, category, n)`` for all dimensions.
 
-    The distinct count first groups by (dimension, category, entity), so a category or an entity
-    that holds a third of the rows is spread and pre-aggregated like any other.
+    The rows of an entity meet first, narrow as they are, so its categories are told apart where it
+    is and only counts move on. Rows without an entity, and those of an entity that has very many,
+    are not brought together: there (dimension, category, entity) is pre-aggregated and shuffled, so
+    no category or entity is ever whole in one task.
     """
-    ids = []
-    if entity:
-        ids.append(compact_key(col(entity), df.schema[entity].dataType).alias("entity"))
     # Positional names: a header may contain anything, the dimension column carries the real name.
     slots = [f"d{i}" for i in range(len(dimensions))]
     categories = [col(d).cast("string").alias(s) for d, s in zip(dimensions, slots)]
-    long = df.select(*ids, *categories).unpivot(
-        ["entity"] if entity else [], slots, "slot", "category"
-    )
-    value = F.count_distinct("entity") if entity else F.count(F.lit(1))
-    counts = long.groupBy("slot", "category").agg(value.alias("n"))
+    if entity:
+        rows = df.select(compact_key(col(entity), df.schema[entity].dataType).alias("entity"), *categories)
+        large = F.broadcast(
+            rows.where("entity IS NOT NULL").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > LARGE_ENTITY_ROWS).select("entity")
+        )
+        # As many tasks as a shuffle has: each row becomes one a dimension there, which sizes do not tell.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = rows.where("entity IS NOT NULL").join(large, "entity", "left_anti").repartition(parts, "entity")
+        apart = rows.where("entity IS NULL").unionByName(rows.join(large, "entity", "left_semi"))
+        each = [_pairs(part, slots).distinct() for part in (met, apart)]
+        value = F.count("entity")
+        counted = [part.groupBy("slot", "category").agg(value.alias("n")) for part in each]
+        counts = counted[0].unionByName(counted[1]).groupBy("slot", "category").agg(F.sum("n").alias("n"))
+    else:
+        long = df.select(*categories).unpivot([], slots, "slot", "category")
+        counts = long.groupBy("slot", "category").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(_real_name(dimensions), "category", "n")
 
 
+def _pairs(rows: DataFrame, slots: list[str]) -> DataFrame:
+    """``slot, category, entity``. Unlike an unpivot, rows stay known to be where their entity is."""
+    each = F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("category")) for s in slots])
+    return rows.select("entity", F.inline(each)).select("slot", "category", "entity")
+
+
 def _real_name(dimensions: list[str]):
     names = F.array(*[F.lit(d) for d in dimensions])
     index = F.substring("slot", 2, 10).cast("int")

@@ -410,3 +410,21 @@ def test_describe_long_texts(spark):
     }
     plan = spark.createDataFrame([(same + "a",)], "t string")
     assert describe_text(plan).first().top == same + "a"
+
+
+def test_categories_are_counted_where_their_entity_is(spark, monkeypatch):
+    """Entities of few rows meet once; those of many rows, and rows without one, are not brought together."""
+    monkeypatch.setattr("tableinsight.operators.drivers.LARGE_ENTITY_ROWS", 5)
+    rows = [(i % 40, f"c{i % 7}" if i % 11 else None, float(i % 3)) for i in range(160)]
+    rows += [(500, f"c{i % 9}", float(i % 4)) for i in range(60)] + [(None, f"n{i % 2}", 9.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, kind string, size double")
+    found = driver_analysis(df, "id", ["kind", "size"]).breakdown
+    expected = {("kind", k): set() for _, k, _ in rows} | {("size", str(s)): set() for _, _, s in rows}
+    for i, kind, size in rows:
+        for key in (("kind", kind), ("size", str(size))):
+            expected[key] |= {i} - {None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.dimension, r.category): r.n for r in found.collect()} == {k: len(v) for k, v in expected.items()}
+    # Pairs move with their entity only in the part that is not brought together.
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(slot" in x and "entity" in x]
+    assert "REPARTITION_BY_NUM" in plan and len(moved) == 1
