@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,26 +49,28 @@ def _least_of_each(edges: dict[tuple, None]) -> dict:
     return {node: root(node) for node in above}
 
 
-def _forester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to the smallest node of what a run of edges joins: never more than came in."""
+def _forester(batches: Iterator[pa.RecordBatch], most: int, roots: bool) -> Iterator[pa.RecordBatch]:
+    """Edges to the smallest node of what a run of ``most`` edges joins, never more than came in; and
+    with ``roots`` one from that node to itself."""
 
     def out(edges: dict[tuple, None]) -> pa.RecordBatch:
-        stars = [(u, v) for u, v in _least_of_each(edges).items() if u != v]
+        stars = [(u, v) for u, v in _least_of_each(edges).items() if roots or u != v]
         return pa.RecordBatch.from_arrays([pa.array([e[k] for e in stars], kind) for k in (0, 1)], names=["u", "v"])
 
     held: dict[tuple, None] = {}
     for batch in batches:
         kind = batch.column("u").type
         held.update(dict.fromkeys(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)))
-        if len(held) >= FOREST_EDGES:
+        if len(held) >= most:
             yield out(held)
             held = {}
     if held:
         yield out(held)
 
 
-def _forests(edges: DataFrame) -> DataFrame:
-    return in_arrow(edges.select("u", "v"), _forester, edges.select("u", "v").schema)
+def _forests(edges: DataFrame, roots: bool = False) -> DataFrame:
+    work = partial(_forester, most=FOREST_EDGES, roots=roots)
+    return in_arrow(edges.select("u", "v"), work, edges.select("u", "v").schema)
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -83,12 +86,14 @@ def _stars(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for all nodes of (a, b) links.
 
-    Large-star and small-star rounds until all components are stars. What the edges of a task join
-    is joined in it beforehand, so the rounds are left with what spans tasks: a few shuffles of the
-    links each, their number grows with the logarithm of the longest chain. Every round is written
-    to the shared folder.
+    What the edges of a task join is joined in it. If fewer than ``FOREST_EDGES`` edges are left by
+    that, one more forest has them all and is the result. Else large-star and small-star rounds
+    until all components are stars: a few shuffles of the links each, their number grows with the
+    logarithm of the longest chain. Every round is written to the shared folder.
     """
     edges = stored(_forests(links.filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    if edges.count() < FOREST_EDGES:
+        return _forests(edges.coalesce(1), roots=True).select(F.col("u").alias("node"), F.col("v").alias("root"))
     while not _stars(edges):
         edges = stored(_forests(_small_star(_large_star(edges))), "links")
     roots = edges.select(F.col("v").alias("node")).distinct()

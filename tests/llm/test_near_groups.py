@@ -103,3 +103,30 @@ def test_components_across_small_forests(spark, monkeypatch):
     rows = spark.createDataFrame(chain, "a long, b long").repartition(9)
     roots = {r.node: r.root for r in components.components(rows).collect()}
     assert roots == {i: 0 for i in range(41)} | {i: 161 for i in range(161, 201)}
+
+
+def test_rounds_take_few_shuffles(spark):
+    """A stage that reads a shuffle has as many tasks as partitions, however small its tables are."""
+    rng = random.Random(37)
+    base, docs = some_words(100, rng), []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(3, 97), 3):
+            copy[at] = some_words(1, rng)[0]
+        docs.append((i, " ".join(copy), "xx", "s", 1))
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("near-rounds", "near-rounds")
+        assert found_classes(spark, docs) == near_classes(docs)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    told = context.statusTracker()
+    stages = {s for job in told.getJobIdsForGroup("near-rounds") for s in told.getJobInfo(job).stageIds}
+    ran = [info for s in stages if (info := told.getStageInfo(s)) and info.numCompletedTasks]
+    assert len(ran) <= 115  # 144 with state, sizes and distinct pairs shuffled apart
