@@ -137,36 +137,45 @@ class Encoder:
     def _model_ids(self, word: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(SPACE_MARK + word)]
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words as they stand in a text: each with its space or line end, or neither."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words as they stand in a text, each with its space or line end, or neither; and
+        where in them each word's ids start and how many they are."""
+        at, size = np.zeros((2, len(words)), dtype=np.int64)
+        direct, stops, found = [], [0], []
         rest: list[int] = []
+        tokenize, marks, none = self.tokenizer.model.tokenize, self.marks, []
         for n, word in enumerate(words):
             # A mark after letters is a unit of its own.
-            mark = self.marks.get(word[-1:], [])
+            mark = marks.get(word[-1:], none)
             letters = word[1:-1] if mark else word[1:]
             if self.direct and word[:1] == b" " and letters.isalpha():
-                out[n] = np.array(self._model_ids(letters.decode()) + mark, dtype="<u2")
+                found += [t.id for t in tokenize(SPACE_MARK + letters.decode())]
+                found += mark
+                direct.append(n)
+                stops.append(len(found))
             else:
                 rest.append(n)
-        for at in range(0, len(rest), LINES_AT_ONCE):
-            part = rest[at : at + LINES_AT_ONCE]
-            lines = [words[n].removeprefix(b"\n").decode() for n in part]
-            ids = self._ids("\n".join(lines))
-            ends = np.flatnonzero(ids == self.line_end)
-            starts = np.concatenate(([0], ends + 1))
-            for n, a, b in zip(part, starts, [*ends, len(ids)], strict=True):
-                # A line end is one token, at the start of the word that it came with.
-                out[n] = ids[a - 1 : b] if words[n][:1] == b"\n" and a else (
-                    np.concatenate(([self.line_end], ids[a:b])) if words[n][:1] == b"\n" else ids[a:b]
-                )
-        return out
+        at[direct], size[direct] = stops[:-1], np.diff(stops)
+        out, held = [np.array(found, dtype="<u2")], len(found)
+        for first in range(0, len(rest), LINES_AT_ONCE):
+            part = rest[first : first + LINES_AT_ONCE]
+            after_end = np.array([words[n][:1] == b"\n" for n in part])
+            lines = "\n".join([words[n].removeprefix(b"\n").decode() for n in part])
+            # A line end is one token, at the start of the word that it came with; one more is before all.
+            ids = np.concatenate(([self.line_end], self._ids(lines))).astype("<u2")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) != len(part) + 1:
+                raise ValueError("words and line ends are not encoded apart")
+            at[part] = held + ends[:-1] + 1 - after_end
+            size[part] = np.diff(ends) - 1 + after_end
+            out.append(ids)
+            held += len(ids)
+        return np.concatenate(out), at, size
 
     def _learn(self, keys: np.ndarray, second: np.ndarray, words: list[bytes]) -> None:
-        ids = self._encode(words)
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate((self.ids, *ids)).astype("<u2")
+        ids, at, size = self._encode(words)
+        at += len(self.ids)
+        self.ids = np.concatenate((self.ids, ids))
         place = np.searchsorted(self.keys, keys)
         self.keys, self.second, self.at, self.size = (
             np.insert(old, place, new) for old, new in
@@ -185,7 +194,8 @@ class Encoder:
                 self._forget()
                 fresh = np.arange(len(keys))
             raw = texts.data.tobytes()
-            words = [raw[starts[i] : ends[i]] for i in sample[fresh]]
+            new = sample[fresh]
+            words = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
             self._learn(keys[fresh], again[sample[fresh]], words)
             at = self._find(keys, again[sample])
         # Words of equal first hash and other second hash: such texts are encoded whole.

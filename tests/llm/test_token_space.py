@@ -36,3 +36,12 @@ def test_stored_ids_are_those_of_the_unaltered_tokenizer(spark, tokenizer):
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_words_are_learned_as_places_in_one_array(tokenizer):
+    """No array a word: direct words first, then whole lines with their line ends."""
+    encode = token_store.Encoder(catalog.tokenizer_path())
+    words = [b"\nfirst", b" plain", b" marked,", b" caf\xc3\xa9", b"\n2024.", b"bare", b" x1y", b" Zwei;"]
+    ids, at, size = encode._encode(words)
+    for word, a, n in zip(words, at, size, strict=True):
+        assert ids[a : a + n].tolist() == tokenizer.encode(word.decode(), add_special_tokens=False).ids, word
