@@ -48,6 +48,12 @@ _OTHER = 0xC2B2AE3D27D4EB4F
 _tables: dict[str, np.ndarray] = {}
 
 
+def forget_long() -> None:
+    """Tables that outgrew a slice go; the next long text makes them again."""
+    for name in [name for name, table in _tables.items() if len(table) > SLICE_BYTES + 1]:
+        del _tables[name]
+
+
 def _table(name: str, base: int, n: int) -> np.ndarray:
     if name not in _tables or len(_tables[name]) < n:
         _tables[name] = _powers(base, max(n, SLICE_BYTES + 1))
@@ -139,7 +145,10 @@ def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     for name, base, values in (("powers", _BASE, _EXACT), ("others", _OTHER, _EXACT[::-1])):
         inverse = "inverse" if name == "powers" else "other inverse"
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values[data] * _table(name, base, n + 1)[:n], out=sums[1:])
+        terms = values[data]
+        terms *= _table(name, base, n + 1)[:n]
+        np.cumsum(terms, out=sums[1:])
+        del terms
         out.append(mixed((sums[ends] - sums[starts]) * _table(inverse, pow(base, -1, 1 << 64), n + 1)[starts]))
     for i, digest in _long_runs(data, starts, ends, lower=False):
         out[0][i], out[1][i] = digest

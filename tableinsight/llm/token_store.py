@@ -37,7 +37,7 @@ from tableinsight.llm.common import in_arrow, stored
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
-MEMO_WORDS = 1_000_000  # per worker, about 40 bytes each; a full memo starts again
+MEMO_WORDS = 1_000_000  # per worker, about 32 bytes each; a full memo starts again
 LINES_AT_ONCE = 2000
 SPACE_MARK = "\u0120"  # fixed value: how byte-level vocabularies write a space
 TEXTS_CHARS = 1 << 20
@@ -126,8 +126,8 @@ class Encoder:
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.second = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        self.at = np.zeros(0, dtype=np.uint32)
+        self.size = np.zeros(0, dtype=np.uint32)
         self.ids = np.zeros(0, dtype="<u2")
 
     def _ids(self, text: str) -> np.ndarray:
@@ -177,10 +177,9 @@ class Encoder:
         at += len(self.ids)
         self.ids = np.concatenate((self.ids, ids))
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.second, self.at, self.size = (
-            np.insert(old, place, new) for old, new in
-            ((self.keys, keys), (self.second, second), (self.at, at), (self.size, size))
-        )
+        # One after the other: no second copy of the whole memo.
+        for name, new in (("keys", keys), ("second", second), ("at", at), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), place, new))
 
     def _plain(self, texts: bytetext.Texts) -> list[np.ndarray]:
         """Texts whose white space is single spaces and line ends between words, by the memo."""
@@ -203,7 +202,7 @@ class Encoder:
             raw = texts.data.tobytes()
             return [self._ids(raw[a:b].decode()) for a, b in zip(texts.offsets[:-1], texts.offsets[1:], strict=True)]
         at = at[number]
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         begin = np.cumsum(size) - size
         ids = self.ids[np.repeat(self.at[at] - begin, size) + np.arange(int(size.sum()))]
         cuts = np.append(begin, len(ids))[np.searchsorted(starts, texts.offsets)]

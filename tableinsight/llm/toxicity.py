@@ -59,12 +59,15 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic, clean): documents of either label that hold each term, summed as they come."""
     def summed(kinds: list[list[np.ndarray]]) -> pa.RecordBatch:
         empty = np.zeros(0, dtype=np.uint64)
-        bad, good = (np.concatenate([empty, *k]) for k in kinds)
-        terms, place = np.unique(np.concatenate((bad, good)), return_inverse=True)
+        # Each kind is sorted by itself: no order and no places of all terms are held beside them.
+        found = [np.unique(np.concatenate([empty, *k]), return_counts=True) for k in kinds]
+        terms = np.sort(np.concatenate([held for held, _ in found]))
+        terms = terms[np.concatenate(([True], terms[1:] != terms[:-1]))[: len(terms)]]
+        counts = np.zeros((2, len(terms)), dtype=np.int64)
+        for own, (held, n) in zip(counts, found, strict=True):
+            own[np.searchsorted(terms, held)] = n
         return pa.RecordBatch.from_arrays(
-            [pa.array(terms.view(np.int64)),
-             pa.array(np.bincount(place[: len(bad)], minlength=len(terms)).astype(np.int64)),
-             pa.array(np.bincount(place[len(bad) :], minlength=len(terms)).astype(np.int64))],
+            [pa.array(terms.view(np.int64)), pa.array(counts[0]), pa.array(counts[1])],
             names=["term", "toxic", "clean"],
         )
 
