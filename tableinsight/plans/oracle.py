@@ -216,8 +216,8 @@ def oracle_sql() -> dict[str, str]:
             _union(
                 [
                     _shares("lineitem", c, "count(DISTINCT l_orderkey)")
-                    for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
-                              "l_tax", "l_returnflag", "l_linestatus")
+                    for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                              "l_discount", "l_tax", "l_returnflag", "l_linestatus")
                 ]
             )
         )

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date, timedelta
 
 import pytest
@@ -24,6 +25,7 @@ from tableinsight.operators.joins import (
 from tableinsight.operators.metric import entity_metric, top_entities
 from tableinsight.operators.neutralize import neutralize_formulas
 from tableinsight.operators.reconcile import reconcile_numbers
+from tableinsight.plans import catalog
 from tableinsight.plans.analyze import analyze, analyze_joined
 
 MONDAY = date(2024, 1, 1)
@@ -428,3 +430,25 @@ def test_categories_are_counted_where_their_entity_is(spark, monkeypatch):
     # Pairs move with their entity only in the part that is not brought together.
     moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(slot" in x and "entity" in x]
     assert "REPARTITION_BY_NUM" in plan and len(moved) == 1
+
+
+def test_all_dimensions_of_a_table_are_tested(spark, tmp_path):
+    """Prices are a dimension too, however many there are; only the entity and dates are none."""
+    orders, price = F.col("id") % 400, F.when(F.col("id") % 9 > 0, F.col("id") % 700 + 0.25)
+    texts = [F.lit("R").alias("l_returnflag"), (F.col("id") % 2).cast("string").alias("l_linestatus")]
+    numbers = [F.col("id") % n for n in (200, 10, 7, 50, 11, 9)]
+    names = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+    numbers = [c.alias(name) for c, name in zip(numbers, names)]
+    lineitem = spark.range(3000).select(
+        orders.alias("l_orderkey"), *numbers, price.alias("l_extendedprice"), *texts,
+        F.timestamp_seconds("id").alias("l_shipdate"),
+    )
+    lineitem.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.dimension: r for r in catalog.driver_all_dimensions(spark, str(tmp_path)).collect()}
+    assert set(found) == set(lineitem.columns) - {"l_orderkey", "l_shipdate"}
+    pairs = {(i % 400, i % 700 if i % 9 else None) for i in range(3000)}
+    counts = Counter(p for _, p in pairs).values()
+    expected = sum(counts) / len(counts)
+    chi2 = round(sum((n - expected) ** 2 / expected for n in counts), 3)
+    tested = found["l_extendedprice"]
+    assert (tested.status, tested.n_categories, tested.chi2) == ("tested", 701, chi2)
